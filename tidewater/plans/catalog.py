@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import data_queries
+from tidewater.plans import data_queries, reference_queries
 
-FLAGSHIP = "p5_rolling"
+FLAGSHIP = "summary_metrics"
 
-_MODULES = (data_queries,)
+_MODULES = (data_queries, reference_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
