@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import data_queries, reference_queries
+from tidewater.plans import data_queries, engine_queries, reference_queries
 
 FLAGSHIP = "summary_metrics"
 
-_MODULES = (data_queries, reference_queries)
+_MODULES = (data_queries, reference_queries, engine_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
