@@ -139,6 +139,8 @@ def bad_readings(value: np.ndarray, impossible: np.ndarray, starts: np.ndarray,
     and its own longest normal run of equal values.
     """
     rows = len(value)
+    if not rows:
+        return np.zeros(0, dtype=int), np.zeros(0)
     emission = np.ones((rows, 4))
     chain = np.empty((len(starts), 4, 4))
     ends = np.append(starts[1:], rows)
@@ -187,7 +189,7 @@ def bad_readings(value: np.ndarray, impossible: np.ndarray, starts: np.ndarray,
     repeat[starts] = False
     edges = np.flatnonzero(~repeat)
     run = np.cumsum(~repeat) - 1
-    frozen = np.maximum.reduceat(posterior[:, STUCK], edges)[run] if rows else posterior[:, STUCK]
+    frozen = np.maximum.reduceat(posterior[:, STUCK], edges)[run]
     calm = (state == NORMAL) | (state == STUCK)
     state[calm] = np.where(repeat & (frozen >= 0.5), STUCK, NORMAL)[calm]
     return state, 1.0 - posterior[:, NORMAL]
