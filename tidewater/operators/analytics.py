@@ -151,7 +151,8 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, quantiles: tuple
     A sketch brackets each percentile; one pass counts the values below the bracket, and only distinct values inside it,
     with their counts, are ordered. Groups of at most SMALL_GROUP rows need no bracket. Null and NaN values are left out.
     """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("v"))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*(F.col(b).alias(f"by_{i}") for i, b in enumerate(by)), F.col(value).alias("v"))
+    names, by = by, [f"by_{i}" for i in range(len(by))]
     edges = [e for q in quantiles for e in (max(q - margin, 0.0), min(q + margin, 1.0))]
     sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", edges, 2_000).alias("edges"), F.min("v").alias("least"), F.max("v").alias("most"))
     small = F.col("n") <= SMALL_GROUP
@@ -173,7 +174,7 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, quantiles: tuple
     each = counted.groupBy(*by, "i", "rank").agg(low.alias("a"), high.alias("b"))
     values = each.withColumn("p", F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("rank") - F.floor("rank")))
     out = values.groupBy(*by).agg(*(F.max(F.when(F.col("i") == i, F.col("p"))).alias("p" + f"{q * 100:g}".replace(".", "_")) for i, q in enumerate(quantiles)))
-    return out
+    return out.withColumnsRenamed(dict(zip(by, names)))
 
 
 def curve_stats(curve: DataFrame, by: str = "symbol") -> DataFrame:

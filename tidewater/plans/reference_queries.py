@@ -22,13 +22,13 @@ ORACLES: dict[str, str] = {}
 _SQL = {
     "valid": "SELECT * FROM bars WHERE symbol IS NOT NULL AND ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY src_order DESC) = 1",
     "panel": """SELECT symbol, ts, close,
-  CASE WHEN high > 0 AND high < 'infinity'::DOUBLE THEN high ELSE close END AS high,
-  CASE WHEN low > 0 AND low < 'infinity'::DOUBLE THEN low ELSE close END AS low,
-  CASE WHEN volume > 0 AND volume < 'infinity'::DOUBLE THEN volume ELSE 0 END AS volume,
-  CASE WHEN coalesce(bid, close) > 0 AND coalesce(bid, close) < 'infinity'::DOUBLE THEN coalesce(bid, close) ELSE close END AS bid,
-  CASE WHEN coalesce(ask, close) > 0 AND coalesce(ask, close) < 'infinity'::DOUBLE THEN coalesce(ask, close) ELSE close END AS ask,
+  CASE WHEN high > 0 AND isfinite(high) THEN high ELSE close END AS high,
+  CASE WHEN low > 0 AND isfinite(low) THEN low ELSE close END AS low,
+  CASE WHEN volume > 0 AND isfinite(volume) THEN volume ELSE 0 END AS volume,
+  CASE WHEN coalesce(bid, close) > 0 AND isfinite(coalesce(bid, close)) THEN coalesce(bid, close) ELSE close END AS bid,
+  CASE WHEN coalesce(ask, close) > 0 AND isfinite(coalesce(ask, close)) THEN coalesce(ask, close) ELSE close END AS ask,
   row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS row_idx
-  FROM valid WHERE close > 0 AND close < 'infinity'::DOUBLE""",
+  FROM valid WHERE close > 0 AND isfinite(close)""",
     "rets": """SELECT *, coalesce((close - lag(close) OVER w) / nullif(lag(close) OVER w, 0), 0) AS ret
   FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY ts)""",
     "vols": """SELECT *, round(CASE WHEN row_idx >= 20 THEN stddev_pop(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
@@ -316,7 +316,7 @@ def intent_ffill(spark, root):
 
 
 _TICKS = """tk AS (SELECT symbol, timestamp_ns, src_order, price, CASE WHEN upper(trim(side)) IN ('BID', 'ASK') THEN upper(trim(side)) ELSE 'TRADE' END AS side
- FROM ticks WHERE symbol IS NOT NULL AND price > 0 AND price < 'infinity'::DOUBLE)"""
+ FROM ticks WHERE symbol IS NOT NULL AND price > 0 AND isfinite(price))"""
 
 
 @query(
