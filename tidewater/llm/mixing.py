@@ -165,7 +165,7 @@ def mix_shares(documents: DataFrame, mix_targets: DataFrame, *, total: float | N
     )
     everything = Window.partitionBy(F.lit(1))  # over one row a source
     return (
-        mix_targets.join(used, "source", "left")
+        mix_targets.select("source", "target_share", "max_repeats").join(used, "source", "left")
         .withColumn("all_tokens", F.sum("tokens").over(everything))
         .select(
             "source",
