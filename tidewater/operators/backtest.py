@@ -56,9 +56,9 @@ def guard(path: DataFrame, costs: Costs = Costs(), run: tuple[str, ...] = ("symb
     return path.withColumn("holds", holds)
 
 
-def fills_of(path: DataFrame) -> DataFrame:
+def fills_of(path: DataFrame, *more: str) -> DataFrame:
     """The fills of a closed-form run, numbered per symbol: ``symbol, ts, row_idx, parent_order_id, order_id, quantity,
-    price, fee, close, bid, ask, volume``."""
+    price, fee, close, bid, ask, volume`` and ``more`` columns of the path."""
     n = F.row_number().over(Window.partitionBy("symbol").orderBy("row_idx"))
     return path.where("trade != 0").select(
         "symbol",
@@ -73,6 +73,7 @@ def fills_of(path: DataFrame) -> DataFrame:
         "bid",
         "ask",
         "volume",
+        *more,
     )
 
 

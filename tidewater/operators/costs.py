@@ -30,14 +30,14 @@ def calibrate(samples: DataFrame) -> DataFrame:
     )
 
 
-def fill_costs(fills: DataFrame, volatility: DataFrame, arrivals: DataFrame, total_borrow: float = 0.0, impact_coefficient: float = 1.0, bucket_seconds: int = 3600) -> DataFrame:
+def fill_costs(fills: DataFrame, arrivals: DataFrame, total_borrow: float = 0.0, impact_coefficient: float = 1.0, bucket_seconds: int = 3600) -> DataFrame:
     """Costs of each fill: half spread, impact, financing share, shortfall against the arrival price.
 
-    volatility: ``symbol, ts, volatility``; arrivals: ``symbol, parent_order_id, arrival_price``.
+    fills: with the ``volatility`` of their bar; arrivals: ``symbol, parent_order_id, arrival_price``.
     """
     size = F.abs("quantity").cast("double")
     side = F.signum(F.col("quantity").cast("double"))
-    rows = fills.join(volatility, ["symbol", "ts"]).join(arrivals, ["symbol", "parent_order_id"], "left")
+    rows = fills.join(arrivals, ["symbol", "parent_order_id"], "left")
     rows = rows.withColumn("arrival_price", F.coalesce("arrival_price", "close")).withColumn("spread", F.greatest(F.col("ask") - F.col("bid"), F.lit(0.0)))
     rows = rows.withColumn("participation", F.least(size / F.greatest("volume", F.lit(1.0)), F.lit(1.0)))
     out = rows.select(

@@ -23,13 +23,18 @@ def assert_columns(df: DataFrame, required: Sequence[str], what: str = "table")
         raise PanelError(f"{what} lacks the columns {', '.join(missing)}")
 
 
-def load_bars(bars: DataFrame) -> DataFrame:
-    """The valid row of each ``(symbol, ts)``; a null bid or ask is the close."""
+def load_bars(bars: DataFrame, by_symbol: bool = False) -> DataFrame:
+    """The valid row of each ``(symbol, ts)``; a null bid or ask is the close.
+
+    With ``by_symbol`` the rows are hashed by symbol alone, for callers that go on with windows per symbol: one exchange
+    serves both. Otherwise a hot symbol is spread over its times.
+    """
     assert_columns(bars, ["ts", "symbol", "close", "high", "low", "volume"], "bars")
     for side in ("bid", "ask"):
         if side not in bars.columns:
             bars = bars.withColumn(side, F.lit(None).cast("double"))
-    rows = latest_rows(bars.where("symbol is not null and ts is not null"), ["symbol", "ts"], "src_order", list(FIELDS))
+    rows = bars.where("symbol is not null and ts is not null").select("symbol", "ts", "src_order", *FIELDS)
+    rows = latest_rows(rows.repartition("symbol") if by_symbol else rows, ["symbol", "ts"], "src_order", list(FIELDS))
     return rows.withColumns({side: F.coalesce(side, "close") for side in ("bid", "ask")})
 
 
@@ -47,7 +52,7 @@ def usable_panel(bars: DataFrame) -> DataFrame:
         return F.when((c > 0) & (c < inf), c).otherwise(other).alias(name)
 
     close = F.col("close")
-    rows = load_bars(bars).where((close > 0) & (close < inf))
+    rows = load_bars(bars, by_symbol=True).where((close > 0) & (close < inf))
     rows = rows.select("symbol", "ts", "close", sound("high", close), sound("low", close), sound("volume", F.lit(0.0)), sound("bid", close), sound("ask", close))
     return rows.withColumn("row_idx", (F.row_number().over(by_symbol()) - 1).cast("bigint"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import execution as ex
 from tidewater.operators import analytics, backtest, costs, panel, runs, signals
 from tidewater.operators.asknown import usable_splits
+from tidewater.runtime import cut_lineage
 from tidewater.sources.tables import table
 
 FAST, SLOW, MOST = 8, 32, 5
@@ -560,7 +561,9 @@ def sharpe_sortino(spark, root):
     ),
 )
 def summary_metrics(spark, root):
-    out = analytics.summarize(_curve(spark, root), _fills(spark, root))
+    ledger = cut_lineage(_ledger(spark, root))  # two rows a trade; three aggregations read it
+    curve = analytics.equity_from_ledger(ledger).select("symbol", "ts", "equity")
+    out = analytics.summarize(curve, ledger.where("type = 'FILL_APPLIED'"))
     return out.select(
         "symbol", *_r("sharpe", "sortino", "calmar", digits=4), *_r("cagr", "max_drawdown", digits=9), *_r("turnover_per_year", digits=6), "fill_count", *_r("pnl", "ending_equity", digits=3)
     )
@@ -654,9 +657,11 @@ def margin_check(spark, root):
 
 def _tca(spark, root):
     path = _path(spark, root)
-    volatility = signals.expanding_volatility(path, 20).select("symbol", "ts", "volatility")
-    arrivals = costs.arrival_times(_ledger(spark, root)).alias("a").join(path.alias("p"), (F.col("a.symbol") == F.col("p.symbol")) & (F.col("a.arrival_ts") == F.col("p.ts")))
-    return costs.fill_costs(backtest.fills_of(path), volatility, arrivals.select("a.symbol", "a.parent_order_id", F.col("p.close").alias("arrival_price")))
+    fills = backtest.fills_of(signals.expanding_volatility(path, 20), "volatility")
+    submitted = costs.arrival_times(backtest.ledger_of(path)).alias("a")
+    rows = path.where("trade != 0").select("symbol", "ts", "close").alias("p")  # orders are submitted in rows that trade
+    arrivals = submitted.join(rows, (F.col("a.symbol") == F.col("p.symbol")) & (F.col("a.arrival_ts") == F.col("p.ts")))
+    return costs.fill_costs(fills, arrivals.select("a.symbol", "a.parent_order_id", F.col("p.close").alias("arrival_price")))
 
 
 _TCA_MONEY = ("spread_cost", "impact_cost", "financing_cost", "implementation_shortfall", "total_cost")
