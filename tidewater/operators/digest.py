@@ -6,16 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Clusters that a digest has at most, apart from heavily tied values, which get clusters of their own.
 DELTA = 400
-#: Partial digests that one merging task takes at a time.
+#: Digests that are merged at a time.
 FAN_IN = 64
 
-_DIGEST = "grp string, day date, salt bigint, mean array<double>, weight array<double>, low array<double>, high array<double>"
+_DIGEST = "grp string, day date, mean array<double>, weight array<double>, low array<double>, high array<double>"
 
 
 def cluster(mean: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray, delta: int = DELTA) -> tuple[np.ndarray, ...]:
@@ -76,60 +75,66 @@ def partial_digests(df: DataFrame, group: str, day: str, value: str, delta: int
     """A digest per partition, group and day; no rows are moved."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        salt, held, size = TaskContext.get().partitionId(), [], 0
+        held, size = [], 0
         for pdf in batches:
             held.append(pdf)
             size += len(pdf)
             if size >= 500_000:  # a partition of any size is digested piece by piece
-                yield _digest_frame(pd.concat(held), salt, delta)
+                yield _digest_frame(pd.concat(held), delta)
                 held, size = [], 0
         if held:
-            yield _digest_frame(pd.concat(held), salt, delta)
+            yield _digest_frame(pd.concat(held), delta)
 
     return df.select(F.col(group).alias("grp"), F.col(day).alias("day"), F.col(value).alias("value")).mapInPandas(build, _DIGEST)
 
 
-def _digest_frame(pdf: pd.DataFrame, salt: int, delta: int) -> pd.DataFrame:
+def _digest_frame(pdf: pd.DataFrame, delta: int) -> pd.DataFrame:
     rows = []
     for (grp, day), values in pdf.groupby(["grp", "day"], dropna=False, sort=False)["value"]:
-        rows.append((_none(grp), _none(day), salt, *digest_of(values.to_numpy(), delta)))
-    return pd.DataFrame(rows, columns=["grp", "day", "salt", "mean", "weight", "low", "high"])
+        rows.append((_none(grp), _none(day), *digest_of(values.to_numpy(), delta)))
+    return pd.DataFrame(rows, columns=["grp", "day", "mean", "weight", "low", "high"])
 
 
 def _none(x):
     return None if pd.isna(x) else x
 
 
-def _merged(df: DataFrame, keys: list[str], salt: str, delta: int) -> DataFrame:
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = merge([(r.mean_, r.weight_, r.low_, r.high_) for r in pdf.rename(columns=lambda c: c + "_").itertuples()], delta)
-        day = _none(pdf["day"].iloc[0]) if "day" in keys else None
-        return pd.DataFrame(
-            [(_none(pdf["grp"].iloc[0]), day, int(pdf["salt"].iloc[0]), *out)],
-            columns=["grp", "day", "salt", "mean", "weight", "low", "high"],
-        )
+def merged_digests(parts: DataFrame, keys: list[str], quantiles: tuple[float, ...] = (), delta: int = DELTA) -> DataFrame:
+    """One digest per ``keys`` (``["grp", "day"]`` or ``["grp"]``) with its ``estimates`` of ``quantiles``.
 
-    return df.withColumn("salt", F.expr(salt)).groupBy(*keys).applyInPandas(join, _DIGEST)
+    Digests of a key come to one task in a stream; whenever FAN_IN are at hand they become one, so a task holds few
+    clusters however many partitions or days there are.
+    """
 
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for pdf in batches:
+            out = []
+            for grp, day, *part in zip(*(pdf[c] for c in ("grp", "day", "mean", "weight", "low", "high"))):
+                now = (_none(grp), _none(day) if "day" in keys else None)
+                if held and now != key:
+                    out.append(_finished(key, held, quantiles, delta))
+                    held = []
+                key = now
+                held.append(tuple(part))
+                if len(held) >= FAN_IN:
+                    held = [merge(held, delta)]
+            if out:
+                yield pd.DataFrame(out, columns=_MERGED_COLUMNS)
+        if held:
+            yield pd.DataFrame([_finished(key, held, quantiles, delta)], columns=_MERGED_COLUMNS)
 
-def merged_digests(parts: DataFrame, keys: list[str], delta: int = DELTA) -> DataFrame:
-    """One digest per ``keys`` (``["grp", "day"]`` or ``["grp"]``), merged in two levels of at most FAN_IN or so."""
-    salted = "salt div %d" % FAN_IN if "day" in keys else "pmod(xxhash64(day, salt), %d)" % FAN_IN
-    return _merged(_merged(parts, [*keys, "salt"], salted, delta), keys, "0L", delta)
+    laid = parts.repartition(*keys).sortWithinPartitions(*keys).select("grp", "day", "mean", "weight", "low", "high")
+    return laid.mapInPandas(join, _MERGED)
 
 
-def _estimates(digests: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
-    names = [_name(q) for q in quantiles]
+_MERGED = "grp string, day date, mean array<double>, weight array<double>, low array<double>, high array<double>, estimates array<double>"
+_MERGED_COLUMNS = [c.split()[0] for c in _MERGED.split(", ")]
 
-    def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.rename(columns=lambda c: c + "_").itertuples():
-                d = tuple(np.asarray(x) for x in (r.mean_, r.weight_, r.low_, r.high_))
-                rows.append((_none(r.grp_), _none(r.day_), *(quantile(d, q) for q in quantiles)))
-            yield pd.DataFrame(rows, columns=["grp", "day", *names])
 
-    return digests.mapInPandas(estimate, "grp string, day date, " + ", ".join(f"{n} double" for n in names))
+def _finished(key: tuple, held: list[tuple], quantiles: tuple[float, ...], delta: int) -> tuple:
+    out = merge(held, delta) if len(held) > 1 else tuple(np.asarray(x) for x in held[0])
+    return (*key, *out, [quantile(out, q) for q in quantiles])
 
 
 def _name(q: float) -> str:
@@ -151,8 +156,8 @@ def certified_percentiles(
 
     Samples are deduplicated on ``sample_key`` (equal copies; of differing ones the least value counts). Null, NaN,
     infinite and negative values are no measurements. Each partition is digested where it lies; partial digests merge
-    per group and day in two levels, daily digests per group in two more, so a hot group never meets one task and
-    digests of other days or partitions can be combined later. A second pass over the same exchange counts the
+    per group and day, and daily digests per group, so a group's samples never meet one task and digests of other days
+    or partitions can be combined later. A second pass over the same exchange counts the
     values below and up to each estimate: ``rank_error_<p>`` is the distance of ``q * n`` from that interval as a share
     of ``n``, exact; ``certified`` says whether all are within ``max_rank_error``.
 
@@ -169,9 +174,12 @@ def certified_percentiles(
         .agg(F.min("value").alias("value"))
         .select("grp", "day", "value")
     )
-    daily = merged_digests(partial_digests(samples, "grp", "day", "value", delta), ["grp", "day"], delta)
+    daily = merged_digests(partial_digests(samples, "grp", "day", "value", delta), ["grp", "day"], quantiles, delta)
     names = [_name(q) for q in quantiles]
 
+    def estimates(digests: DataFrame) -> DataFrame:
+        return digests.select("grp", "day", *(F.get("estimates", F.lit(i)).alias(n) for i, n in enumerate(names)))
+
     def counted(est: DataFrame, by_day: bool) -> DataFrame:
         s, e = samples.alias("s"), est.alias("e")
         on = F.col("s.grp").eqNullSafe(F.col("e.grp"))
@@ -192,7 +200,5 @@ def certified_percentiles(
         worst = F.greatest(*(F.col(f"rank_error_{n}") for n in names)) if len(names) > 1 else F.col(f"rank_error_{names[0]}")
         return out.withColumn("certified", worst <= max_rank_error)
 
-    per_group = merged_digests(daily, ["grp"], delta)
-    return finished(counted(_estimates(daily, quantiles), True), "group_day").unionByName(
-        finished(counted(_estimates(per_group, quantiles), False), "group")
-    )
+    per_group = merged_digests(daily, ["grp"], quantiles, delta)
+    return finished(counted(estimates(daily), True), "group_day").unionByName(finished(counted(estimates(per_group), False), "group"))
