@@ -8,12 +8,14 @@ NORMAL, SPIKE, STUCK, OUT = 0, 1, 2, 3
 
 #: Readings on each side that give a reading's surroundings.
 SIDE = 7
-#: Deviation, in units of the series' own scale, at which a lone reading is as likely a spike as not.
-SPIKE_AT = 7.1
-#: A run is stuck if it is longer than this multiple of the longest normal run, and at least RUN_LEAST readings.
-RUN_FACTOR, RUN_LEAST = 2.2, 8
+#: Deviation, in units of the series' own scale, at which a lone reading is as likely a spike as not, and at which one next
+#: to a spike is; the spread of normal deviations.
+SPIKE_AT, SPIKE_ON, SPREAD = 6.2, 4.5, 1.55
+#: A run stands apart if it is RUN_FACTOR times as long as the next shorter one; where that one is at most SHORT_RUN long, twice
+#: as long is enough if chance repeats would give such a run less than once in RUN_CHANCE series. At least RUN_LEAST readings.
+RUN_FACTOR, SHORT_RUN, RUN_CHANCE, RUN_LEAST = 2.9, 6, 1e-4, 8
 #: Log odds that evidence must overcome to enter the spike and the stuck state.
-ENTER_SPIKE, ENTER_STUCK = 7.5, 18.0
+ENTER_SPIKE, ENTER_STUCK = 0.5 * (SPIKE_AT**2 - SPIKE_ON**2) / SPREAD**2, 18.0
 #: Steps that the batched recursion takes at once; longer series are cut and joined exactly by matrix products.
 CHUNK = 256
 
@@ -50,21 +52,27 @@ def deviation(x: np.ndarray) -> np.ndarray:
     return np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0.0)
 
 
-def longest_normal_run(lengths: np.ndarray) -> int:
-    """The longest run that belongs to the series' normal behaviour.
+def stuck_length(lengths: np.ndarray) -> float:
+    """The run length from which on a run of equal values counts as stuck, from the lengths of all runs of the series.
 
-    Stuck runs stand apart from the body of run lengths: going down from the longest, the deepest place where a
-    length is RUN_FACTOR times the next one separates them, as long as few runs lie above it.
+    Stuck runs stand apart from the body of run lengths. Going down from the longest over the few longest runs, the deepest
+    one that stands apart separates them; the length asked for lies midway (in ratio) between it and the longest normal
+    run. If none stands apart it is RUN_FACTOR times the longest run.
     """
-    if not len(lengths):
-        return 1
     longest = np.sort(lengths)[::-1]
+    if len(longest) < 2:
+        return float(RUN_LEAST)
     few = min(len(longest) - 1, max(4, len(longest) // 200))
-    if few <= 0:
-        return 1 if longest[0] >= RUN_LEAST else int(longest[0])
-    top, below = longest[:few], longest[1 : few + 1]
-    apart = np.flatnonzero((top >= RUN_FACTOR * below) & (top >= RUN_LEAST))
-    return int(longest[apart[-1] + 1]) if len(apart) else int(longest[0])
+    top, below = longest[:few].astype(float), longest[1 : few + 1].astype(float)
+    left = len(longest) - np.arange(1, few + 1)
+    repeats = 1.0 - left / np.maximum(lengths.sum() - np.cumsum(top), 1.0)
+    chance = left * np.maximum(repeats, 1e-12) ** (top - 1)
+    apart = (top >= RUN_FACTOR * below) | ((below <= SHORT_RUN) & (top >= 2 * below) & (chance < RUN_CHANCE))
+    found = np.flatnonzero(apart & (top >= RUN_LEAST))
+    if not len(found):
+        return max(RUN_LEAST, RUN_FACTOR * float(longest[0]))
+    k = found[-1]
+    return max(RUN_LEAST - 0.5, float(np.sqrt(top[k] * below[k])))
 
 
 def _forward_backward(emission: np.ndarray, chain: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -136,7 +144,7 @@ def bad_readings(value: np.ndarray, impossible: np.ndarray, starts: np.ndarray,
     value: readings in time order; impossible: those outside hard bounds; starts: first row of each series;
     quantity: per series, True where values are amounts (volumes), for which zero is legal and only upward spikes
     count. Each series is judged by its own scale (its usual change and its usual deviation from its surroundings)
-    and its own longest normal run of equal values.
+    and its own normal runs of equal values.
     """
     rows = len(value)
     if not rows:
@@ -144,8 +152,7 @@ def bad_readings(value: np.ndarray, impossible: np.ndarray, starts: np.ndarray,
     emission = np.ones((rows, 4))
     chain = np.empty((len(starts), 4, 4))
     ends = np.append(starts[1:], rows)
-    sigma = 1.75
-    spread = np.exp(ENTER_SPIKE - 0.5 * (SPIKE_AT / sigma) ** 2)
+    spike_density = np.exp(-0.5 * (SPIKE_ON / SPREAD) ** 2)
     for s, (a, b) in enumerate(zip(starts, ends)):
         v, bad, amount = value[a:b], impossible[a:b], quantity[s]
         fit = ~bad & (v > 0)
@@ -165,12 +172,12 @@ def bad_readings(value: np.ndarray, impossible: np.ndarray, starts: np.ndarray,
         equal[1:] = (v[1:] == v[:-1]) & fit[1:]
         edges = np.flatnonzero(~equal)
         runs = np.diff(np.append(edges, b - a))
-        needed = max(RUN_LEAST, RUN_FACTOR * longest_normal_run(runs))
+        needed = stuck_length(runs)
         gain = np.exp(-ENTER_STUCK / (needed - 1))
         e = emission[a:b]
-        calm = np.exp(-0.5 * np.minimum(scaled / sigma, 12.0) ** 2)
+        calm = np.exp(-0.5 * np.minimum(scaled / SPREAD, 12.0) ** 2)
         e[:, NORMAL] = calm * np.where(equal, gain, 1.0)
-        e[:, SPIKE] = np.where(scaled > 1.5, spread * np.where(equal, gain, 1.0), 1e-12)
+        e[:, SPIKE] = np.where(scaled > 1.5, spike_density * np.where(equal, gain, 1.0), 1e-12)
         e[:, STUCK] = np.where(equal, calm, 1e-30)
         e[:, OUT] = 0.0
         e[bad] = (1e-300, 1e-300, 1e-300, 1.0)
