@@ -49,3 +49,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+SLICED = ("ma_crossover", "vol_filtered_momentum", "tca_volatility", "xs_momentum", "intent_ffill", "frictionless_backtest", "equity_frame", "ledger_replay", "trade_stats", "walk_forward", "param_sweep")
+
+
+@pytest.mark.parametrize("name", SLICED)
+def test_series_cut_into_slices_give_the_same(spark, duck, small_root, name, monkeypatch):
+    from tidewater.operators import signals, sliced
+
+    monkeypatch.setattr(sliced, "SLICE_ROWS", 41)
+    monkeypatch.setattr(signals, "SLICE_ROWS", 41)
+    got, want = comparable(QUERIES[name](spark, small_root).toPandas()), comparable(duck.execute(ORACLES[name]).df())
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, check_exact=False, rtol=1e-9, atol=1e-9)

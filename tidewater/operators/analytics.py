@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.panel import BUCKET_SECONDS
+from tidewater.operators.sliced import running
+
 YEAR_SECONDS = 365.25 * 86_400.0
 #: Rows up to which a group's distinct values are ordered whole.
 SMALL_GROUP = 10_000
@@ -13,8 +16,8 @@ SMALL_GROUP = 10_000
 def equity_from_ledger(ledger: DataFrame) -> DataFrame:
     """Last ``equity_after`` per symbol and time, and the gain since the first."""
     curve = ledger.groupBy("symbol", "ts").agg(F.max_by("equity_after", "sequence").alias("equity"))
-    first = F.first("equity").over(Window.partitionBy("symbol").orderBy("ts"))
-    return curve.withColumn("pnl", F.col("equity") - first)
+    start = curve.groupBy("symbol").agg(F.min_by("equity", "ts").alias("start"))
+    return curve.join(start, "symbol").withColumn("pnl", F.col("equity") - F.col("start")).drop("start")
 
 
 def daily_equity(curve: DataFrame) -> DataFrame:
@@ -25,8 +28,8 @@ def daily_equity(curve: DataFrame) -> DataFrame:
 
 def drawdowns(curve: DataFrame, by: str = "symbol", order: str = "ts") -> DataFrame:
     """Adds the running ``peak`` and the ``drawdown`` from it, 0 where the peak is 0."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = curve.withColumn("peak", F.max("equity").over(w))
+    sliced = curve.withColumn("slice", F.floor(F.col(order) / BUCKET_SECONDS).cast("bigint"))
+    out = running(sliced, (by,), "slice", (order,), {"peak": ("max", F.col("equity"))}).drop("slice")
     return out.withColumn("drawdown", F.coalesce(F.try_divide(F.col("peak") - F.col("equity"), F.col("peak")), F.lit(0.0)))
 
 

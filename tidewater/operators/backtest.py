@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.execution import fee, most_fillable, slippage_price
+from tidewater.operators.sliced import by_slice, running, with_halo
 
 
 @dataclass(frozen=True)
@@ -22,31 +23,36 @@ class Costs:
     max_drawdown: float = 1.0
 
 
-def closed_form(panel: DataFrame, costs: Costs = Costs(), run: tuple[str, ...] = ("symbol",), order: str = "row_idx") -> DataFrame:
+def closed_form(panel: DataFrame, costs: Costs = Costs(), run: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """The run's path when every order is a market order that fills at once: adds ``position, trade, price, fee_paid,
-    cash, equity, peak, drawdown`` to rows with ``target, close, volume``.
+    nth, cash_before, cash, equity_before, equity, peak, drawdown`` to rows with ``row_idx, target, close, volume``.
 
-    Position is the target, the trade its change, cash the running sum of what trades and fees cost. One sort per run
-    serves all windows. ``run`` names the columns of a run, each run holding one asset.
+    Position is the target, the trade its change, cash the running sum of what trades and fees cost, ``nth`` the trades so
+    far. ``equity_before`` is the row before's, null in the first. ``run`` names the columns of a run, each run holding one
+    asset. Runs are worked in slices of rows, sorted once.
     """
-    w = Window.partitionBy(*run).orderBy(order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    trade = F.col("position") - F.lag("position", 1, 0).over(w)
-    out = panel.withColumn("position", F.col("target").cast("bigint")).withColumn("trade", trade)
+    w = by_slice(*run)
+    out = with_halo(panel, 1).withColumn("position", F.col("target").cast("bigint"))
+    held, mark = F.lag("position").over(w), F.lag("close").over(w)
+    out = out.withColumn("trade", F.col("position") - F.coalesce(held, F.lit(0))).withColumn("worth_before", held * mark).where("own").drop("own")
     price = slippage_price(F.col("close"), F.col("trade"), F.lit(0.0), "fixed", costs.slippage_bps)
     out = out.withColumn("price", price).withColumn("fee_paid", fee(F.abs("trade") * F.col("price"), costs.commission_bps))
-    spent = F.sum(F.col("trade") * F.col("price") + F.col("fee_paid")).over(so_far)
-    out = out.withColumn("cash", F.round(costs.starting_cash - spent, 6))
+    out = out.withColumn("paid", F.col("trade") * F.col("price") + F.col("fee_paid"))
+    sums = {"spent": ("sum", F.col("paid")), "nth": ("sum", (F.col("trade") != 0).cast("bigint"))}
+    out = running(out, run, "slice", ("row_idx",), sums)
+    out = out.withColumn("cash_before", F.round(costs.starting_cash - (F.col("spent") - F.col("paid")), 6))
+    out = out.withColumn("cash", F.round(costs.starting_cash - F.col("spent"), 6))
+    out = out.withColumn("equity_before", F.round(F.col("cash_before") + F.col("worth_before"), 6))
     out = out.withColumn("equity", F.round(F.col("cash") + F.col("position") * F.col("close"), 6))
-    out = out.withColumn("peak", F.greatest(F.max("equity").over(so_far), F.lit(costs.starting_cash)))
+    out = running(out, run, "slice", ("row_idx",), {"peak": ("max", F.col("equity"))}).drop("slice", "paid", "spent", "worth_before")
+    out = out.withColumn("peak", F.greatest("peak", F.lit(costs.starting_cash)))
     return out.withColumn("drawdown", F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.col("peak")).otherwise(0.0))
 
 
-def guard(path: DataFrame, costs: Costs = Costs(), run: tuple[str, ...] = ("symbol",), order: str = "row_idx") -> DataFrame:
+def guard(path: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """Adds ``holds``: whether no rule that depends on the path fires in this row; the first row where it does not is
     where the closed form stops being the engine's result."""
-    before = F.coalesce(F.lag("cash").over(Window.partitionBy(*run).orderBy(order)), F.lit(costs.starting_cash))
-    leverage = F.abs(F.col("target") * F.col("close")) / F.greatest(before, F.lit(1.0))
+    leverage = F.abs(F.col("target") * F.col("close")) / F.greatest("cash_before", F.lit(1.0))
     holds = (
         (leverage <= costs.max_gross_leverage)
         & (F.abs("trade") <= F.when(F.col("trade") == 0, 0).otherwise(most_fillable(F.col("volume"), costs.max_participation)))
@@ -59,7 +65,7 @@ def guard(path: DataFrame, costs: Costs = Costs(), run: tuple[str, ...] = ("symb
 def fills_of(path: DataFrame, *more: str) -> DataFrame:
     """The fills of a closed-form run, numbered per symbol: ``symbol, ts, row_idx, parent_order_id, order_id, quantity,
     price, fee, close, bid, ask, volume`` and ``more`` columns of the path."""
-    n = F.row_number().over(Window.partitionBy("symbol").orderBy("row_idx"))
+    n = F.col("nth")
     return path.where("trade != 0").select(
         "symbol",
         "ts",
@@ -84,10 +90,7 @@ def ledger_of(path: DataFrame) -> DataFrame:
     Both entries carry the cash before the fill. The last entry of the log is revalued in every row until the next one
     comes, so a fill's equity is the equity of the row before the next trade, or of the run's last row.
     """
-    w = Window.partitionBy("symbol").orderBy("row_idx")
-    groups = path.withColumn("nth", F.sum(F.when(F.col("trade") != 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    groups = groups.withColumn("cash_before", F.lag("cash").over(w))
-    held = groups.where("nth > 0").groupBy("symbol", "nth").agg(
+    held = path.where("nth > 0").groupBy("symbol", "nth").agg(
         F.min_by(F.struct("ts", "trade", "price", "cash_before"), "row_idx").alias("f"), F.max_by("equity", "row_idx").alias("held")
     )
     entries = F.array(
@@ -103,6 +106,6 @@ def ledger_of(path: DataFrame) -> DataFrame:
         "e.type",
         F.col("f.trade").alias("quantity"),
         "e.price",
-        F.coalesce("f.cash_before", F.lit(Costs().starting_cash)).alias("cash_after"),
+        F.col("f.cash_before").alias("cash_after"),
         "e.equity_after",
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.sliced import by_slice, numbered, own_rows, with_halo
 from tidewater.sources.tables import latest_rows
 
 FIELDS = ("close", "high", "low", "volume", "bid", "ask")
@@ -23,26 +24,28 @@ def assert_columns(df: DataFrame, required: Sequence[str], what: str = "table")
         raise PanelError(f"{what} lacks the columns {', '.join(missing)}")
 
 
-def load_bars(bars: DataFrame, by_symbol: bool = False) -> DataFrame:
+#: Time buckets by which bars are hashed, so that a hot symbol is spread over them.
+BUCKET_SECONDS = 7 * 86_400
+
+
+def load_bars(bars: DataFrame, buckets: bool = False) -> DataFrame:
     """The valid row of each ``(symbol, ts)``; a null bid or ask is the close.
 
-    With ``by_symbol`` the rows are hashed by symbol alone, for callers that go on with windows per symbol: one exchange
-    serves both. Otherwise a hot symbol is spread over its times.
+    With ``buckets`` rows are hashed by symbol and ``bucket`` of time, for callers that go on by these.
     """
     assert_columns(bars, ["ts", "symbol", "close", "high", "low", "volume"], "bars")
     for side in ("bid", "ask"):
         if side not in bars.columns:
             bars = bars.withColumn(side, F.lit(None).cast("double"))
     rows = bars.where("symbol is not null and ts is not null").select("symbol", "ts", "src_order", *FIELDS)
-    rows = latest_rows(rows.repartition("symbol") if by_symbol else rows, ["symbol", "ts"], "src_order", list(FIELDS))
+    keys = ["symbol", "ts"]
+    if buckets:
+        rows = rows.withColumn("bucket", F.floor(F.col("ts") / BUCKET_SECONDS).cast("bigint")).repartition("symbol", "bucket")
+        keys = ["symbol", "bucket", "ts"]
+    rows = latest_rows(rows, keys, "src_order", list(FIELDS))
     return rows.withColumns({side: F.coalesce(side, "close") for side in ("bid", "ask")})
 
 
-def by_symbol() -> Window:
-    """The order of a symbol's bars."""
-    return Window.partitionBy("symbol").orderBy("ts")
-
-
 def usable_panel(bars: DataFrame) -> DataFrame:
     """Valid bars with a positive finite close, other gaps filled from it, and their ``row_idx`` within the symbol."""
     inf = F.lit(float("inf"))
@@ -52,9 +55,9 @@ def usable_panel(bars: DataFrame) -> DataFrame:
         return F.when((c > 0) & (c < inf), c).otherwise(other).alias(name)
 
     close = F.col("close")
-    rows = load_bars(bars, by_symbol=True).where((close > 0) & (close < inf))
-    rows = rows.select("symbol", "ts", "close", sound("high", close), sound("low", close), sound("volume", F.lit(0.0)), sound("bid", close), sound("ask", close))
-    return rows.withColumn("row_idx", (F.row_number().over(by_symbol()) - 1).cast("bigint"))
+    rows = load_bars(bars, buckets=True).where((close > 0) & (close < inf))
+    rows = rows.select("symbol", "bucket", "ts", "close", sound("high", close), sound("low", close), sound("volume", F.lit(0.0)), sound("bid", close), sound("ask", close))
+    return numbered(rows, "symbol", "bucket", "ts").drop("bucket")
 
 
 def densify_days(bars: DataFrame) -> DataFrame:
@@ -88,7 +91,12 @@ def simple_return(previous: Column, current: Column) -> Column:
 
 def with_returns(panel: DataFrame) -> DataFrame:
     """The panel with ``ret``, the simple return from the row before."""
-    return panel.withColumn("ret", simple_return(F.lag("close").over(by_symbol()), F.col("close")))
+    return own_rows(sliced_returns(with_halo(panel, 1)))
+
+
+def sliced_returns(panel: DataFrame) -> DataFrame:
+    """``with_returns`` on a panel in slices."""
+    return panel.withColumn("ret", simple_return(F.lag("close").over(by_slice()), F.col("close")))
 
 
 def dense_asset_ids(symbols: DataFrame) -> DataFrame:
@@ -115,16 +123,24 @@ def load_actions(actions: DataFrame, assets: DataFrame) -> DataFrame:
 def as_of_forward(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str) -> DataFrame:
     """Each left row with the first right row at or after it, or else the last one: adds ``row_ts`` and ``row_value``.
 
-    Both sides are laid in one order per key and the next right row is carried back; keys without right rows give nulls.
+    Time is cut into buckets: a lookup meets the right rows of its own bucket, and else takes the first row of the next
+    bucket that has any, or the last row of all, from one row a bucket. Keys without right rows give nulls.
     """
-    pick = F.struct(F.col(right_ts).alias("t"), F.col(value).alias("v"))
-    rows = left.select(F.struct(*left.columns).alias("row"), F.col(key).alias("k"), F.col(left_ts).alias("at"), F.lit(0).alias("side"), F.lit(None).cast(right.select(pick).schema[0].dataType).alias("right"))
-    rows = rows.unionByName(right.select(F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.col(key).alias("k"), F.col(right_ts).alias("at"), F.lit(1).alias("side"), pick.alias("right")))
-    ahead = Window.partitionBy("k").orderBy("at", "side").rowsBetween(0, Window.unboundedFollowing)
-    behind = Window.partitionBy("k").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.coalesce(F.first("right", ignorenulls=True).over(ahead), F.last("right", ignorenulls=True).over(behind))
-    rows = rows.withColumn("found", found).where(F.col("row").isNotNull())
-    return rows.select("row.*", F.col("found.t").alias("row_ts"), F.col("found.v").alias("row_value"))
+    bucket = lambda c: F.floor(F.col(c) / BUCKET_SECONDS).cast("bigint")
+    r = right.select(F.col(key).alias("k"), bucket(right_ts).alias("b"), F.struct(F.col(right_ts).alias("t"), F.col(value).alias("v")).alias("r"))
+    asked = left.select(F.col(key).alias("k"), F.col(left_ts).alias("at"), bucket(left_ts).alias("b")).where("k is not null and at is not null").distinct()
+    ends = r.groupBy("k", "b").agg(F.min("r").alias("first"), F.max("r").alias("last"))
+    nothing = ends.schema["first"].dataType
+    marks = ends.unionByName(asked.select("k", "b", F.lit(None).cast(nothing).alias("first"), F.lit(None).cast(nothing).alias("last")).distinct())
+    marks = marks.groupBy("k", "b").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    w = Window.partitionBy("k").orderBy("b")
+    later = F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    final = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    marks = marks.select("k", "b", F.coalesce(later, final).alias("other"))
+    near = asked.join(r, ["k", "b"]).where("r.t >= at").groupBy("k", "at").agg(F.min("r").alias("near"))
+    found = asked.join(marks, ["k", "b"], "left").join(near, ["k", "at"], "left").select("k", "at", F.coalesce("near", "other").alias("found"))
+    out = left.join(found, (left[key] == found["k"]) & (left[left_ts] == found["at"]), "left")
+    return out.select(*(left[c] for c in left.columns), F.col("found.t").alias("row_ts"), F.col("found.v").alias("row_value"))
 
 
 def non_finite_counts(bars: DataFrame) -> DataFrame:

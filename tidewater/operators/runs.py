@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewater.operators.analytics import sharpe_sortino
 from tidewater.operators.backtest import Costs, closed_form
 from tidewater.operators.signals import crossover_target
+from tidewater.operators.sliced import by_slice, own_rows, with_halo
 
 
 def param_grid(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
@@ -29,9 +30,10 @@ def crossover_paths(panel: DataFrame, combos: list[tuple[int, int, int]], max_po
     All averages are windows over one sort of the symbol's bars; each bar is then exploded into its combinations, whose
     number is fixed by the grid. Runs are keyed by ``(combo_idx, symbol)``.
     """
-    w = Window.partitionBy("symbol").orderBy("row_idx")
+    w = by_slice()
     lengths = sorted({n for _, f, s in combos for n in (f, s)})
-    averaged = panel.withColumns({f"ma_{n}": F.avg("close").over(w.rowsBetween(1 - n, 0)) for n in lengths})
+    sliced = with_halo(panel, max(lengths) - 1)
+    averaged = own_rows(sliced.withColumns({f"ma_{n}": F.avg("close").over(w.rowsBetween(1 - n, 0)) for n in lengths}))
 
     def target(fast: int, slow: int) -> Column:
         gap = crossover_target(F.col(f"ma_{fast}"), F.col(f"ma_{slow}"), max_position)
@@ -108,8 +110,7 @@ def walk_forward(panel: DataFrame, combos: list[tuple[int, int, int]], folds: in
     part, so selection and evaluation are aggregations over the same exploded rows.
     """
     paths = crossover_paths(panel, combos, max_position)
-    w = Window.partitionBy("combo_idx", "symbol").orderBy("row_idx")
-    ret = F.round(F.coalesce(F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1, F.lit(0.0)), 12)
+    ret = F.round(F.coalesce(F.try_divide("equity", "equity_before") - 1, F.lit(0.0)), 12)
     spans = fold_spans(panel.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows")), folds, train_fraction)
     rows = paths.select("combo_idx", "symbol", "row_idx", ret.alias("ret")).alias("p")
     placed = rows.join(spans.alias("s"), (F.col("p.symbol") == F.col("s.symbol")) & (F.col("row_idx") >= F.col("train_start")) & (F.col("row_idx") < F.col("test_end")))

@@ -7,29 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators.panel import by_symbol, simple_return, with_returns
+from tidewater.operators.asknown import as_known_join
+from tidewater.operators.panel import simple_return, sliced_returns
+from tidewater.operators.sliced import SLICE_ROWS, by_slice, own_rows, running, with_halo
 
 #: Differences of averages below this are ties; sums of many doubles carry such noise.
 TIE_DIGITS = 9
 
 
+def _volatility(sliced: DataFrame, window: int, grown: bool = True) -> DataFrame:
+    vol = F.stddev_pop("ret").over(by_slice().rowsBetween(-(window - 1), 0))
+    if grown:
+        vol = F.when(F.col("row_idx") >= window, vol).otherwise(0.0)
+    return sliced_returns(sliced).withColumn("volatility", F.round(vol, 12))
+
+
+def _momentum(sliced: DataFrame, lookback: int, max_position: int) -> DataFrame:
+    change = F.col("close") - F.lag("close", lookback).over(by_slice())
+    return sliced.withColumn("target", (F.signum(F.coalesce(change, F.lit(0.0))) * max_position).cast("bigint"))
+
+
 def rolling_volatility(panel: DataFrame, window: int) -> DataFrame:
-    """Adds ``volatility``: population deviation of the last ``window`` returns, 0 before row ``window``."""
-    frame = by_symbol().rowsBetween(-(window - 1), 0)
-    vol = F.when(F.col("row_idx") >= window, F.stddev_pop("ret").over(frame)).otherwise(0.0)
-    return with_returns(panel).withColumn("volatility", F.round(vol, 12))
+    """Adds ``ret`` and ``volatility``: population deviation of the last ``window`` returns, 0 before row ``window``."""
+    return own_rows(_volatility(with_halo(panel, window), window))
 
 
 def expanding_volatility(panel: DataFrame, window: int) -> DataFrame:
     """Adds ``volatility`` as cost analysis takes it: the frame grows to ``max(2, window)`` rows, first return included."""
-    frame = by_symbol().rowsBetween(-(max(2, window) - 1), 0)
-    return with_returns(panel).withColumn("volatility", F.round(F.stddev_pop("ret").over(frame), 12))
+    return own_rows(_volatility(with_halo(panel, max(2, window)), max(2, window), grown=False))
 
 
 def momentum(panel: DataFrame, lookback: int, max_position: int = 1) -> DataFrame:
     """Adds ``target``: the sign of the change over ``lookback`` rows times ``max_position``, 0 before."""
-    change = F.col("close") - F.lag("close", lookback).over(by_symbol())
-    return panel.withColumn("target", (F.signum(F.coalesce(change, F.lit(0.0))) * max_position).cast("bigint"))
+    return own_rows(_momentum(with_halo(panel, lookback), lookback, max_position))
 
 
 def mean_reversion(panel: DataFrame, lookback: int, max_position: int = 1) -> DataFrame:
@@ -46,15 +56,15 @@ def moving_average_crossover(panel: DataFrame, fast: int, slow: int, max_positio
     """Adds ``target``: the sign of fast average minus slow average from row ``slow - 1`` on. Both share one sort."""
     if not 0 < fast < slow:
         raise ValueError("fast must be positive and less than slow")
-    w = by_symbol()
+    w = by_slice()
     gap = crossover_target(F.avg("close").over(w.rowsBetween(1 - fast, 0)), F.avg("close").over(w.rowsBetween(1 - slow, 0)), max_position)
-    return panel.withColumn("target", F.when(F.col("row_idx") >= slow - 1, gap).otherwise(0))
+    return own_rows(with_halo(panel, slow - 1).withColumn("target", F.when(F.col("row_idx") >= slow - 1, gap).otherwise(0)))
 
 
 def volatility_filtered_momentum(panel: DataFrame, lookback: int, window: int, ceiling: float, max_position: int = 1) -> DataFrame:
     """Momentum, 0 where volatility exceeds ``ceiling``."""
-    out = momentum(rolling_volatility(panel, window), lookback, max_position)
-    return out.withColumn("target", F.when(F.col("volatility") > ceiling, 0).otherwise(F.col("target")))
+    out = _momentum(_volatility(with_halo(panel, max(lookback, window)), window), lookback, max_position)
+    return own_rows(out.withColumn("target", F.when(F.col("volatility") > ceiling, 0).otherwise(F.col("target"))))
 
 
 def cross_sectional_rank(panel: DataFrame, value: str, descending: bool = True) -> DataFrame:
@@ -68,9 +78,9 @@ def cross_sectional_momentum(panel: DataFrame, lookback: int, winners: int, lose
 
     The return is 0 before ``lookback`` rows, and such rows trade as well; ties go by symbol.
     """
-    score = simple_return(F.lag("close", lookback).over(by_symbol()), F.col("close"))
+    score = simple_return(F.lag("close", lookback).over(by_slice()), F.col("close"))
     best, worst = (Window.partitionBy("ts").orderBy(k, "symbol") for k in (F.col("score").desc(), F.col("score").asc()))
-    out = panel.withColumn("score", score)
+    out = own_rows(with_halo(panel, lookback).withColumn("score", score))
     target = F.when(F.row_number().over(best) <= winners, max_position).when(F.row_number().over(worst) <= losers, -max_position)
     return out.withColumn("target", target.otherwise(0).cast("bigint"))
 
@@ -88,27 +98,34 @@ def weights_to_positions(weight: Column, gross: float) -> Column:
 
 def fill_forward_intents(rows: DataFrame, intent: str = "intent") -> DataFrame:
     """Adds ``held``: the last non-null intent struct of the symbol, carried forward as a whole."""
-    return rows.withColumn("held", F.last(intent, ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)))
+    sliced = rows.withColumn("slice", F.floor(F.col("row_idx") / SLICE_ROWS).cast("bigint"))
+    return running(sliced, ("symbol",), "slice", ("row_idx",), {"held": ("last", F.col(intent))}).drop("slice")
+
+
+#: Time buckets by which ticks are hashed.
+TICK_BUCKET_NS = 3_600 * 10**9
 
 
 def carried_quotes(ticks: DataFrame) -> DataFrame:
     """Adds ``best_bid`` and ``best_ask``: the symbol's latest quotes, this tick's price before the first one."""
-    order = Window.partitionBy("symbol").orderBy("timestamp_ns", "src_order").rowsBetween(Window.unboundedPreceding, 0)
-    quote = lambda side: F.coalesce(F.last(F.when(F.col("side") == side, F.col("price")), ignorenulls=True).over(order), F.col("price"))
-    return ticks.withColumn("best_bid", quote("BID")).withColumn("best_ask", quote("ASK"))
+    sliced = ticks.withColumn("slice", F.floor(F.col("timestamp_ns") / F.lit(TICK_BUCKET_NS)).cast("bigint"))
+    quotes = {f"best_{side}": ("last", F.when(F.col("side") == side.upper(), F.col("price"))) for side in ("bid", "ask")}
+    out = running(sliced, ("symbol",), "slice", ("timestamp_ns", "src_order"), quotes).drop("slice")
+    return out.withColumns({q: F.coalesce(q, "price") for q in quotes})
 
 
 def adjustment_factors(panel: DataFrame, splits: DataFrame) -> DataFrame:
     """Adds ``adjustment``: the product of 1 / ratio over the symbol's splits gone ex by the bar's time.
 
-    Splits and bars are laid in one order per symbol; logarithms are summed. Equal copies of a split count once.
+    The running product after each split, one row a split, is joined as the attribute in force at each bar's time. Equal
+    copies of a split count once.
     """
-    steps = splits.select("symbol", F.col("ex_date_timestamp").alias("ts"), F.col("ratio_or_amount").alias("ratio")).where("ts is not null").distinct()
-    rows = panel.withColumns({"kind": F.lit(1), "step": F.lit(0.0)})
-    events = steps.select("symbol", "ts", F.lit(0).alias("kind"), (-F.log("ratio")).alias("step"))
-    laid = rows.unionByName(events, allowMissingColumns=True)
-    w = Window.partitionBy("symbol").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return laid.withColumn("adjustment", F.exp(F.sum("step").over(w))).where("kind = 1").drop("kind", "step")
+    each = splits.select("symbol", F.col("ex_date_timestamp").alias("ex"), F.col("ratio_or_amount").alias("ratio")).where("symbol is not null and ex is not null").distinct()
+    steps = each.groupBy("symbol", "ex").agg(F.sum(-F.log("ratio")).alias("step"))
+    so_far = F.sum("step").over(Window.partitionBy("symbol").orderBy("ex").rowsBetween(Window.unboundedPreceding, 0))
+    states = steps.select("symbol", "ex", so_far.alias("log_factor"))
+    known = as_known_join(panel, states, effective="ex", known="ex", tie="ex", attributes=("log_factor",)).select("symbol", "ts", "log_factor")
+    return panel.join(known, ["symbol", "ts"], "left").withColumn("adjustment", F.exp(F.coalesce("log_factor", F.lit(0.0)))).drop("log_factor")
 
 
 POLICIES: dict[str, Callable[..., DataFrame]] = {

@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import engine, panel, runs, signals
 from tidewater.operators.engine import Config, Venue
+from tidewater.operators.sliced import by_slice, numbered, own_rows, with_halo
 from tidewater.plans.reference_queries import FAST, MOST, SLOW
 from tidewater.sources.tables import table
 from tidewater.streaming import paper
@@ -44,9 +45,10 @@ def backtest_full(spark: SparkSession, root: str) -> DataFrame:
 def backtest_ticks(spark: SparkSession, root: str) -> DataFrame:
     """Fills of a momentum run over every symbol's ticks: quotes carried forward, limit orders that only a trade can price."""
     ticks = panel.load_ticks(table(spark, root, "ticks")).where((F.col("price") > 0) & (F.col("price") < float("inf")))
-    quoted = signals.carried_quotes(ticks)
-    w = Window.partitionBy("symbol").orderBy("timestamp_ns", "src_order")
-    change = F.col("price") - F.lag("price", 10).over(w)
+    hours = ticks.withColumn("hour", F.floor(F.col("timestamp_ns") / F.lit(signals.TICK_BUCKET_NS)).cast("bigint")).repartition("symbol", "hour")
+    placed = with_halo(numbered(hours, "symbol", "hour", "timestamp_ns", "src_order"), 10)
+    moved = own_rows(placed.withColumn("change", F.col("price") - F.lag("price", 10).over(by_slice())))
+    quoted, change = signals.carried_quotes(moved), F.col("change")
     rows = quoted.select(
         "symbol", "src_order", F.col("timestamp_ns").alias("ts"), "side", F.col("price").alias("close"), F.col("price").alias("high"), F.col("price").alias("low"),
         F.greatest(F.coalesce("size", F.lit(0.0)), F.lit(0.0)).alias("volume"), F.col("best_bid").alias("bid"), F.col("best_ask").alias("ask"),

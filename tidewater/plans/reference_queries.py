@@ -516,7 +516,8 @@ def frictionless_backtest(spark, root):
 )
 def equity_frame(spark, root):
     rows = _path(spark, root).select("symbol", "ts", "equity", "cash")
-    rows = analytics.drawdowns(rows).withColumn("pnl", F.col("equity") - F.first("equity").over(panel.by_symbol()))
+    start = rows.groupBy("symbol").agg(F.min_by("equity", "ts").alias("start"))
+    rows = analytics.drawdowns(rows).join(start, "symbol").withColumn("pnl", F.col("equity") - F.col("start"))
     return rows.select("symbol", "ts", *_r("equity", "cash", "pnl", digits=3), *_r("drawdown", digits=9))
 
 
