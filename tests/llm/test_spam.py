@@ -41,6 +41,17 @@ def test_menus_and_notices_are_left_aside():
     assert content_sentences(text) == ["The ferry was late."]
 
 
+@pytest.mark.parametrize("notice", ["All rights reserved.", "Subscribe to our newsletter and never miss an update.", "This website stores small files on your device.", "We and our 9 partners store and access information on your device."])
+def test_a_notice_in_one_line_with_content_leaves_the_content(notice):
+    tags = " ".join(f"#cheap{w}" for w in ("wigs", "tyres", "loans", "watches", "flights")) * 8
+    for content in (LIST * 12, tags):
+        own = features(content)
+        language, words, values = features(f"{content.strip()} {notice}")
+        assert abs(words - own[1]) <= 2 and np.allclose(values, own[2], atol=0.05)
+    assert content_sentences("Home | News | Help | Login " + notice) == []
+    assert content_sentences("All rights reserved " + "cheap wigs for sale " * 9) == [("cheap wigs for sale " * 9).strip()]
+
+
 def rows():
     rng = np.random.default_rng(3)
     nouns = [f"word{i}" for i in range(300)]

@@ -56,6 +56,9 @@ _MENU = re.compile(
     r"(?<![^\s|,·•])(?:%s)(?![^\s|,·•])" % "|".join(re.escape(x) for x in sorted(MENU_LABELS, key=len, reverse=True)),
     re.IGNORECASE,
 )
+_NOTICE = re.compile("|".join(map(re.escape, NOTICE_WORDS)), re.IGNORECASE)
+#: A notice's sentence reaches so many words before and after its phrase at most, and so many characters within a run without blanks.
+NOTICE_BEFORE, NOTICE_AFTER, NOTICE_RUN = 10, 20, 24
 _EMPTIED = re.compile(r"(?:\s*[|,·•]\s*){2,}")
 _LABELS = tuple(MENU_LABELS)
 _CODES = {code: 1 << i for i, code in enumerate(FUNCTION_WORDS)}
@@ -120,6 +123,39 @@ def _bound_share(text: str) -> float:
     return max(by_code) / max(1, len(words))
 
 
+def _notice_start(piece: str, at: int) -> int:
+    """Where the sentence begins whose notice phrase is at ``at``: the farthest capital of the few words before it."""
+    base = max(0, at - 40 * NOTICE_BEFORE)
+    words = list(re.finditer(r"\S+", piece[base:at]))[-NOTICE_BEFORE:]
+    if words and base + words[-1].end() == at:  # the phrase stands within a word
+        start = max(base + words.pop().start(), at - NOTICE_RUN)
+    else:
+        start = at
+    for m in reversed(words):
+        word = m.group()
+        if "http" in word or word[0] in "|#·•/>»–-;" or word[-1] in "|·•;":
+            break
+        if word[0].isupper():
+            start = base + m.start()
+    return start
+
+
+def _without_notices(piece: str) -> str:
+    """The piece without the notices at its start and end; what stands in one line with them is kept."""
+    for _ in range(3):
+        found = list(_NOTICE.finditer(piece))
+        if not found:
+            break
+        last, first = found[-1], found[0]
+        if len(rest := piece[last.end() :].split()) <= NOTICE_AFTER and sum(map(len, rest)) <= 12 * NOTICE_AFTER:
+            piece = piece[: _notice_start(piece, last.start())].strip(" |,·•\t")
+        elif len(piece[: first.start()].split()) <= NOTICE_BEFORE and first.start() <= 12 * NOTICE_BEFORE:
+            piece = re.sub(r"^[^\s|,·•]+", "", piece[first.end() :]).strip(" |,·•\t")
+        else:
+            break
+    return piece
+
+
 def content_sentences(text: str) -> list[str]:
     """The page's own sentences and lines: without menus, notices and footers."""
     out = []
@@ -128,9 +164,13 @@ def content_sentences(text: str) -> list[str]:
     for i, piece in enumerate(pieces):
         piece = piece.strip()
         low = piece.lower()
-        if not piece or low in MENU_LABELS or any(w in low for w in NOTICE_WORDS):
+        noticed = any(w in low for w in NOTICE_WORDS)
+        if noticed:
+            piece = _without_notices(piece)
+            low = piece.lower()
+        if len(piece) < 1 + 2 * noticed or low in MENU_LABELS:
             continue
-        if (i < 4 or i > last) and (low.startswith(_LABELS) or piece.count("|") + piece.count(",") >= 4):
+        if (noticed or i < 4 or i > last) and (low.startswith(_LABELS) or piece.count("|") + piece.count(",") >= 4):
             labels = _MENU.findall(piece)
             if len(labels) >= 3 or (len(labels) == 2 and len(piece) < 60):
                 piece = _EMPTIED.sub(" ", _MENU.sub(" ", piece)).strip(" |,·•\t")
