@@ -275,3 +275,33 @@ def test_rolling_totals_match_brute_force(spark):
                 assert r[f"count_{n}d"] == len(part) and r[f"total_{n}d"] == part.sum()
                 assert np.isclose(r[f"avg_{n}d"], part.mean(), equal_nan=True)
     assert rolling_totals(spark.createDataFrame([], BARS)).count() == 0
+
+
+def test_every_reading_of_a_minute_counts_at_its_own_time():
+    rng = np.random.default_rng(5)
+    counts = np.array([3, 1, 7, 2])
+    slot = np.array([0, 1, 4, 5])
+    minutes, (lq, sq, r) = np.repeat(slot, counts), (0.03, 0.002, 0.01)
+    at = np.concatenate([np.sort(rng.uniform(0.01, 1.0, n)) for n in counts])
+    x = rng.normal(0, 0.3, len(at))
+    own = [np.full(len(counts), v) for v in (lq, sq, r)]
+    got, var = regrid.smooth_summaries(regrid.minute_summaries(x, at, counts, *own), np.zeros(4, int), slot, 7, np.array([0.0]), *(np.array([v]) for v in (lq, sq, r)))
+    times = np.append(minutes + at, np.arange(1.0, 8.0))
+    low = np.minimum.outer(times, times)
+    high = np.maximum.outer(times, times)
+    cov = (r + lq) + lq * low + np.outer(times, times) * (sq + 1e-12) + sq * low**2 * (3 * high - low) / 6
+    n = len(x)
+    gain = cov[n:, :n] @ np.linalg.inv(cov[:n, :n] + r * np.eye(n))
+    assert np.allclose(got[0], gain @ x, atol=1e-8)
+    assert np.allclose(var[0], np.diag(cov[n:, n:] - gain @ cov[:n, n:]), atol=1e-8)
+
+
+def test_earlier_readings_of_a_minute_steer_the_fill(spark):
+    base = 1_700_000_000 // 86_400 * 86_400 * 10**9
+    rng = np.random.default_rng(8)
+    level = 100 + np.cumsum(rng.normal(0, 0.2 / np.sqrt(30), 3_600))
+    rows = [(i, base + (i + 1) * regrid.MINUTE_NS // 30 - 1, "AAA", float(level[i] + rng.normal(0, 0.2)), 1.0, "bid") for i in range(3_600)]
+    full, thin = (regrid.minute_grid(spark.createDataFrame(x, TICKS)).toPandas().sort_values("minute_start") for x in (rows, rows[29::30]))
+    assert full["n_readings"].eq(30).all() and thin["n_readings"].eq(1).all()
+    error = lambda out: float(np.sqrt(np.mean((out["fill_price"].to_numpy() - level[29::30]) ** 2)))
+    assert error(full) < 0.8 * error(thin) and full["fill_sd"].median() < thin["fill_sd"].median()
