@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from tidewater.operators import runs
 from tidewater.operators.engine import Config, Venue
 from tidewater.plans.planner import closed_form_fits, run_policy
 
@@ -32,3 +33,26 @@ def test_the_guard_sends_thin_markets_to_the_fold(spark):
     curve, plan = run_policy(panel(spark, volume=4.0), "momentum", config, lookback=3, max_position=2)
     assert plan == "fold" and curve.count() == 160
     assert run_policy(panel(spark), "momentum", config, lookback=3, max_position=5)[1] == "fold"
+
+
+def test_walk_forward_runs_every_part_anew(spark):
+    """Each fold's figures are those of a sweep over its own rows alone."""
+    rng = np.random.default_rng(4)
+    schema = "symbol string, ts bigint, row_idx bigint, close double, volume double"
+    long = [("LONG", i * 43_200, i, float(c), 1e6) for i, c in enumerate(100 * np.exp(np.cumsum(rng.normal(0, 0.02, 150))))]
+    thin = [("THIN", i * 43_200, i, float(c), 1e6) for i, c in enumerate(100 * np.exp(np.cumsum(rng.normal(0, 0.02, 60))))]
+    panel, combos = spark.createDataFrame(long + thin, schema), [(0, 2, 5), (1, 3, 8)]
+    folds, curve = (d.toPandas() for d in runs.walk_forward_folds(panel, combos))
+    assert len(folds) == 6 and len(curve) == sum(folds.test_end - folds.test_start)
+    of_long = folds[folds.symbol == "LONG"].set_index("fold")
+    for fold, lo, mid, _, hi in runs.walk_forward_windows(150, 3)[1:2]:
+        alone = lambda a, b: spark.createDataFrame([(s, t, i - a, c, v) for s, t, i, c, v in long[a:b]], schema)
+        trained, tested = (runs.sweep(alone(a, b), combos).toPandas().set_index("combo_idx") for a, b in ((lo, mid), (mid, hi)))
+        won, got = trained.sharpe.idxmax(), of_long.loc[fold]
+        assert got.combo_idx == won and np.isclose(got.is_sharpe, trained.sharpe[won]) and np.isclose(got.oos_sharpe, tested.sharpe[won])
+        assert np.isclose(got.is_max_drawdown, trained.max_drawdown[won]) and np.isclose(got.oos_max_drawdown, tested.max_drawdown[won])
+    assert np.allclose(of_long.efficiency, of_long.oos_sharpe.mean() / of_long.is_sharpe.mean())
+    flat = runs.walk_forward_folds(panel.where("symbol = 'THIN'"), [(1, 3, 8)])[0].toPandas()
+    assert (flat.oos_sharpe == 0).all()  # six test rows are fewer than the slow average needs
+    kept = runs.walk_forward_folds(panel, combos, anchored=True, stride=2, shortlist=1)[0].toPandas()
+    assert len(kept) == 6 and (kept.train_start == 0).all()

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewater.operators.analytics import sharpe_sortino
@@ -24,13 +24,13 @@ def param_grid(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def crossover_paths(panel: DataFrame, combos: list[tuple[int, int, int]], max_position: int = 5, costs: Costs = Costs()) -> DataFrame:
+def crossover_paths(panel: DataFrame, combos: list[tuple[int, int, int]], max_position: int = 5, costs: Costs = Costs(), series: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Closed-form runs of moving-average crossovers for each ``(combo_idx, fast, slow)``, for every symbol.
 
     All averages are windows over one sort of the symbol's bars; each bar is then exploded into its combinations, whose
-    number is fixed by the grid. Runs are keyed by ``(combo_idx, symbol)``.
+    number is fixed by the grid. Runs are keyed by ``combo_idx`` and ``series``, within which ``row_idx`` starts from 0.
     """
-    w = by_slice()
+    w = by_slice(*series)
     lengths = sorted({n for _, f, s in combos for n in (f, s)})
     sliced = with_halo(panel, max(lengths) - 1)
     averaged = own_rows(sliced.withColumns({f"ma_{n}": F.avg("close").over(w.rowsBetween(1 - n, 0)) for n in lengths}))
@@ -40,15 +40,18 @@ def crossover_paths(panel: DataFrame, combos: list[tuple[int, int, int]], max_po
         return F.when(F.col("row_idx") >= slow - 1, gap).otherwise(0)
 
     runs = F.array(*(F.struct(F.lit(i).alias("combo_idx"), target(f, s).alias("target")) for i, f, s in combos))
-    exploded = averaged.select("symbol", "ts", "row_idx", "close", "volume", F.explode(runs).alias("run")).select("symbol", "ts", "row_idx", "close", "volume", "run.*")
-    return closed_form(exploded, costs, run=("combo_idx", "symbol"))
+    exploded = averaged.select(*series, "ts", "row_idx", "close", "volume", F.explode(runs).alias("run")).select(*series, "ts", "row_idx", "close", "volume", "run.*")
+    return closed_form(exploded, costs, run=("combo_idx", *series))
 
 
 def sweep(panel: DataFrame, combos: list[tuple[int, int, int]], max_position: int = 5) -> DataFrame:
     """Sharpe, Sortino, largest drawdown, trades and gain of every combination and symbol, from daily equity."""
-    paths = crossover_paths(panel, combos, max_position)
+    return rated(crossover_paths(panel, combos, max_position), ("combo_idx", "symbol"))
+
+
+def rated(paths: DataFrame, runs: tuple[str, ...]) -> DataFrame:
+    """Sharpe, Sortino, largest drawdown, trades and gain of every run of ``paths``, from daily equity."""
     day = F.floor(F.col("ts") / 86_400).cast("bigint").alias("epoch_day")
-    runs = ("combo_idx", "symbol")
     daily = paths.groupBy(*runs, day).agg(
         F.max_by("equity", "row_idx").alias("equity"), F.max("drawdown").alias("drawdown"), F.count_if(F.col("trade") != 0).alias("trades")
     )
@@ -90,7 +93,7 @@ def walk_forward_windows(n_rows: int, folds: int, train_fraction: float = 0.7, a
     return out
 
 
-def fold_spans(sizes: DataFrame, folds: int, train_fraction: float = 0.7) -> DataFrame:
+def fold_spans(sizes: DataFrame, folds: int, train_fraction: float = 0.7, anchored: bool = False) -> DataFrame:
     """Walk-forward windows of every symbol from its ``rows``: the same cuts as ``walk_forward_windows``, as columns."""
     k = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold")
     out = sizes.select("symbol", "rows", k)
@@ -100,13 +103,15 @@ def fold_spans(sizes: DataFrame, folds: int, train_fraction: float = 0.7) -> Dat
     out = out.where(length >= 3)
     taken = F.least(F.greatest(F.floor(length * train_fraction + 1e-9), F.lit(1)), length - 1)
     out = out.withColumn("train_end", (F.col("train_start") + taken).cast("bigint")).withColumn("test_start", F.col("train_end"))
+    if anchored:
+        out = out.withColumn("train_start", F.lit(0).cast("bigint"))
     return out.select("symbol", "fold", "train_start", "train_end", "test_start", "test_end")
 
 
 def walk_forward(panel: DataFrame, combos: list[tuple[int, int, int]], folds: int = 3, train_fraction: float = 0.7, max_position: int = 5) -> DataFrame:
     """Per symbol and fold the best combination in training and its Sharpe in and out of sample, all in one job.
 
-    Row returns of every combination's path are computed once; each row belongs to one fold and to its training or test
+    Folds are read off one run over the whole history; ``walk_forward_folds`` starts each part anew. Row returns of every combination's path are computed once; each row belongs to one fold and to its training or test
     part, so selection and evaluation are aggregations over the same exploded rows.
     """
     paths = crossover_paths(panel, combos, max_position)
@@ -127,9 +132,62 @@ def walk_forward(panel: DataFrame, combos: list[tuple[int, int, int]], folds: in
     return out.withColumn("overfit_warning", overfit)
 
 
-def finite_mean(column: Column) -> Column:
+_SLICE = ("symbol", "fold", "part")
+
+
+def walk_forward_paths(panel: DataFrame, combos: list[tuple[int, int, int]], spans: DataFrame, max_position: int = 5, stride: int = 1) -> DataFrame:
+    """Runs of every combination over each fold's training (``is``) and test (``oos``) rows, keyed by ``(symbol, fold, part, combo_idx)``.
+
+    Every part is a run of its own: warm-up, position and cash start anew and rows count from 0. With ``stride`` over 1 the
+    part ``strided`` holds every so-many-th row of the training.
+    """
+    part = lambda name, a, b, step: F.struct(F.lit(name).alias("part"), F.col(a).alias("from_row"), F.col(b).alias("to_row"), F.lit(step).alias("step"))
+    parts = [part("is", "train_start", "train_end", 1), part("oos", "test_start", "test_end", 1)]
+    parts += [part("strided", "train_start", "train_end", stride)] if stride > 1 else []
+    cuts = spans.select(F.col("symbol").alias("of_symbol"), "fold", F.explode(F.array(*parts)).alias("p")).select("of_symbol", "fold", "p.*")
+    place = F.col("row_idx") - F.col("from_row")
+    held = (F.col("symbol") == F.col("of_symbol")) & (F.col("row_idx") >= F.col("from_row")) & (F.col("row_idx") < F.col("to_row")) & (place % F.col("step") == 0)
+    rows = panel.join(cuts, held).withColumn("row_idx", F.floor(place / F.col("step")).cast("bigint"))
+    return crossover_paths(rows.select(*_SLICE, "ts", "row_idx", "close", "volume"), combos, max_position, series=_SLICE)
+
+
+def walk_forward_folds(
+    panel: DataFrame, combos: list[tuple[int, int, int]], folds: int = 3, train_fraction: float = 0.7, max_position: int = 5,
+    anchored: bool = False, stride: int = 1, shortlist: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Walk-forward validation with every training and test part run anew: the folds, and the out-of-sample curve.
+
+    Per symbol and fold the best combination in training, its Sharpe and largest drawdown in and out of sample, and per symbol
+    the means of the finite Sharpes and their ratio ``efficiency`` (0 where the mean in training is 0). ``anchored`` trainings start
+    at the first row. With ``stride`` the training is ranked on every so-many-th row; ``shortlist`` then ranks that many of the
+    best anew on all training rows. The curve is the best combinations' equity over the test rows, fold after fold, not rebased.
+    """
+    spans = fold_spans(panel.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows")), folds, train_fraction, anchored)
+    paths = walk_forward_paths(panel, combos, spans, max_position, stride)
+    figures = rated(paths, ("combo_idx", *_SLICE))
+    of = lambda part, name: F.max(F.when(F.col("part") == part, F.col(name)))
+    ranked_on = "strided" if stride > 1 else "is"
+    wide = figures.groupBy("symbol", "fold", "combo_idx").agg(
+        *(of(p, m).alias(f"{p}_{m}") for p in ("is", "oos") for m in ("sharpe", "max_drawdown")), *(of(ranked_on, m).alias(f"ranked_{m}") for m in ("sharpe", "max_drawdown"))
+    )
+    fold = Window.partitionBy("symbol", "fold")
+    best = wide.withColumn("place", F.row_number().over(fold.orderBy(*grid_order(wide, "ranked_sharpe")))).where(F.col("place") <= (shortlist or 1))
+    if shortlist:
+        best = best.withColumn("place", F.row_number().over(fold.orderBy(grid_order(wide, "is_sharpe")[0], "place"))).where("place = 1")
+    else:
+        best = best.withColumns({"is_sharpe": F.col("ranked_sharpe"), "is_max_drawdown": F.col("ranked_max_drawdown")})
+    best = best.drop("place", "ranked_sharpe", "ranked_max_drawdown")
+    of_symbol = Window.partitionBy("symbol")
+    means = best.withColumns({f"mean_{m}": finite_mean(F.col(m), of_symbol) for m in ("is_sharpe", "oos_sharpe")})
+    efficiency = F.when(F.col("mean_is_sharpe") != 0, F.col("mean_oos_sharpe") / F.col("mean_is_sharpe")).otherwise(0.0)
+    curve = paths.where("part = 'oos'").join(best.select("symbol", "fold", "combo_idx"), ["symbol", "fold", "combo_idx"])
+    return means.withColumn("efficiency", efficiency).join(spans, ["symbol", "fold"]), curve.select("symbol", "fold", "combo_idx", "ts", "row_idx", "equity")
+
+
+def finite_mean(column: Column, over: WindowSpec | None = None) -> Column:
     """Mean of the finite values, 0 if there are none."""
-    return F.coalesce(F.avg(F.when(~F.isnan(column) & (F.abs(column) != float("inf")), column)), F.lit(0.0))
+    mean = F.avg(F.when(~F.isnan(column) & (F.abs(column) != float("inf")), column))
+    return F.coalesce(mean.over(over) if over is not None else mean, F.lit(0.0))
 
 
 def monte_carlo(spark: SparkSession, returns: np.ndarray, n_sims: int = 200, method: str = "bootstrap", block: int = 10, seed: int = 0, parts: int = 8) -> DataFrame:

@@ -835,3 +835,13 @@ SELECT symbol, fold""",
 )
 def walk_forward(spark, root):
     return runs.walk_forward(_panel(spark, root), COMBOS, 3, 0.7, MOST)
+
+
+@query("walk_forward_folds")
+def walk_forward_folds(spark, root):
+    return runs.walk_forward_folds(_panel(spark, root), COMBOS, 3, 0.7, MOST)[0]
+
+
+@query("walk_forward_curve")
+def walk_forward_curve(spark, root):
+    return runs.walk_forward_folds(_panel(spark, root), COMBOS, 3, 0.7, MOST)[1]
