@@ -45,6 +45,9 @@ _SENTENCE = re.compile(r"\n+|(?<=[.!?…])\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+\.example\S*", re.IGNORECASE)
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+# Japanese particles, and the hiragana endings that hold a sentence together.
+_PARTICLE = re.compile(r"[はがをにでともへやのなか]|.*(?:した|れた|った|らせた|えた|いる|する|ある|ない|いの|だが?|です|ます|のか|という|ので|から|まで|までに|には|では|とは|ること|いた)")
+_KANA = re.compile(r"[\u3040-\u309f]")
 _SCRIPT_RUN = re.compile(r"[\u3040-\u309f]+|[\u30a0-\u30ff]+|[\u3400-\u9fff]+")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){4,}[^\W\d_](?!\S)")
 _LEET = re.compile(r"\w*(?:[^\W\d][0-9$@]|[0-9$@][^\W\d])[\w$@]*")
@@ -99,28 +102,25 @@ def mend(text: str) -> str:
 
 def _mend_charset(text: str) -> str:
     """Undo one wrong choice between single-byte or Japanese charsets, judged by function words and kana."""
-    best, most = text, 2 * _bound_share(text[:1500]) + 0.05
+    best, most = text, 2 * _bound_share(text) + 0.05
     for read in _READ_AS:
-        raw = text[:1500].encode(read, "replace")
+        raw = text.encode(read, "replace")
         for written in _WRITTEN_AS:
             if written != read:
-                share = _bound_share(raw.decode(written, "ignore"))
+                mended = raw.decode(written, "ignore")
+                share = _bound_share(mended)
                 if share > most:
-                    best, most = text.encode(read, "replace").decode(written, "ignore"), share
+                    best, most = mended, share
     return best
 
 
 def _bound_share(text: str) -> float:
+    """Share of the words that are function words of the language that has most; 1 for text of which a quarter is kana."""
     words = _WORD.findall(text.lower())
-    kana = sum("\u3040" <= ch <= "\u309f" for ch in text)
-    if kana * 4 > len(text):
+    if len(_KANA.findall(text)) * 4 > len(text):
         return 1.0
-    by_code = [0] * len(_CODES)
-    for w in words:
-        m = _MASK.get(w, 0)
-        for i in range(len(by_code)):
-            by_code[i] += m >> i & 1
-    return max(by_code) / max(1, len(words))
+    masks = Counter(map(_MASK.get, words))
+    return max(sum(k for mask, k in masks.items() if mask and mask & bit) for bit in _CODES.values()) / max(1, len(words))
 
 
 def _notice_start(piece: str, at: int) -> int:
@@ -159,9 +159,7 @@ def _without_notices(piece: str) -> str:
 def content_sentences(text: str) -> list[str]:
     """The page's own sentences and lines: without menus, notices and footers."""
     out = []
-    pieces = _SENTENCE.split(text)
-    last = len(pieces) - 4
-    for i, piece in enumerate(pieces):
+    for piece in _SENTENCE.split(text):
         piece = piece.strip()
         low = piece.lower()
         noticed = any(w in low for w in NOTICE_WORDS)
@@ -170,7 +168,7 @@ def content_sentences(text: str) -> list[str]:
             low = piece.lower()
         if len(piece) < 1 + 2 * noticed or low in MENU_LABELS:
             continue
-        if (noticed or i < 4 or i > last) and (low.startswith(_LABELS) or piece.count("|") + piece.count(",") >= 4):
+        if noticed or low.startswith(_LABELS) or piece.count("|") + piece.count(",") >= 4:
             labels = _MENU.findall(piece)
             if len(labels) >= 3 or (len(labels) == 2 and len(piece) < 60):
                 piece = _EMPTIED.sub(" ", _MENU.sub(" ", piece)).strip(" |,·•\t")
@@ -215,7 +213,7 @@ def _measured(plain: str) -> tuple[str, int, tuple[float, ...], float]:
     if lost:  # letters beyond repair; the shape of words and sentences is all there is
         plain = plain.replace("\ufffd", _LOST)
     pieces = content_sentences(plain)
-    japanese = len(_CJK.findall(plain[:3000])) * 5 > min(len(plain), 3000)
+    japanese = len(_CJK.findall(plain)) * 5 > len(plain)
     links = tags = 0
     lines: list[tuple[str, list[str], int]] = []
     by_code = Counter()
@@ -243,7 +241,7 @@ def _measured(plain: str) -> tuple[str, int, tuple[float, ...], float]:
         if japanese:
             f = 0
             for w in words:
-                if len(w) <= 2 and "\u3040" <= w[0] <= "\u309f":
+                if "\u3040" <= w[0] <= "\u309f" and _PARTICLE.fullmatch(w):
                     f += 1
                 elif w[0] not in _DIGITS:
                     content[w] += 1
@@ -267,10 +265,9 @@ def _measured(plain: str) -> tuple[str, int, tuple[float, ...], float]:
         return language, 0, (0.0,) * len(FEATURES), 0.0
     said = max(1, total - data)
     n_content = sum(content.values())
-    enough = n_content >= 12
     top = sum(k for _, k in content.most_common(2)) - 4  # two words used twice are nothing on a short page
-    focus = max(0, top) / n_content if enough else 0.0
-    repetition = 1.0 - len(content) / n_content if enough else 0.0
+    focus = max(0, top) / max(1, n_content)
+    repetition = (n_content - len(content)) / max(1, n_content)
     odd = len(_LEET.findall(plain)) if "$" in plain or "@" in plain else 0
     hidden = min(1.0, (spread + zero / 3 + odd) / total)
     lacking = 1.0 - min(1.0, bound / said / 0.2) if data * 2 < total else 0.0

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from tidewater.llm.pagefeatures import FEATURES, feature_array
 from tidewater.runtime import cut_lineage
 
-#: Pages with fewer words of their own are too short to judge; up to FULL_WORDS a page's distance counts in proportion.
-LEAST_WORDS, FULL_WORDS = 12, 30
-#: Pages with fewer words don't enter the estimates of what is normal.
-ESTIMATE_WORDS = 20
+#: Words of own content at which a page's figures count in full; those of a shorter page count in proportion.
+FULL_WORDS = 40
+#: Pages that the figures of all languages weigh against a language's own.
+PRIOR_PAGES = 100
+#: Concentration steps of the robust covariance, the squared distance within which pages enter it (the 0.975 quantile of chi-square
+#: with as many degrees of freedom as there are features), and the ridge that keeps it regular where features are 0 on nearly all pages.
+CONCENTRATIONS, INSIDE, RIDGE = 4, 16.01, 0.25
 #: Least scale of each feature, so that features which are 0 on nearly all pages don't blow up.
 LEAST_SCALE = np.array([0.10, 0.15, 0.05, 0.20, 0.03, 0.03, 0.03])
 #: Directions in which spam lies, as weights of FEATURES: lists of keywords or tags without sentences, stuffed sentences,
@@ -28,9 +31,9 @@ DIRECTIONS = {
     "disguised": (0, 0, 0, 0, 0, 0, 1),
 }
 #: Most labelled pages that the cut is fitted on, the cuts tried, and the cut where labels say nothing.
-MOST_LABELS, CUTS, DEFAULT_CUT = 20_000, np.arange(4.0, 6.01, 0.25), 4.75
+MOST_LABELS, CUTS, DEFAULT_CUT = 20_000, np.arange(4.0, 6.01, 0.25), 4.5
 #: Least cosine between a page's deviation and the spam direction, in the whitened space.
-LEAST_COSINE = 0.5
+LEAST_COSINE = 0.4
 ANY = "*"
 
 
@@ -56,54 +59,60 @@ def _by_language(rows: DataFrame, aggs: list[Column]) -> dict[str, dict]:
 
 
 def normal_pages(features: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per language the robust centre, scale and inverse covariance of the features, over all pages.
+    """Per language the robust centre, scale and inverse covariance of the features, over all pages with words.
 
-    Medians and median absolute deviations, then the covariance of the pages within three scales of the centre in
-    every feature, with a ridge of a quarter. Languages with fewer than 100 pages take those of all pages.
+    A minimum covariance determinant estimate with a ridge: from medians and median absolute deviations, CONCENTRATIONS steps
+    each take centre and covariance of the pages within the distance INSIDE of the step before. Centre and scale of a language
+    lean towards those of all pages as if PRIOR_PAGES pages of all languages were among its own. Every step is one aggregation; a row
+    per language reaches the driver.
     """
-    judged = features.where(F.col("n_words") >= ESTIMATE_WORDS)
-    middle = _by_language(judged, [F.count(F.lit(1)).alias("pages"), *(F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FEATURES)])
+    k = len(FEATURES)
+    judged = features.where(F.col("n_words") > 0)
+    medians = lambda columns: [F.percentile_approx(c, 0.5, 10_000).alias(f) for c, f in zip(columns, FEATURES)]
+    middle = _by_language(judged, [F.count(F.lit(1)).alias("pages"), *medians(FEATURES)])
     if not middle:
         return {}
+    centres = {x: np.array([v[f] for f in FEATURES]) for x, v in middle.items()}
 
-    def looked_up(table: dict[str, np.ndarray], i: int) -> Column:
-        out = F.lit(float(table[ANY][i]))
-        for language, values in table.items():
-            if language != ANY:
-                out = F.when(F.col("home") == language, float(values[i])).otherwise(out)
-        return out
-
-    centres = {k: np.array([v[f] for f in FEATURES]) for k, v in middle.items()}
-    own = judged.withColumn("language", F.explode(F.array("language", F.lit(ANY)))).withColumn("home", F.col("language"))
-    away = own.select("language", "home", *(F.abs(F.col(f) - looked_up(centres, i)).alias(f) for i, f in enumerate(FEATURES)))
-    spread = {r["language"]: r for r in away.groupBy("language").agg(*(F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FEATURES)).collect()}
-    scales = {k: np.maximum(1.4826 * np.array([r[f] for f in FEATURES]), LEAST_SCALE) for k, r in spread.items()}
-
-    z = own.select("language", *(((F.col(f) - looked_up(centres, i)) / looked_up(scales, i)).alias(f) for i, f in enumerate(FEATURES)))
-    inside = z.where(F.greatest(*(F.abs(F.col(f)) for f in FEATURES)) < 2.9)
-    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-    sums = {
-        r["language"]: r
-        for r in inside.groupBy("language")
-        .agg(
-            F.count(F.lit(1)).alias("pages"),
-            *(F.sum(f).alias(f"s_{f}") for f in FEATURES),
-            *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p_{i}_{j}") for i, j in pairs),
-        )
-        .collect()
-    }
-    out = {}
-    for language in centres:
-        r = sums.get(language)
-        if language != ANY and (r is None or middle[language]["pages"] < 100):
-            continue
-        cov = np.zeros((len(FEATURES),) * 2)
-        if r is not None:
-            mean = np.array([r[f"s_{f}"] for f in FEATURES]) / r["pages"]
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = pdf[list(FEATURES)].to_numpy(float)
+            centre = np.stack([centres[v] for v in pdf["language"]]) if len(pdf) else np.zeros((0, k))
+            yield pd.DataFrame(np.abs(x - centre), columns=list(FEATURES)).assign(language=pdf["language"].to_numpy())
+
+    both = judged.withColumn("language", F.explode(F.array("language", F.lit(ANY)))).select("language", *FEATURES)
+    away = both.mapInPandas(apart, ", ".join(f"{f} double" for f in FEATURES) + ", language string")
+    spread = {r["language"]: r for r in away.groupBy("language").agg(*medians(FEATURES)).collect()}
+    scales = {x: np.maximum(1.4826 * np.array([r[f] for f in FEATURES]), LEAST_SCALE) for x, r in spread.items()}
+    for x, v in middle.items():
+        own = 1.0 if x == ANY else v["pages"] / (v["pages"] + PRIOR_PAGES)
+        centres[x] = own * centres[x] + (1 - own) * centres[ANY]
+        scales[x] = own * scales[x] + (1 - own) * scales[ANY]
+    inner = {x: (np.zeros(k), np.eye(k)) for x in middle}
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    columns = ["pages", *(f"s_{i}" for i in range(k)), *(f"p_{i}_{j}" for i, j in pairs)]
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for language, of in pdf.groupby("language"):
+                z = (of[list(FEATURES)].to_numpy(float) - centres[language]) / scales[language]
+                mean, inverse = inner[language]
+                z = z[np.einsum("ij,jk,ik->i", z - mean, inverse, z - mean) < INSIDE]
+                cross = z.T @ z
+                rows.append((language, float(len(z)), *z.sum(axis=0), *(cross[i, j] for i, j in pairs)))
+            yield pd.DataFrame(rows, columns=["language", *columns])
+
+    for _ in range(CONCENTRATIONS):
+        partial = both.mapInPandas(moments, "language string, " + ", ".join(f"{c} double" for c in columns))
+        for r in partial.groupBy("language").agg(*(F.sum(c).alias(c) for c in columns)).collect():
+            if r["pages"] < 2:
+                continue
+            mean, cov = np.array([r[f"s_{i}"] for i in range(k)]) / r["pages"], np.zeros((k, k))
             for i, j in pairs:
                 cov[i, j] = cov[j, i] = r[f"p_{i}_{j}"] / r["pages"] - mean[i] * mean[j]
-        out[language] = (centres[language], scales[language], np.linalg.inv(cov + 0.25 * np.eye(len(FEATURES))))
-    return out
+            inner[r["language"]] = (mean, np.linalg.inv(cov + RIDGE * np.eye(k)))
+    return {x: (centres[x] + inner[x][0] * scales[x], scales[x], inner[x][1]) for x in middle}
 
 
 def spam_scores(features: DataFrame, normal: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
@@ -125,7 +134,7 @@ def spam_scores(features: DataFrame, normal: dict[str, tuple[np.ndarray, np.ndar
                 along = z @ inverse @ ways.T / np.sqrt(np.einsum("ij,jk,ik->i", ways, inverse, ways))
                 score[at], way[at] = along.max(axis=1), along.argmax(axis=1)
             words = pdf["n_words"].to_numpy()
-            trust = np.where(words < LEAST_WORDS, 0.0, np.minimum(1.0, words / FULL_WORDS))
+            trust = np.minimum(1.0, words / FULL_WORDS)
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"],
@@ -164,7 +173,8 @@ def spam_pages(documents: DataFrame, labels: DataFrame | None = None) -> DataFra
     entropy, repetition and function-word features of its own content) and its deviation points in a spam direction.
     Menus, notices and footers are left aside; text read under a wrong charset is mended first; the language is taken
     from script and function words, as declared ones may be wrong. Statistics cover all documents; only a row per
-    language and a bounded sample of labels reach the driver. Null, empty and very short texts are no spam. Null labels
+    language and a bounded sample of labels reach the driver. Null and empty texts are no spam; the figures of a page of fewer than FULL_WORDS
+    words count in proportion, so that a few words alone seldom are. Null labels
     or unknown ids in ``labels`` are ignored; without labels the default cut holds. An empty table gives no rows.
     """
     features = cut_lineage(page_features(documents))
