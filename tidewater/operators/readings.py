@@ -12,20 +12,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.hmm import bad_readings
+from tidewater.operators.hmm import NORMS, bad_readings
 from tidewater.runtime import cut_lineage
 
 #: Rows of a range partition (the unit that one task holds), and readings on each side of a partition's border that
 #: are decided with both sides at hand.
 PARTITION_ROWS, HALO = 250_000, 2_048
 
-_OUT = "kind tinyint, border int, own boolean, field tinyint, symbol string, ts bigint, value double, bad boolean, state tinyint, p_bad double"
+_OUT = "kind tinyint, piece int, border int, own boolean, field tinyint, symbol string, ts bigint, value double, bad boolean, state tinyint, p_bad double, " + ", ".join(f"{n} double" for n in NORMS)
 _FLAG, _OPEN = 0, 1
 
 
 def series_of(df: DataFrame, field: int, source: str, ts: str, value: str, impossible, order: str) -> DataFrame:
     """Rows of one series field in the common form ``(field, symbol, ts, ord, value, bad)``."""
-    return df.where(F.col(source).isNotNull() & F.col(ts).isNotNull()).select(
+    return df.select(
         F.lit(field).cast("tinyint").alias("field"),
         F.col(source).alias("symbol"),
         F.col(ts).alias("ts"),
@@ -39,16 +39,18 @@ def flag_readings(series: DataFrame, amounts: tuple[int, ...] = (), partition_ro
     """The bad readings of ``series`` (see ``series_of``): ``field, symbol, ts, value, state, p_bad``.
 
     Of several rows with one ``(field, symbol, ts)`` the one with the largest ``ord`` is valid; null and NaN values are
-    missing and no readings. ``amounts`` lists the fields that hold amounts, for which zero is legal.
+    missing and no readings, rows without symbol or time are ignored. ``amounts`` lists the fields that hold amounts, for
+    which zero is legal.
 
     One range partitioning on ``(field, symbol, ts)`` orders and deduplicates the series and splits a hot symbol over
-    as many tasks as its rows need; the number of partitions follows the number of rows. Each task scores its series;
-    the readings within HALO of a border at which a series is cut are decided in a second, small step that holds both
-    sides (about 4 * HALO rows a border). Every reading is decided exactly once. Series of fewer than 15 readings have
-    no normal behaviour to judge by; of them only impossible values and frozen runs are found. An empty table gives
-    no rows.
+    as many tasks as its rows need; the number of partitions follows the number of rows, which the files' footers tell. Each task
+    scores its series; the readings within HALO of a border at which a series is cut are decided in a second, small step that
+    holds both sides (about 4 * HALO rows a border) and takes what is normal from the longer of the two pieces. Every reading is
+    decided exactly once. Series of at most SIDE usable readings have no normal behaviour to judge by; of them only impossible
+    values and frozen runs are found. An empty table gives no rows.
     """
-    rows = series.count()
+    rows = series.count()  # no column is needed for it, so no data are read
+    series = series.where("symbol is not null and ts is not null")
     parts = max(1, -(-rows // partition_rows))
     if parts > 1:
         ordered = series.repartitionByRange(parts, "field", "symbol", "ts")
@@ -64,10 +66,12 @@ def flag_readings(series: DataFrame, amounts: tuple[int, ...] = (), partition_ro
     found = cut_lineage(ordered.mapInArrow(score, _OUT))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable").drop_duplicates("ts")
-        state, p = bad_readings(
-            pdf["value"].to_numpy(), pdf["bad"].to_numpy(bool), np.array([0]), np.array([pdf["field"].iloc[0] in amounts])
-        )
+        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
+        pieces = pdf.groupby("piece")["readings"].first()
+        norms = None
+        if len(pdf) < pieces.sum():  # else the series is here whole
+            norms = pdf.loc[[pdf["readings"].idxmax()], list(NORMS)].to_numpy(float)
+        state, p, _ = bad_readings(pdf["value"].to_numpy(), pdf["bad"].to_numpy(bool), np.array([0]), np.array([pdf["field"].iloc[0] in amounts]), norms)
         out = pdf[["field", "symbol", "ts", "value"]].assign(state=state.astype("int8"), p_bad=p)
         return out[(state != 0) & pdf["own"].to_numpy(bool)]
 
@@ -98,7 +102,8 @@ def _score_partition(t: pa.Table, pid: int, parts: int, amounts: tuple[int, ...]
         return
     starts = np.flatnonzero(np.r_[True, (field[1:] != field[:-1]) | (code[1:] != code[:-1])])
     ends = np.append(starts[1:], n)
-    state, p = bad_readings(value, bad, starts, np.isin(field[starts], amounts))
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    state, p, norms = bad_readings(value, bad, starts, np.isin(field[starts], amounts))
 
     decided = np.ones(n, dtype=bool)
     opened: list[tuple[np.ndarray, int, np.ndarray]] = []  # rows, border, own
@@ -128,6 +133,7 @@ def _score_partition(t: pa.Table, pid: int, parts: int, amounts: tuple[int, ...]
     out = pa.table(
         {
             "kind": pa.array(kind, pa.int8()),
+            "piece": pa.array(np.full(len(at), pid), pa.int32()),
             "border": pa.array(border, pa.int32()),
             "own": pa.array(own),
             "field": pa.array(field[at], pa.int8()),
@@ -138,6 +144,7 @@ def _score_partition(t: pa.Table, pid: int, parts: int, amounts: tuple[int, ...]
             "state": pa.array(state[at].astype("int8"), pa.int8()),
             "p_bad": pa.array(p[at]),
         }
+        | {name: pa.array(norms[of[at], i]) for i, name in enumerate(NORMS)}
     )
     yield from out.to_batches(max_chunksize=20_000)
 
