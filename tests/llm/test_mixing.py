@@ -3,7 +3,8 @@
 import numpy as np
 import pandas as pd
 
-from tidewater.llm.mixing import mix_documents, mix_shares, rake
+from tidewater.llm.mixing import mix_documents, mix_margins, mix_shares, rake
+from tidewater.llm.pagekind import page_kind
 
 DOCS = "doc_id bigint, source string, lang string, host string, text string, take double, step int"
 TARGETS = "source string, target_share double, max_repeats int"
@@ -31,11 +32,17 @@ def test_shares_and_caps_are_met(spark):
         assert mix[mix.source == source].repeats.max() <= caps[source]
     assert mix.doc_id.is_unique and set(mix.source) == set(caps)
     tokens = docs.where("source = 'small'").count()
-    assert (mix.source == "small").sum() == tokens  # the scarcest source is used up, and sets the size
+    assert (mix.source == "small").sum() == tokens  # every small document is needed
     shares = mix_shares(docs, targets).toPandas().set_index("source")
     assert abs(shares.actual_share[["big", "mid", "small"]].sum() - 1) < 1e-9 and shares.actual_share["absent"] == 0
     half = mix_documents(docs, targets, total=used.sum() / 2).toPandas()
     assert abs((half.tokens * half.repeats).sum() / (used.sum() / 2) - 1) < 0.01
+    more = mix_shares(docs, targets, total=used.sum() * 1.2).toPandas().set_index("source")  # more than the scarcest source can give
+    assert abs(more.shortfall_tokens["mid"] / (0.2 * used["mid"]) - 1) < 0.01 and more.shortfall_tokens["big"] < 60
+    assert abs(more.tokens["small"] / (used["small"] * 1.2) - 1) < 0.01 and np.isnan(more.wanted_tokens["absent"])
+    margins = mix_margins(docs, targets).toPandas()
+    assert np.allclose(margins.groupby("margin")[["aimed_share", "actual_share"]].sum(), 1.0)
+    assert (margins[margins.margin == "source"].eval("abs(aimed_share - actual_share)") < 0.005).all()
 
 
 def test_no_documents_or_no_targets(spark):
@@ -59,3 +66,11 @@ def test_raking_keeps_caps_and_source_margins():
     languages = free.groupby("language")["take"].sum() / free["take"].sum()
     wanted = cells.groupby("language")["tokens"].sum() / cells["tokens"].sum()
     assert np.allclose(languages, wanted, atol=0.02)
+
+
+def test_kind_and_language_are_told_from_the_text():
+    assert page_kind("The ferry was late and nobody knew why it had been so.") == ("en", "note")
+    assert page_kind("Niemand weiß, warum das so ist. " * 40)[0] == "de" and page_kind("The ferry was late. " * 60)[1] == "article"
+    assert page_kind("天気はとても静かだが、港の指数はそうではない。")[0] == "ja"
+    assert page_kind("\n".join(f"> line {i}" for i in range(4)))[1] == "discussion"
+    assert page_kind(None) == page_kind(" ") == ("other", "empty") and page_kind("xyz") == ("other", "note")

@@ -16,6 +16,8 @@ from tidewater.runtime import cut_lineage
 CAPACITY = 2_048
 #: Open windows of a partition, and partitions whose leftovers are merged by one task.
 OPEN_WINDOWS, MERGED_PARTITIONS = 64, 64
+#: Items of a window after which one without size makes it close, so that empty texts don't pile up in memory.
+MOST_ITEMS = 10_000
 
 _ROWS = "doc_id bigint, piece_no int, n_pieces int, container_id bigint, tokens bigint, container_fill bigint, merge_group int"
 _COLUMNS = [c.split()[0] for c in _ROWS.split(", ")]
@@ -34,6 +36,9 @@ class Windows:
         """Place an item; the windows closed by that, as (window, fill, items)."""
         closed = []
         at = bisect_left(self.room, (size, -1))
+        if not size and at < len(self.room) and len(self.items[self.room[at][1]]) >= MOST_ITEMS:  # items without size could join one window for ever
+            closed.append(self._close(at))
+            at = len(self.room)
         if at < len(self.room):
             room, window = self.room.pop(at)
         else:
@@ -136,3 +141,20 @@ def container_summary(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         per.groupBy(F.floor(F.col("tokens") * 10 / capacity).cast("int").alias("fill_tenth"))
         .agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
     )
+
+
+def packing_faults(documents: DataFrame, packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row that holds a packing against its promises: ``documents, placed`` (first pieces), ``overfull`` containers, ``torn``
+    (pieces of documents that fit a container, or pieces before the last that don't fill theirs), ``lost`` (documents with pieces missing)."""
+    per = packed.groupBy("container_id").agg(F.sum("tokens").alias("tokens"), F.max("container_fill").alias("fill"))
+    full = per.agg(F.count_if((F.col("tokens") > capacity) | (F.col("tokens") != F.col("fill"))).alias("overfull"))
+    torn = (F.col("n_pieces") > 1) & (F.col("piece_no") < F.col("n_pieces") - 1) & (F.col("tokens") != capacity)
+    pieces = packed.agg(
+        F.count_if(F.col("piece_no") == 0).alias("placed"),
+        F.count_if(torn).alias("torn"),
+        (F.sum(F.when(F.col("piece_no") == 0, F.col("n_pieces"))) - F.count(F.lit(1))).alias("lost"),
+    )
+    everything = documents.agg(F.count(F.lit(1)).alias("documents"))
+    one = F.lit(1).alias("one")  # three tables of one row
+    out = everything.select("*", one).join(pieces.select("*", one), "one").join(full.select("*", one), "one")
+    return out.select("documents", "placed", "overfull", "torn", F.coalesce("lost", F.lit(0)).alias("lost"))

@@ -114,6 +114,16 @@ def _mend_charset(text: str) -> str:
     return best
 
 
+def known_language(text: str) -> str | None:
+    """The language whose function words the text has most of, Japanese where a quarter is kana or Han; None without any."""
+    if not text.isascii() and len(_CJK.findall(text)) * 4 > len(text):
+        return "ja"
+    masks = Counter(map(_MASK.get, _WORD.findall(text.lower())))
+    hits = {code: sum(k for mask, k in masks.items() if mask and mask & bit) for code, bit in _CODES.items()}
+    best = max(hits, key=hits.get)
+    return best if hits[best] else None
+
+
 def _bound_share(text: str) -> float:
     """Share of the words that are function words of the language that has most; 1 for text of which a quarter is kana."""
     words = _WORD.findall(text.lower())
