@@ -164,6 +164,24 @@ def test_digest_rank_errors_are_bounded_and_merging_keeps_them(shape):
 LATENCY = "run_id string, sample_no bigint, run_date date, stage string, elapsed_seconds double, grp string, value double, n int"
 
 
+def test_stored_digests_of_days_combine(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f"r{i % 7}", i, pd.Timestamp("2024-01-01").date() + pd.Timedelta(days=i % 14), ["hot", None][i % 3 == 0], float(rng.lognormal(0, 2)), "x", 1.0, 1) for i in range(9_000)]
+    rows += [rows[5], (None, 3, rows[0][2], "hot", 1.0, "x", 1.0, 1), (None, 3, rows[0][2], "hot", 1.0, "x", 1.0, 1), ("r0", 0, rows[1][2], "hot", 1e9, "x", 1.0, 1)]
+    df = spark.createDataFrame(rows, LATENCY)
+    stored = digest.day_digests(df, delta=60)
+    assert stored.count() == 28 and stored.where("size(mean) > 90").count() == 0
+    first, second = stored.where("day < '2024-01-08'"), stored.where("day >= '2024-01-08'")  # written apart, read together
+    got = digest.combined_percentiles(first.unionByName(second), F.date_trunc("month", F.col("day"))).toPandas()
+    kept = pd.DataFrame(rows[:9_000] + rows[9_001:9_003], columns=["run", "no", "day", "stage", "v", *"abc"])  # the copies of a sample count once, unnamed samples each
+    for _, r in got.iterrows():
+        of = kept[kept.stage.isna() if r["grp"] is None else kept.stage == r["grp"]].v.sort_values().to_numpy()
+        assert r.n == len(of)
+        for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")):
+            error = max(0, np.searchsorted(of, r[name], "left") - q * len(of), q * len(of) - np.searchsorted(of, r[name], "right")) / len(of)
+            assert error <= r[f"rank_bound_{name}"] + 1e-12 and r[f"rank_bound_{name}"] < 0.15
+
+
 def test_certified_percentiles_match_brute_force(spark):
     rng = np.random.default_rng(6)
     rows = []

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Clusters that a digest has at most, apart from heavily tied values, which get clusters of their own.
@@ -154,51 +155,102 @@ def certified_percentiles(
 ) -> DataFrame:
     """Percentiles of ``value`` per group and day and per group over all days, each with its certified rank error.
 
-    Samples are deduplicated on ``sample_key`` (equal copies; of differing ones the least value counts). Null, NaN,
-    infinite and negative values are no measurements. Each partition is digested where it lies; partial digests merge
-    per group and day, and daily digests per group, so a group's samples never meet one task and digests of other days
-    or partitions can be combined later. A second pass over the same exchange counts the
-    values below and up to each estimate: ``rank_error_<p>`` is the distance of ``q * n`` from that interval as a share
-    of ``n``, exact; ``certified`` says whether all are within ``max_rank_error``.
+    Samples are deduplicated on ``sample_key`` (of differing copies the one with the least value, then group, then day counts; a
+    sample whose key is null in any part has no copies). Null, NaN, infinite and negative values are no measurements. Each
+    partition is digested where it lies; partial digests merge per group and day, and daily digests per group, so a group's samples
+    never meet one task and digests of other days or partitions can be combined later. A second pass over the same exchange counts,
+    for both levels at once, the values below and up to each estimate: ``rank_error_<p>`` is the distance of ``q * n`` from that
+    interval as a share of ``n``, exact; ``certified`` says whether all are within ``max_rank_error``.
 
     Result: ``level`` (``group_day`` or ``group``), the group, the day (null at level ``group``), ``n``, ``p50`` ...,
     ``rank_error_p50`` ..., ``certified``. Null groups and days form groups of their own. No rows for an empty table.
     """
-    v = F.col(value).cast("double")
-    usable = v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v != F.lit(float("inf")))
-    keys = [F.col(k).alias(f"key_{i}") for i, k in enumerate(sample_key)]
-    samples = (
-        df.where(usable)
-        .select(*keys, F.col(group).alias("grp"), F.col(day).cast("date").alias("day"), v.alias("value"))
-        .groupBy(*(f"key_{i}" for i in range(len(sample_key))), "grp", "day")
-        .agg(F.min("value").alias("value"))
-        .select("grp", "day", "value")
-    )
+    samples = measurements(df, sample_key, group, day, value)
     daily = merged_digests(partial_digests(samples, "grp", "day", "value", delta), ["grp", "day"], quantiles, delta)
     names = [_name(q) for q in quantiles]
 
-    def estimates(digests: DataFrame) -> DataFrame:
-        return digests.select("grp", "day", *(F.get("estimates", F.lit(i)).alias(n) for i, n in enumerate(names)))
-
-    def counted(est: DataFrame, by_day: bool) -> DataFrame:
-        s, e = samples.alias("s"), est.alias("e")
-        on = F.col("s.grp").eqNullSafe(F.col("e.grp"))
-        if by_day:
-            on = on & F.col("s.day").eqNullSafe(F.col("e.day"))
-        x = F.col("s.value")
-        counts = [F.count(F.lit(1)).alias("n")]
-        for n in names:
-            counts += [F.count_if(x < F.col(n)).alias(f"lt_{n}"), F.count_if(x <= F.col(n)).alias(f"le_{n}")]
-        return s.join(e, on).groupBy("e.grp", "e.day", *(f"e.{n}" for n in names)).agg(*counts)
-
-    def finished(df: DataFrame, level: str) -> DataFrame:
+    def estimates(digests: DataFrame, prefix: str) -> DataFrame:
+        return digests.select(F.col("grp").alias(f"{prefix}_grp"), F.col("day").alias(f"{prefix}_day"), *(F.get("estimates", F.lit(i)).alias(f"{prefix}_{n}") for i, n in enumerate(names)))
+
+    x = F.col("value")
+    per_day, per_group = estimates(daily, "d"), estimates(merged_digests(daily, ["grp"], quantiles, delta), "g")
+    met = samples.join(per_day, F.col("grp").eqNullSafe(F.col("d_grp")) & F.col("day").eqNullSafe(F.col("d_day"))).join(per_group, F.col("grp").eqNullSafe(F.col("g_grp")))
+    found = [f"{level}_{n}" for level in "dg" for n in names]
+    counts = [F.count(F.lit(1)).alias("n")]
+    for c in found:
+        counts += [F.count_if(x < F.col(c)).alias(f"lt_{c}"), F.count_if(x <= F.col(c)).alias(f"le_{c}")]
+    counted = met.groupBy("grp", "day").agg(*counts, *(F.first(c).alias(c) for c in found))
+    whole = counted.groupBy("grp").agg(
+        F.lit(None).cast("date").alias("day"),
+        F.sum("n").alias("n"),
+        *(F.first(f"g_{n}").alias(f"g_{n}") for n in names),
+        *(F.sum(f"{side}_g_{n}").alias(f"{side}_g_{n}") for n in names for side in ("lt", "le")),
+    )
+
+    def finished(df: DataFrame, level: str, prefix: str) -> DataFrame:
         errors = []
         for q, n in zip(quantiles, names):
             rank = F.col("n") * q
-            errors.append((F.greatest(F.lit(0.0), F.col(f"lt_{n}") - rank, rank - F.col(f"le_{n}")) / F.col("n")).alias(f"rank_error_{n}"))
-        out = df.select(F.lit(level).alias("level"), F.col("grp").alias(group), F.col("day").alias(day), "n", *names, *errors)
+            errors.append((F.greatest(F.lit(0.0), F.col(f"lt_{prefix}_{n}") - rank, rank - F.col(f"le_{prefix}_{n}")) / F.col("n")).alias(f"rank_error_{n}"))
+        out = df.select(F.lit(level).alias("level"), F.col("grp").alias(group), F.col("day").alias(day), "n", *(F.col(f"{prefix}_{n}").alias(n) for n in names), *errors)
         worst = F.greatest(*(F.col(f"rank_error_{n}") for n in names)) if len(names) > 1 else F.col(f"rank_error_{names[0]}")
         return out.withColumn("certified", worst <= max_rank_error)
 
-    per_group = merged_digests(daily, ["grp"], quantiles, delta)
-    return finished(counted(estimates(daily), True), "group_day").unionByName(finished(counted(estimates(per_group), False), "group"))
+    return finished(counted, "group_day", "d").unionByName(finished(whole, "group", "g"))
+
+
+def measurements(df: DataFrame, sample_key: tuple[str, ...], group: str, day: str, value: str) -> DataFrame:
+    """``grp, day, value`` of the usable samples, copies of one sample once."""
+    v = F.col(value).cast("double")
+    usable = v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v != F.lit(float("inf")))
+    keys = [F.col(k).alias(f"key_{i}") for i, k in enumerate(sample_key)]
+    named = F.lit(True)
+    for k in sample_key:
+        named = named & F.col(k).isNotNull()
+    lone = F.when(~named, F.monotonically_increasing_id()).alias("lone")
+    rows = df.where(usable).select(*keys, lone, F.struct(v.alias("value"), F.col(group).alias("grp"), F.col(day).cast("date").alias("day")).alias("s"))
+    return rows.groupBy(*(f"key_{i}" for i in range(len(sample_key))), "lone").agg(F.min("s").alias("s")).select("s.grp", "s.day", "s.value")
+
+
+def day_digests(
+    df: DataFrame,
+    *,
+    sample_key: tuple[str, ...] = ("run_id", "sample_no"),
+    group: str = "stage",
+    day: str = "run_date",
+    value: str = "elapsed_seconds",
+    delta: int = DELTA,
+) -> DataFrame:
+    """The digest of every group and day, to be stored: ``grp, day, mean, weight, low, high``. Digests of further days, or of other parts of
+    a day's samples, can be appended to the same table; ``combined_percentiles`` merges whatever is there."""
+    samples = measurements(df, sample_key, group, day, value)
+    return merged_digests(partial_digests(samples, "grp", "day", "value", delta), ["grp", "day"], (), delta).drop("estimates")
+
+
+def _under(x: Column, side: str, equal: bool, cluster: Column) -> Column:
+    return cluster[side] <= x if equal else cluster[side] < x
+
+
+def combined_percentiles(digests: DataFrame, period: Column, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99), delta: int = DELTA) -> DataFrame:
+    """Percentiles per group and ``period`` (an expression of ``day`` that gives a date) out of stored digests, without the samples.
+
+    Result: ``grp, period, n, p50`` ..., and ``rank_bound_p50`` ...: how far the rank of the estimate can be from ``q * n`` at most, as a
+    share of ``n``, which the least and greatest values of the clusters tell. Null groups and periods form groups of their own.
+    """
+    parts = digests.withColumn("day", period.cast("date"))
+    merged = merged_digests(parts, ["grp", "day"], quantiles, delta)
+    names = [_name(q) for q in quantiles]
+    n = F.aggregate("weight", F.lit(0.0), lambda a, w: a + w)
+    out = merged.withColumn("n", n)
+    clusters = F.arrays_zip("low", "high", "weight")
+    columns = [F.col("grp"), F.col("day").alias("period"), F.col("n").cast("bigint").alias("n")]
+    columns += [F.get("estimates", F.lit(i)).alias(name) for i, name in enumerate(names)]
+
+    def weight(of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(clusters, F.lit(0.0), lambda a, c: a + F.when(of(c), c["weight"]).otherwise(0.0))
+
+    for i, (q, name) in enumerate(zip(quantiles, names)):
+        x = F.get("estimates", F.lit(i))
+        surely_up_to, perhaps_below = weight(partial(_under, x, "high", True)), weight(partial(_under, x, "low", False))
+        columns.append((F.greatest(perhaps_below - F.col("n") * q, F.col("n") * q - surely_up_to, F.lit(0.0)) / F.col("n")).alias(f"rank_bound_{name}"))
+    return out.select(*columns)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators.asknown import as_known_join, usable_splits
-from tidewater.operators.digest import certified_percentiles
+from tidewater.operators.digest import certified_percentiles, combined_percentiles, day_digests
 from tidewater.operators.readings import bad_market_readings
 from tidewater.operators.regrid import minute_grid
 from tidewater.operators.rolling import rolling_totals
+from tidewater.runtime import cut_lineage
 from tidewater.sources.tables import table
 
 
@@ -26,6 +27,27 @@ def p2_percentiles(spark: SparkSession, root: str) -> DataFrame:
     return certified_percentiles(table(spark, root, "latency_samples"))
 
 
+def p1_out_of_range(spark: SparkSession, root: str) -> DataFrame:
+    """The readings outside hard bounds, which SQL can tell as well."""
+    return p1_verdicts(spark, root).where("verdict = 'out_of_range'").select("record_kind", "symbol", "ts", "field_name")
+
+
+def p2_certified(spark: SparkSession, root: str) -> DataFrame:
+    """Measurements of every stage and day, and whether all percentiles' exact rank errors are within the bound."""
+    return certified_percentiles(table(spark, root, "latency_samples")).select("level", "stage", F.col("run_date").cast("string").alias("run_date"), "n", "certified")
+
+
+def p2_day_digests(spark: SparkSession, root: str) -> DataFrame:
+    """The digests of every stage and day as they are stored."""
+    return day_digests(table(spark, root, "latency_samples"))
+
+
+def p2_weeks(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles per stage and week out of written day digests, with the bound that the digests give themselves."""
+    stored = cut_lineage(p2_day_digests(spark, root))
+    return combined_percentiles(stored, F.date_trunc("week", F.col("day"))).withColumnsRenamed({"grp": "stage", "period": "week"})
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return minute_grid(table(spark, root, "ticks")).where("missing").select("symbol", "minute_start")
 
@@ -34,6 +56,11 @@ def p3_grid(spark: SparkSession, root: str) -> DataFrame:
     return minute_grid(table(spark, root, "ticks"))
 
 
+def p3_presence(spark: SparkSession, root: str) -> DataFrame:
+    """The grid's counts, last prices and sizes, which SQL can tell as well."""
+    return minute_grid(table(spark, root, "ticks")).select("symbol", "minute_start", "missing", "n_readings", "last_price", F.round("total_size", 4).alias("total_size"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     joined = as_known_join(
         table(spark, root, "bars"), usable_splits(table(spark, root, "corporate_actions")), keep_unmatched=False
@@ -91,16 +118,44 @@ roll AS (SELECT symbol, d, n IS NOT NULL AS is_active,
 QUERIES = {
     "p1_found": p1_found,
     "p1_verdicts": p1_verdicts,
+    "p1_out_of_range": p1_out_of_range,
     "p2_percentiles": p2_percentiles,
+    "p2_certified": p2_certified,
+    "p2_day_digests": p2_day_digests,
+    "p2_weeks": p2_weeks,
     "p3_found": p3_found,
     "p3_grid": p3_grid,
+    "p3_presence": p3_presence,
     "p4_found": p4_found,
     "p4_as_known": p4_as_known,
     "p5_found": p5_found,
     "p5_rolling": p5_rolling,
 }
 
+_P1 = """WITH v AS (SELECT * FROM bars WHERE symbol IS NOT NULL AND ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY src_order DESC) = 1),
+c AS (SELECT symbol, ts FROM v WHERE close IS NOT NULL AND NOT isnan(close) AND (close <= 0 OR isinf(close) OR (NOT isnan(low) AND close < low) OR (NOT isnan(high) AND close > high))),
+t AS (SELECT * FROM ticks WHERE symbol IS NOT NULL AND timestamp_ns IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, timestamp_ns ORDER BY src_order DESC) = 1)
+SELECT 'bars' AS record_kind, symbol, ts, 'close' AS field_name FROM c
+UNION ALL SELECT 'bars', symbol, ts, 'volume' FROM v WHERE NOT isnan(volume) AND (volume < 0 OR isinf(volume))
+UNION ALL SELECT 'ticks', symbol, timestamp_ns, 'price' FROM t WHERE NOT isnan(price) AND (price <= 0 OR isinf(price))"""
+
+_P2 = """WITH s AS (SELECT arg_min({'stage': stage, 'run_date': run_date}, elapsed_seconds) AS k FROM latency_samples
+  WHERE elapsed_seconds >= 0 AND NOT isnan(elapsed_seconds) AND NOT isinf(elapsed_seconds) GROUP BY run_id, sample_no)
+SELECT 'group_day' AS level, k.stage AS stage, k.run_date::VARCHAR AS run_date, count(*) AS n, true AS certified FROM s GROUP BY ALL
+UNION ALL SELECT 'group', k.stage, NULL, count(*), true FROM s GROUP BY ALL"""
+
+_P3_PRESENCE = """WITH tk AS (SELECT symbol, timestamp_ns, max(price) AS price, max(size) AS size FROM ticks
+  WHERE symbol IS NOT NULL AND timestamp_ns IS NOT NULL AND price IS NOT NULL AND NOT isnan(price) GROUP BY ALL),
+mins AS (SELECT symbol, timestamp_ns // 60000000000 AS m, count(*) AS n, arg_max(price, timestamp_ns) AS p,
+  coalesce(sum(size) FILTER (WHERE NOT isnan(size)), 0) AS z FROM tk GROUP BY ALL),
+grid AS (SELECT symbol, unnest(range(min(m), max(m) + 1)) AS m FROM mins GROUP BY symbol, m // 1440)
+SELECT grid.symbol, grid.m * 60 AS minute_start, n IS NULL AS missing, coalesce(n, 0) AS n_readings, p AS last_price, round(coalesce(z, 0), 4) AS total_size
+FROM grid LEFT JOIN mins ON grid.symbol = mins.symbol AND grid.m = mins.m"""
+
 ORACLES = {
+    "p1_out_of_range": _P1,
+    "p2_certified": _P2,
+    "p3_presence": _P3_PRESENCE,
     "p3_found": _P3,
     "p4_found": _P4 + "SELECT symbol, ts, action_id FROM hit WHERE rn = 1",
     "p4_as_known": _P4
