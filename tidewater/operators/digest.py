@@ -174,7 +174,8 @@ def certified_percentiles(
 
     x = F.col("value")
     per_day, per_group = estimates(daily, "d"), estimates(merged_digests(daily, ["grp"], quantiles, delta), "g")
-    met = samples.join(per_day, F.col("grp").eqNullSafe(F.col("d_grp")) & F.col("day").eqNullSafe(F.col("d_day"))).join(per_group, F.col("grp").eqNullSafe(F.col("g_grp")))
+    asked = per_day.join(per_group, F.col("d_grp").eqNullSafe(F.col("g_grp")))  # a row a group and day
+    met = samples.join(asked, F.col("grp").eqNullSafe(F.col("d_grp")) & F.col("day").eqNullSafe(F.col("d_day")))
     found = [f"{level}_{n}" for level in "dg" for n in names]
     counts = [F.count(F.lit(1)).alias("n")]
     for c in found:
@@ -209,7 +210,8 @@ def measurements(df: DataFrame, sample_key: tuple[str, ...], group: str, day: st
         named = named & F.col(k).isNotNull()
     lone = F.when(~named, F.monotonically_increasing_id()).alias("lone")
     rows = df.where(usable).select(*keys, lone, F.struct(v.alias("value"), F.col(group).alias("grp"), F.col(day).cast("date").alias("day")).alias("s"))
-    return rows.groupBy(*(f"key_{i}" for i in range(len(sample_key))), "lone").agg(F.min("s").alias("s")).select("s.grp", "s.day", "s.value")
+    of_sample = [*(f"key_{i}" for i in range(len(sample_key))), "lone"]
+    return rows.repartition(*of_sample).groupBy(*of_sample).agg(F.min("s").alias("s")).select("s.grp", "s.day", "s.value")
 
 
 def day_digests(

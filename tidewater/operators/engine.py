@@ -1,7 +1,8 @@
-"""Order execution as an ordered fold: one pure step per row of a portfolio run, and its Spark adapter.
+"""Order execution as an ordered fold: one pure step per time of a portfolio run, and its Spark adapter.
 
 Assets of a run share cash, so a run is folded in order; runs are independent. The adapter streams a run's rows through
-one task batch by batch: what is held is the portfolio's state, never the run.
+one task in Arrow batches: what is held is the portfolio's state, never the run. In runs of one asset only rows in which something can
+happen are stepped; the stretches between them, in which a position is just carried and marked, are worked as arrays.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, fields
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +113,35 @@ class Cell:
     actions: tuple[tuple[str, float], ...] = ()
 
 
+@dataclass
+class Row:
+    """One time of a run: market data and wishes as arrays over its assets. Assets that are not ``present`` (all, if None) have no bar now:
+    they are marked at their last close and don't trade."""
+
+    ts: int
+    tradable: bool
+    close: np.ndarray
+    high: np.ndarray
+    low: np.ndarray
+    volume: np.ndarray
+    bid: np.ndarray
+    ask: np.ndarray
+    target: np.ndarray
+    limited: np.ndarray
+    limit: np.ndarray
+    actions: tuple[tuple[int, str, float], ...] = ()
+    present: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, ts: int, tradable: bool, cells: list[Cell]) -> Row:
+        data = [np.array([getattr(c, f) for c in cells], dtype=float) for f in ("close", "high", "low", "volume", "bid", "ask")]
+        if not np.isfinite(data).all():
+            raise ValueError("market data contains non-finite values")
+        limit = np.array([np.nan if c.limit_price is None else c.limit_price for c in cells], dtype=float)
+        actions = tuple((i, kind, amount) for i, c in enumerate(cells) for kind, amount in c.actions)
+        return cls(ts, tradable, *data, np.array([c.target for c in cells], dtype=np.int64), np.array([c.order_type == LIMIT for c in cells]), limit, actions)
+
+
 @dataclass
 class Order:
     parent_id: int
@@ -120,6 +150,8 @@ class Order:
     limit_price: float | None
     order_type: str
     ready: int
+    arrival_ts: int = 0
+    arrival_price: float = 0.0
 
 
 @dataclass
@@ -127,10 +159,10 @@ class State:
     """Everything a run carries from row to row; it survives a round trip through JSON."""
 
     cash: float
-    positions: list[int]
-    pending: list[Order | None]
-    adjustment: list[float]
+    positions: np.ndarray
+    adjustment: np.ndarray
     peak_equity: float
+    pending: dict[int, Order] = field(default_factory=dict)
     max_drawdown: float = 0.0
     turnover: float = 0.0
     total_fees: float = 0.0
@@ -150,18 +182,43 @@ class State:
     @classmethod
     def start(cls, assets: int, config: Config) -> State:
         cash = config.starting_cash
-        return cls(cash, [0] * assets, [None] * assets, [1.0] * assets, cash, equity=cash)
+        return cls(cash, np.zeros(assets, dtype=np.int64), np.ones(assets), cash, equity=cash)
+
+    def grow(self, assets: int) -> None:
+        """Make room for assets that come up later in a run."""
+        more = assets - len(self.positions)
+        if more > 0:
+            self.positions = np.append(self.positions, np.zeros(more, dtype=np.int64))
+            self.adjustment = np.append(self.adjustment, np.ones(more))
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self))
+        plain = {f.name: getattr(self, f.name) for f in fields(self)}
+        plain |= {"positions": self.positions.tolist(), "adjustment": self.adjustment.tolist(), "pending": {str(k): asdict(o) for k, o in self.pending.items()}}
+        return json.dumps(plain)
 
     @classmethod
     def from_json(cls, text: str) -> State:
         raw = json.loads(text)
-        raw["pending"] = [Order(**o) if o else None for o in raw["pending"]]
+        raw["pending"] = {int(k): Order(**o) for k, o in raw["pending"].items()}
+        raw["positions"], raw["adjustment"] = np.array(raw["positions"], dtype=np.int64), np.array(raw["adjustment"], dtype=float)
         return cls(**{f.name: raw[f.name] for f in fields(cls) if f.name in raw})
 
 
+class Rules:
+    """A configuration spread over the assets of a run."""
+
+    def __init__(self, config: Config, assets: int) -> None:
+        padded = lambda values, default: np.array([values[i] if i < len(values) and values[i] > 0 else default for i in range(assets)])
+        self.config, self.assets = config, assets
+        self.most = padded(config.asset_max_positions, config.max_position).astype(np.int64)
+        self.least = -self.most if config.allow_short else np.zeros(assets, dtype=np.int64)
+        self.notional = padded(config.asset_notional_limits, math.inf).astype(float)
+        self.ratio = padded([x.margin_ratio for x in config.instruments], 1.0).astype(float)
+        self.options = [(i, x) for i, x in enumerate(config.instruments[:assets]) if x.kind.startswith("option_")]
+        self.dated = np.array([r.ts for r in config.rolls] + [x.expiry_ts for _, x in self.options], dtype=np.int64)
+        self.borrow, self.earn = config.annual_borrow_bps * 1e-4 / 252.0, config.annual_cash_yield_bps * 1e-4 / 252.0
+
+
 @dataclass
 class Events:
     """What a step emits: fills, audit and finished ledger entries, as dicts."""
@@ -174,13 +231,10 @@ class Events:
 class Step:
     """One row's work on the state, in the fixed order of the rules."""
 
-    def __init__(self, state: State, config: Config, ts: int, tradable: bool, cells: list[Cell]) -> None:
-        if len(cells) != len(state.positions):
+    def __init__(self, state: State, rules: Rules, row: Row) -> None:
+        if len(row.close) != len(state.positions) or rules.assets != len(state.positions):
             raise ValueError("a row must have a cell for every asset of the run")
-        for c in cells:
-            if not all(map(math.isfinite, (c.close, c.high, c.low, c.volume, c.bid, c.ask))):
-                raise ValueError("market data contains non-finite values")
-        self.s, self.c, self.ts, self.tradable, self.cells = state, config, ts, tradable, cells
+        self.s, self.rules, self.c, self.r, self.ts = state, rules, rules.config, row, row.ts
         self.row = state.next_row
         self.out = Events()
 
@@ -207,21 +261,22 @@ class Step:
 
     def worth(self, asset: int, position: int | None = None) -> float:
         """Signed market value of a position at the close."""
-        return (self.s.positions[asset] if position is None else position) * self.c.lot_size * self.cells[asset].close
+        return float(self.s.positions[asset] if position is None else position) * self.c.lot_size * float(self.r.close[asset])
+
+    def marked(self) -> float:
+        return float(self.s.positions @ self.r.close) * self.c.lot_size
 
-    def margin(self) -> float:
-        kinds = self.c.instruments
-        ratio = [kinds[i].margin_ratio if i < len(kinds) and kinds[i].margin_ratio > 0 else 1.0 for i in range(len(self.cells))]
-        return sum(abs(self.worth(i)) * r for i, r in enumerate(ratio))
+    def gross(self, positions: np.ndarray) -> float:
+        return float(np.abs(positions) @ self.r.close) * self.c.lot_size
 
     # -- before trading
 
     def roll_futures(self) -> None:
-        n = len(self.cells)
+        n = len(self.r.close)
         for r in self.c.rolls:
             if r.ts != self.ts or not (0 <= r.from_asset < n and 0 <= r.to_asset < n) or not self.s.positions[r.from_asset]:
                 continue
-            moved = self.s.positions[r.from_asset]
+            moved = int(self.s.positions[r.from_asset])
             self.s.positions[r.from_asset] = 0
             self.s.positions[r.to_asset] += moved
             cost = abs(self.worth(r.to_asset, moved)) * r.slippage_bps * 1e-4
@@ -231,124 +286,121 @@ class Step:
 
     def corporate_actions(self) -> None:
         s, lot = self.s, self.c.lot_size
-        for asset, cell in enumerate(self.cells):
-            for kind, amount in cell.actions:
-                held = s.positions[asset]
-                if kind == "SPLIT" and amount > 0:
-                    grown = held * amount
-                    s.positions[asset] = int(math.copysign(math.floor(abs(grown) + 0.5), grown))
-                    s.adjustment[asset] /= amount
-                elif kind == "DIVIDEND":
-                    gross = held * lot * amount
-                    units = math.floor(gross / (cell.close * lot)) if self.c.dividend_reinvestment and gross > 0 and cell.close > 0 else 0
-                    if units > 0:  # the remainder below a lot is forgone
-                        s.positions[asset] += units
-                        s.turnover += units * lot * cell.close
-                    else:
-                        s.cash += gross
-                elif kind == "SPINOFF":
-                    s.cash += held * lot * amount
-                elif kind == "DELISTING" and held:
-                    s.cash += self.worth(asset)
-                    s.turnover += abs(self.worth(asset))
-                    s.positions[asset] = 0
-                    s.pending = [None] * len(s.pending)
-                    self.note("FILL_APPLIED", cell.close, asset)
+        for asset, kind, amount in self.r.actions:
+            held, close = int(s.positions[asset]), float(self.r.close[asset])
+            if kind == "SPLIT" and amount > 0:
+                grown = held * amount
+                s.positions[asset] = int(math.copysign(math.floor(abs(grown) + 0.5), grown))
+                s.adjustment[asset] /= amount
+            elif kind == "DIVIDEND":
+                paid = held * lot * amount
+                units = math.floor(paid / (close * lot)) if self.c.dividend_reinvestment and paid > 0 and close > 0 else 0
+                if units > 0:  # the remainder below a lot is forgone
+                    s.positions[asset] += units
+                    s.turnover += units * lot * close
+                else:
+                    s.cash += paid
+            elif kind == "SPINOFF":
+                s.cash += held * lot * amount
+            elif kind == "DELISTING" and held:
+                s.cash += self.worth(asset)
+                s.turnover += abs(self.worth(asset))
+                s.positions[asset] = 0
+                s.pending.clear()
+                self.note("FILL_APPLIED", close, asset)
 
     def carry(self) -> None:
         s = self.s
-        short = -sum(self.worth(i) for i, p in enumerate(s.positions) if p < 0)
-        borrow = short * self.c.annual_borrow_bps * 1e-4 / 252.0
-        earned = max(0.0, s.cash) * self.c.annual_cash_yield_bps * 1e-4 / 252.0
-        s.cash += earned - borrow
-        s.total_borrow_cost += borrow
-        s.total_cash_yield += earned
+        if self.rules.borrow:
+            cost = -float(np.minimum(s.positions, 0) @ self.r.close) * self.c.lot_size * self.rules.borrow
+            earned = max(0.0, s.cash) * self.rules.earn
+            s.cash += earned - cost
+            s.total_borrow_cost += cost
+            s.total_cash_yield += earned
+        elif self.rules.earn:
+            earned = max(0.0, s.cash) * self.rules.earn
+            s.cash += earned
+            s.total_cash_yield += earned
 
     def expire_options(self) -> None:
-        for asset, kind in enumerate(self.c.instruments[: len(self.cells)]):
-            held = self.s.positions[asset]
-            if not kind.kind.startswith("option_") or kind.expiry_ts != self.ts or not held:
-                continue
+        for asset, kind in self.rules.options:
+            held = int(self.s.positions[asset])
             source = kind.underlying if kind.underlying >= 0 else asset
-            if source >= len(self.cells):
+            if kind.expiry_ts != self.ts or not held or source >= len(self.r.close):
                 continue
-            gap = self.cells[source].close - kind.strike
+            gap = float(self.r.close[source]) - kind.strike
             settled = max(0.0, gap if kind.kind == "option_call" else -gap) * held * self.c.lot_size
             self.s.cash += settled
             self.s.positions[asset] = 0
             self.note("OPTION_EXPIRY", settled, asset)
 
     def close_session(self) -> None:
-        if self.tradable or not self.c.cancel_orders_outside_session:
+        if self.r.tradable or not self.c.cancel_orders_outside_session:
             return
-        for asset, order in enumerate(self.s.pending):
-            if order:
-                self.both("ORDER_CANCELLED_SESSION", 0.0, -1, order.parent_id, remaining=order.remaining)
-                self.s.pending[asset] = None
+        for asset in sorted(self.s.pending):
+            order = self.s.pending.pop(asset)
+            self.both("ORDER_CANCELLED_SESSION", 0.0, -1, order.parent_id, remaining=order.remaining)
 
     # -- trading
 
-    def most(self, asset: int) -> int:
-        limits = self.c.asset_max_positions
-        return limits[asset] if asset < len(limits) and limits[asset] > 0 else self.c.max_position
-
-    def clamped(self, asset: int) -> int:
-        most = self.most(asset)
-        return min(max(self.cells[asset].target, -most if self.c.allow_short else 0), most)
-
-    def notional_limit(self, asset: int) -> float:
-        limits = self.c.asset_notional_limits
-        return limits[asset] if asset < len(limits) and limits[asset] > 0 else math.inf
-
     def place_orders(self) -> None:
-        s, base = self.s, max(1.0, self.s.cash)
-        wanted = [self.clamped(i) for i in range(len(self.cells))]
-        leverage = sum(abs(self.worth(i, w)) for i, w in enumerate(wanted)) / base
-        if leverage > self.c.max_gross_leverage:
-            for asset, w in enumerate(wanted):
+        s, r, most_leverage = self.s, self.r, self.c.max_gross_leverage
+        base = max(1.0, s.cash)
+        wanted = np.clip(r.target, self.rules.least, self.rules.most)
+        leverage = self.gross(wanted) / base
+        here = np.arange(len(wanted)) if r.present is None else r.present
+        if leverage > most_leverage:
+            for asset in here.tolist():
                 s.rejected_orders += 1
-                gap = w - s.positions[asset]
+                gap = int(wanted[asset] - s.positions[asset])
                 self.both("ORDER_REJECTED_LEVERAGE", leverage, asset, quantity=gap, remaining=gap)
             return
-        held = sum(abs(self.worth(i)) for i in range(len(self.cells)))
-        for asset, target in enumerate(wanted):
-            cell, order = self.cells[asset], s.pending[asset]
-            if target != cell.target:
+        held = self.gross(s.positions)
+        moving = ((wanted != s.positions) | (wanted != r.target))[here]
+        if s.pending:
+            moving |= np.isin(here, list(s.pending))
+        for asset in here[moving].tolist():
+            target, order = int(wanted[asset]), s.pending.get(asset)
+            if target != r.target[asset]:
                 s.rejected_orders += 1
-                self.both("ORDER_REJECTED_LIMIT", cell.target, asset, quantity=cell.target)
+                self.both("ORDER_REJECTED_LIMIT", r.target[asset], asset, quantity=int(r.target[asset]))
             if order and order.target == target:
                 continue
-            gap = target - s.positions[asset]
+            gap = target - int(s.positions[asset])
             if gap:
                 after = (held - abs(self.worth(asset)) + abs(self.worth(asset, target))) / base
-                if after > self.c.max_gross_leverage or abs(self.worth(asset, target)) > self.notional_limit(asset):
+                if after > most_leverage or abs(self.worth(asset, target)) > self.rules.notional[asset]:
                     s.rejected_orders += 1
                     self.both("ORDER_REJECTED_LEVERAGE", after, asset, quantity=gap, remaining=gap)
                     continue
             if order:
                 self.both("ORDER_CANCELLED_REPLACE", 0.0, asset, order.parent_id, remaining=order.remaining)
-            s.pending[asset] = None
+                del s.pending[asset]
             if gap:
-                new = Order(s.next_parent_id, target, gap, cell.limit_price, cell.order_type, self.row + max(0, self.c.latency_steps))
+                limit = float(r.limit[asset])
+                new = Order(
+                    s.next_parent_id, target, gap, None if math.isnan(limit) else limit, LIMIT if r.limited[asset] else MARKET, self.row + max(0, self.c.latency_steps), self.ts, float(r.close[asset])
+                )
                 s.pending[asset] = new
                 s.next_parent_id += 1
                 s.submitted_orders += 1
                 self.both("ORDER_SUBMITTED", target, asset, new.parent_id, quantity=gap, remaining=gap)
 
-    def price_of(self, cell: Cell, order: Order, size: int, asset: int) -> tuple[float, float]:
+    def price_of(self, order: Order, size: int, asset: int) -> tuple[float, float]:
         """Price with slippage, and the same moved on by latency."""
-        c, side = self.c, 1.0 if order.remaining > 0 else -1.0
-        market = (cell.ask if side > 0 else cell.bid) if c.use_bid_ask_execution else cell.close
+        c, r, side = self.c, self.r, 1.0 if order.remaining > 0 else -1.0
+        market = float((r.ask if side > 0 else r.bid)[asset]) if c.use_bid_ask_execution else float(r.close[asset])
         if order.order_type == LIMIT and order.limit_price is not None:
             market = min(market, order.limit_price) if side > 0 else max(market, order.limit_price)
         bps = 0.0 if c.slippage_model == "none" else c.slippage_bps
         if c.slippage_model == "volume_share":
-            bps += 10_000.0 * c.volume_share_impact * min(1.0, size / cell.volume) ** 2
+            bps += 10_000.0 * c.volume_share_impact * min(1.0, size / float(r.volume[asset])) ** 2
         base = market * (1.0 + side * bps * 1e-4)
         latency = c.signal_to_order_latency_us + c.order_to_fill_latency_us
         if latency <= 0 and c.adverse_selection_penalty_bps == 0:
             return base, base
-        speed = abs(cell.high - cell.low) / cell.high if cell.high > 0 else 0.0
+        high = float(r.high[asset])
+        speed = abs(high - float(r.low[asset])) / high if high > 0 else 0.0
         if c.stochastic_latency and c.latency_jitter_sigma > 0:
             draw = np.random.default_rng((c.seed, self.row, asset)).standard_normal()
             latency = math.exp(math.log(max(1.0, latency)) + c.latency_jitter_sigma * draw)
@@ -363,16 +415,17 @@ class Step:
         return base, price
 
     def fill_orders(self) -> None:
-        c, s = self.c, self.s
-        for asset, cell in enumerate(self.cells):
+        c, s, r = self.c, self.s, self.r
+        here = None if r.present is None else set(r.present.tolist())
+        for asset in sorted(s.pending):
             order = s.pending[asset]
-            if not order or order.ready > self.row or not order.remaining:
+            if order.ready > self.row or not order.remaining or (here is not None and asset not in here):
                 continue
             if order.order_type == LIMIT:
                 limit = order.limit_price
-                if limit is None or (cell.low > limit if order.remaining > 0 else cell.high < limit):
+                if limit is None or (r.low[asset] > limit if order.remaining > 0 else r.high[asset] < limit):
                     continue
-            volume = max(0.0, cell.volume)
+            volume = max(0.0, float(r.volume[asset]))
             capacity = max(0.0, volume * c.venue_volume_share_cap - volume * c.queue_ahead_fraction)
             most = math.floor(min(volume * c.max_participation_rate, capacity)) if capacity >= 1.0 else 0
             if most <= 0:
@@ -381,7 +434,7 @@ class Step:
             size = min(abs(order.remaining), most)
             size = min(size, c.child_order_size) if c.child_order_size > 0 else size
             sign = 1 if order.remaining > 0 else -1
-            base, price = self.price_of(cell, order, size, asset)
+            base, price = self.price_of(order, size, asset)
             done, fees = self.split_over_venues(asset, order, size, sign, base, price)
             if not done:
                 continue
@@ -389,7 +442,7 @@ class Step:
             if cash < 0 and s.positions[asset] >= 0 and sign > 0:  # its fills stay on record
                 s.rejected_orders += 1
                 self.both("ORDER_REJECTED_CASH", cash, asset, order.parent_id, sign * size, order.remaining, price)
-                s.pending[asset] = None
+                del s.pending[asset]
                 continue
             s.cash = cash
             s.positions[asset] += sign * done
@@ -397,11 +450,10 @@ class Step:
             s.turnover += done * c.lot_size * price
             s.total_fees += fees
             s.filled_orders += 1
-            equity = s.cash + sum(self.worth(i) for i in range(len(self.cells)))
-            if self.watch(equity, c.max_drawdown_pct):
+            if self.watch(s.cash + self.marked(), c.max_drawdown_pct):
                 return
             if not order.remaining or s.positions[asset] == order.target:
-                s.pending[asset] = None
+                del s.pending[asset]
             else:
                 order.ready = self.row + c.child_slice_delay_steps + 1
 
@@ -422,7 +474,7 @@ class Step:
             self.out.fills.append({
                 "ts": self.ts, "order_id": order_id, "parent_order_id": order.parent_id, "asset": asset, "price": price, "quantity": sign * part, "remaining_quantity": rest,
                 "fee": cost, "venue_id": venue.venue_id, "gross_price": base, "maker_fee_bps": venue.maker_fee_bps, "taker_fee_bps": venue.taker_fee_bps,
-                "net_price": price + cost / max(1, part * c.lot_size), "order_type": order.order_type,
+                "net_price": price + cost / max(1, part * c.lot_size), "order_type": order.order_type, "arrival_ts": order.arrival_ts, "arrival_price": order.arrival_price,
             })
             self.note("FILL_APPLIED", price, asset, order.parent_id, order_id)
             self.enter("FILL_APPLIED", cost, asset, order.parent_id, order_id, sign * part, rest, price)
@@ -432,7 +484,7 @@ class Step:
 
     # -- after trading
 
-    def watch(self, equity: float, most: float) -> float:
+    def watch(self, equity: float, most: float) -> bool:
         """Update the peak; halt trading if the drawdown from it is too deep. True if that happened just now."""
         s = self.s
         s.peak_equity = max(s.peak_equity, equity)
@@ -440,7 +492,7 @@ class Step:
         if self.fallen <= most or s.halted:
             return False
         s.halted = True
-        s.pending = [None] * len(s.pending)
+        s.pending.clear()
         self.note("RISK_KILL_SWITCH", self.fallen)
         self.enter("RISK_KILL_SWITCH", self.fallen, equity=equity)
         return True
@@ -448,14 +500,13 @@ class Step:
     def liquidate(self) -> None:
         if self.c.margin_limit <= 0:
             return
-        while self.margin() > self.c.margin_limit:
-            held = [(abs(self.worth(i)), i) for i, p in enumerate(self.s.positions) if p]
-            if not held:
-                return
-            size, asset = min(held)
+        sizes = np.abs(self.s.positions * self.r.close) * self.c.lot_size
+        while float(sizes @ self.rules.ratio) > self.c.margin_limit and self.s.positions.any():
+            asset = int(np.where(self.s.positions != 0, sizes, np.inf).argmin())
             self.s.cash += self.worth(asset)
             self.s.positions[asset] = 0
-            self.note("MARGIN_LIQUIDATION", size, asset)
+            self.note("MARGIN_LIQUIDATION", sizes[asset], asset)
+            sizes[asset] = 0.0
 
     def run(self) -> tuple[Events, dict]:
         """All rules in order; the events and the row's curve point."""
@@ -465,13 +516,12 @@ class Step:
         self.carry()
         self.expire_options()
         self.close_session()
-        if self.tradable and not s.halted:
+        if self.r.tradable and not s.halted:
             self.place_orders()
-        if self.tradable and not s.halted:
+        if self.r.tradable and not s.halted:
             self.fill_orders()
-        marked = sum(self.worth(i) for i in range(len(self.cells))) if self.c.mark_to_market else 0.0
-        s.equity = s.cash + marked
-        point = {"row_idx": self.row, "ts": self.ts, "equity": s.equity, "positions": list(s.positions), "adjustment": list(s.adjustment)}
+        s.equity = s.cash + (self.marked() if self.c.mark_to_market else 0.0)
+        point = {"row_idx": self.row, "ts": self.ts, "equity": s.equity, "positions": s.positions.tolist(), "adjustment": s.adjustment.tolist()}
         self.liquidate()
         self.watch(s.equity, self.c.max_drawdown_pct)
         s.max_drawdown = max(s.max_drawdown, self.fallen)
@@ -482,10 +532,11 @@ class Step:
         return self.out, point
 
 
-def load_snapshot(state: State, config: Config, ts: int) -> State:
-    """The state of a resumed run: its start is on record in the log."""
-    step = Step.__new__(Step)
-    step.s, step.c, step.ts, step.out = state, config, ts, Events()
+def load_snapshot(text: str, config: Config, ts: int) -> State:
+    """The state of a run to go on with, from its JSON; that it was loaded is on record in the log."""
+    state = State.from_json(text)
+    n = len(state.positions)
+    step = Step(state, Rules(config, n), Row(ts, False, *(np.zeros(n) for _ in range(6)), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool), np.zeros(n)))
     state.last_entry = None
     step.enter("SNAPSHOT_LOADED", state.next_row, equity=state.peak_equity)
     return state
@@ -493,10 +544,12 @@ def load_snapshot(state: State, config: Config, ts: int) -> State:
 
 def fold(rows, config: Config, state: State | None = None):
     """Fold ``(ts, tradable, cells)`` rows; yields ``(events, curve point, state)`` per row, and last the open log entry."""
+    rules = None
     for ts, tradable, cells in rows:
         if state is None:
             state = State.start(len(cells), config)
-        events, point = Step(state, config, ts, tradable, cells).run()
+        rules = rules or Rules(config, len(cells))
+        events, point = Step(state, rules, Row.of(ts, tradable, cells)).run()
         yield events, point, state
 
 
@@ -507,89 +560,214 @@ def finish(state: State) -> list[dict]:
 
 # ---- Spark adapter
 
-_NUMBERS = {
-    "asset": "bigint", "sequence": "bigint", "order_id": "bigint", "parent_order_id": "bigint", "quantity": "bigint", "remaining_quantity": "bigint", "price": "double", "fee": "double",
-    "venue_id": "bigint", "gross_price": "double", "maker_fee_bps": "double", "taker_fee_bps": "double", "net_price": "double", "cash_after": "double", "equity_after": "double", "value": "double",
-}
-EVENT_SCHEMA = "run_id string, kind string, row_idx bigint, ts bigint, type string, order_type string, " + ", ".join(f"{k} {v}" for k, v in _NUMBERS.items())
-EVENT_COLUMNS = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
-FILL_COLUMNS = ("ts", "order_id", "parent_order_id", "asset", "price", "quantity", "remaining_quantity", "fee", "venue_id", "gross_price", "maker_fee_bps", "taker_fee_bps", "net_price", "order_type")
+_INTEGERS = ("asset", "sequence", "order_id", "parent_order_id", "quantity", "remaining_quantity", "venue_id", "arrival_ts")
+_DOUBLES = ("price", "fee", "gross_price", "maker_fee_bps", "taker_fee_bps", "net_price", "cash_after", "equity_after", "value", "arrival_price")
+_TEXTS = ("type", "order_type")
+EVENT_SCHEMA = "run_id string, kind string, row_idx bigint, ts bigint, " + ", ".join([*(f"{c} string" for c in _TEXTS), *(f"{c} bigint" for c in _INTEGERS), *(f"{c} double" for c in _DOUBLES)])
+FILL_COLUMNS = (
+    "ts", "order_id", "parent_order_id", "asset", "price", "quantity", "remaining_quantity", "fee", "venue_id", "gross_price", "maker_fee_bps", "taker_fee_bps", "net_price", "order_type",
+    "arrival_ts", "arrival_price",
+)
 AUDIT_COLUMNS = ("ts", "order_id", "parent_order_id", "asset", "type", "value")
 LEDGER_COLUMNS = ("sequence", "ts", "order_id", "parent_order_id", "asset", "type", "quantity", "remaining_quantity", "price", "cash_after", "equity_after", "value")
-
-
-def market_cells(target: Column | str = "target", order_type: Column | None = None, limit_price: Column | None = None, actions: Column | None = None, asset: Column | None = None) -> Column:
-    """A panel row as one cell struct, to be collected per row of a run."""
-    return F.struct(
-        (F.lit(0) if asset is None else asset).cast("bigint").alias("asset"),
-        *(F.col(f).cast("double").alias(f) for f in ("close", "high", "low", "volume", "bid", "ask")),
-        (F.col(target) if isinstance(target, str) else target).cast("bigint").alias("target"),
-        (F.lit(MARKET) if order_type is None else order_type).alias("order_type"),
-        (F.lit(None) if limit_price is None else limit_price).cast("double").alias("limit_price"),
-        (F.array() if actions is None else F.coalesce(actions, F.array())).cast("array<struct<kind:string,amount:double>>").alias("actions"),
+_MARKET = ("close", "high", "low", "volume", "bid", "ask")
+#: Rows that the first look for a stretch without events takes, and the most.
+_SHORT, _LONG = 32, 65_536
+
+
+def run_rows(
+    panel: DataFrame, run: Column, order: str = "ts", *, asset: Column | None = None, target: str = "target", order_type: Column | None = None, limit_price: Column | None = None,
+    actions: Column | None = None, tradable: Column | None = None,
+) -> DataFrame:
+    """Panel rows as ``backtest`` takes them, one row an asset and time. ``asset`` numbers the assets of a run from 0; without it every run
+    has one. ``order`` (a column, such as the time) orders the rows of a run; assets of one time are stepped together."""
+    return panel.select(
+        run.cast("string").alias("run_id"),
+        F.col(order).alias("ord"),
+        F.col("ts").cast("bigint").alias("ts"),
+        (F.lit(0) if asset is None else asset).cast("int").alias("asset"),
+        F.coalesce(F.lit(True) if tradable is None else tradable, F.lit(False)).alias("tradable"),
+        *(F.col(f).cast("double").alias(f) for f in _MARKET),
+        F.coalesce(F.col(target), F.lit(0)).cast("bigint").alias("target"),
+        F.coalesce((F.lit(MARKET) if order_type is None else order_type) == LIMIT, F.lit(False)).alias("limited"),
+        F.coalesce((F.lit(None) if limit_price is None else limit_price).cast("double"), F.lit(float("nan"))).alias("limit_price"),
+        (F.lit(None) if actions is None else F.when(F.size(actions) > 0, actions)).cast("array<struct<kind:string,amount:double>>").alias("actions"),
     )
 
 
-def run_rows(panel: DataFrame, cell: Column, run: Column, order: str = "ts", tradable: Column | None = None, shared: bool = False) -> DataFrame:
-    """Rows for ``backtest``: ``run_id, ord, ts, tradable, cells``. With ``shared``, the cells of one run and time are
-    collected into one row, in order of asset; otherwise every panel row is a row of a one-asset run."""
-    rows = panel.select(run.cast("string").alias("run_id"), F.col(order).alias("ord"), "ts", (F.lit(True) if tradable is None else tradable).alias("tradable"), cell.alias("cell"))
-    if not shared:
-        return rows.withColumn("cells", F.array("cell")).drop("cell")
-    return rows.groupBy("run_id", "ord", "ts").agg(F.bool_and("tradable").alias("tradable"), F.sort_array(F.collect_list("cell")).alias("cells"))
-
-
-def backtest(rows: DataFrame, config: Config = Config(), keep: tuple[str, ...] = ("fill", "audit", "ledger", "curve")) -> DataFrame:
+def backtest(rows: DataFrame, config: Config = Config(), keep: tuple[str, ...] = ("fill", "audit", "ledger", "curve"), shared: bool = False) -> DataFrame:
     """Fold every run of ``rows`` (see ``run_rows``); one wide table of events, told apart by ``kind``.
 
     Runs are hashed over the tasks and sorted; a task takes its rows in Arrow batches and holds one state. A run is as
-    sequential as its cash; parallelism comes from the runs. An empty table gives no rows.
+    sequential as its cash; parallelism comes from the runs. With ``shared`` the assets of a run share cash and rules: rows of one time are
+    stepped together, and an asset without a bar is carried at its last close, without trading, and is nothing before its first. A
+    curve point's ``quantity`` is the sum of the positions. An empty table gives no rows; rows without run or time are ignored, a price
+    that is not finite raises.
     """
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, state, out = None, None, []
-
-        def emit(kind: str, records: list[dict], row: int) -> None:
-            if kind in keep:
-                out.extend({"run_id": run, "kind": kind, "row_idx": row, **r} for r in records)
-
-        for pdf in batches:
-            for run_id, ts, tradable, cells in zip(pdf["run_id"], pdf["ts"], pdf["tradable"], pdf["cells"]):
-                if run_id != run:
-                    if state is not None:
-                        emit("ledger", finish(state), state.next_row - 1)
-                    run, state = run_id, State.start(len(cells), config)
-                row = state.next_row
-                events, point = Step(state, config, int(ts), bool(tradable), [_cell(c) for c in cells]).run()
-                emit("fill", events.fills, row)
-                emit("audit", events.audit, row)
-                emit("ledger", events.ledger, row)
-                if "curve" in keep:
-                    emit("curve", [{"ts": point["ts"], "cash_after": point["cash"], "equity_after": point["equity"], "quantity": point["positions"][0]}], row)
-            if len(out) >= 20_000:
-                yield _event_frame(out)
-                out = []
-        if state is not None:
-            emit("ledger", finish(state), state.next_row - 1)
-        yield _event_frame(out)
-
-    laid = rows.where("run_id is not null").repartition("run_id").sortWithinPartitions("run_id", "ord").select("run_id", "ts", "tradable", "cells")
-    return laid.mapInPandas(walk, EVENT_SCHEMA)
-
-
-def _cell(c) -> Cell:
-    limit = c["limit_price"]
-    limit = None if limit is None or limit != limit else limit
-    return Cell(
-        c["close"], c["high"], c["low"], c["volume"], c["bid"], c["ask"], int(c["target"] or 0), c["order_type"] or MARKET, limit, tuple((a["kind"], a["amount"]) for a in c["actions"])
-    )
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = _Fold(config, keep, shared)
+        for batch in batches:
+            if batch.num_rows:
+                yield from fold.take(batch)
+        yield from fold.end()
+
+    laid = rows.where("run_id is not null and ts is not null").repartition("run_id")
+    laid = laid.sortWithinPartitions("run_id", "ord", "asset").drop("ord")
+    return laid.mapInArrow(walk, EVENT_SCHEMA)
+
+
+class _Fold:
+    """Runs folded batch by batch: the open run's state, the rows of its last time if assets share it, and the events not yet handed on."""
+
+    def __init__(self, config: Config, keep: tuple[str, ...], shared: bool) -> None:
+        self.config, self.keep, self.shared = config, keep, shared
+        self.run: str | None = None
+        self.held: dict[str, np.ndarray] | None = None
+        self.events: list[tuple] = []
+        self.points: list[tuple] = []
+        self.size = 0
+
+    def take(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("ts", "asset", "tradable", *_MARKET, "target", "limited", "limit_price")}
+        data["actions"] = np.empty(batch.num_rows, dtype=object)
+        due = batch.column("actions")
+        if due.null_count < batch.num_rows:
+            for i in np.flatnonzero(due.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                data["actions"][i] = tuple((x["kind"], x["amount"]) for x in due[i].as_py())
+        for f in _MARKET:
+            if not np.isfinite(data[f].astype(float)).all():
+                raise ValueError("market data contains non-finite values")
+        words = batch.column("run_id").dictionary_encode()
+        code = words.indices.to_numpy()
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+            name = words.dictionary[int(code[a])].as_py()
+            if name != self.run:
+                self._close_run()
+                self.run, self.state, self.rules = name, State.start(0 if self.shared else 1, self.config), Rules(self.config, 0 if self.shared else 1)
+                self.last = {f: np.zeros(0) for f in (*_MARKET, "limit_price")} | {"target": np.zeros(0, dtype=np.int64), "limited": np.zeros(0, dtype=bool)}
+            part = {c: v[a:b] for c, v in data.items()}
+            if self.shared:
+                self._step_together(part)
+            else:
+                self._step_alone(part)
+            if self.size >= 50_000:
+                yield self._flush()
 
+    def end(self) -> Iterator[pa.RecordBatch]:
+        self._close_run()
+        if self.size:
+            yield self._flush()
 
-def _event_frame(records: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(records, columns=EVENT_COLUMNS)
-    for text in ("run_id", "kind", "type", "order_type"):
-        out[text] = out[text].astype(object).where(out[text].notna(), None)
-    return out.astype({k: "Int64" if v == "bigint" else "float64" for k, v in _NUMBERS.items()} | {"row_idx": "int64", "ts": "int64"})
+    def _close_run(self) -> None:
+        if self.run is None:
+            return
+        if self.held is not None:
+            held, self.held = self.held, None
+            self._one_time(held)
+        self._emit("ledger", finish(self.state), self.state.next_row - 1)
+
+    # -- runs of one asset
+
+    def _step_alone(self, d: dict[str, np.ndarray]) -> None:
+        c, s, rules = self.config, self.state, self.rules
+        n = len(d["ts"])
+        wanted = np.clip(d["target"], rules.least[0], rules.most[0])
+        busy = np.array([x is not None for x in d["actions"]]) | np.isin(d["ts"], rules.dated)
+        busy |= d["tradable"] & (wanted != d["target"])
+        breaks = np.flatnonzero(busy | np.r_[False, wanted[1:] != wanted[:-1]] | np.r_[False, d["tradable"][1:] != d["tradable"][:-1]])
+        value, gross = c.lot_size * d["close"], np.abs(wanted) * c.lot_size * d["close"]
+        t, width = 0, _SHORT
+        while t < n:
+            position = int(s.positions[0])
+            if not s.pending and not busy[t] and not rules.earn and (s.halted or not d["tradable"][t] or wanted[t] == position):
+                k = int(np.searchsorted(breaks, t, side="right"))
+                end = min(int(breaks[k]) if k < len(breaks) else n, t + width)
+                part = slice(t, end)
+                cost = -min(position, 0) * value[part] * rules.borrow
+                cash = s.cash - np.cumsum(cost) if rules.borrow and position < 0 else np.full(end - t, s.cash)
+                equity = cash + position * value[part] if c.mark_to_market else cash
+                peak = np.maximum(np.maximum.accumulate(equity), s.peak_equity)
+                fallen = np.where(peak > 0, (peak - equity) / np.where(peak > 0, peak, 1.0), 0.0)
+                event = np.zeros(end - t, dtype=bool)
+                if not s.halted:
+                    event |= fallen > c.max_drawdown_pct
+                    event |= d["tradable"][part] & (gross[part] > c.max_gross_leverage * np.maximum(1.0, cash))
+                if c.margin_limit > 0:
+                    event |= abs(position) * value[part] * rules.ratio[0] > c.margin_limit
+                calm = int(event.argmax()) if event.any() else end - t
+                width = min(width * 2, _LONG) if calm == end - t else _SHORT
+                if calm:
+                    if "curve" in self.keep:
+                        self.points.append((self.run, np.arange(s.next_row, s.next_row + calm), d["ts"][t : t + calm], cash[:calm], equity[:calm], np.full(calm, position)))
+                        self.size += calm
+                    s.cash, s.equity, s.peak_equity = float(cash[calm - 1]), float(equity[calm - 1]), float(peak[calm - 1])
+                    s.max_drawdown = max(s.max_drawdown, float(fallen[:calm].max()))
+                    s.total_borrow_cost += float(cost[:calm].sum())
+                    s.next_row += calm
+                    if s.last_entry is not None:
+                        s.last_entry["equity_after"] = s.equity
+                    t += calm
+                    continue
+            one = slice(t, t + 1)
+            actions = tuple((0, kind, amount) for kind, amount in d["actions"][t] or ())
+            self._step(Row(int(d["ts"][t]), bool(d["tradable"][t]), *(d[f][one] for f in _MARKET), d["target"][one], d["limited"][one], d["limit_price"][one], actions))
+            t += 1
+
+    # -- runs whose assets share cash
+
+    def _step_together(self, d: dict[str, np.ndarray]) -> None:
+        if self.held is not None:
+            d = {c: np.concatenate([self.held[c], v]) for c, v in d.items()}
+        edges = np.flatnonzero(np.r_[True, d["ts"][1:] != d["ts"][:-1]])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            self._one_time({c: v[a:b] for c, v in d.items()})
+        self.held = {c: v[edges[-1] :] for c, v in d.items()}  # the next batch may have more of its last time
+
+    def _one_time(self, d: dict[str, np.ndarray]) -> None:
+        asset, last = d["asset"], self.last
+        most = int(asset.max()) + 1
+        if most > self.rules.assets:
+            self.state.grow(most)
+            self.rules = Rules(self.config, most)
+            for f, v in last.items():
+                last[f] = np.append(v, np.zeros(most - len(v), dtype=v.dtype))
+        for f in last:
+            last[f][asset] = d[f]
+        actions = tuple((int(i), kind, amount) for i, due in zip(asset, d["actions"]) for kind, amount in due or ())
+        self._step(Row(int(d["ts"][0]), bool(d["tradable"].all()), *(last[f] for f in _MARKET), last["target"], last["limited"], last["limit_price"], actions, np.unique(asset)))
+
+    # -- events
+
+    def _step(self, row: Row) -> None:
+        at = self.state.next_row
+        events, point = Step(self.state, self.rules, row).run()
+        self._emit("fill", events.fills, at)
+        self._emit("audit", events.audit, at)
+        self._emit("ledger", events.ledger, at)
+        if "curve" in self.keep:
+            self.points.append((self.run, np.array([at]), np.array([row.ts]), np.array([point["cash"]]), np.array([point["equity"]]), np.array([sum(point["positions"])])))
+            self.size += 1
+
+    def _emit(self, kind: str, records: list[dict], row: int) -> None:
+        if kind in self.keep and records:
+            self.events.extend((self.run, kind, row, r) for r in records)
+            self.size += len(records)
+
+    def _flush(self) -> pa.RecordBatch:
+        events, points = self.events, self.points
+        sizes = [len(p[1]) for p in points]
+        after = sum(sizes)
+        names = [e[0] for e in events] + [p[0] for p, n in zip(points, sizes) for _ in range(n)]
+        joined = lambda i, kind: np.concatenate([p[i] for p in points]).astype(kind) if points else np.zeros(0, dtype=kind)
+        of_points = {"row_idx": joined(1, "int64"), "ts": joined(2, "int64"), "cash_after": joined(3, "float64"), "equity_after": joined(4, "float64"), "quantity": joined(5, "int64")}
+        columns = {"run_id": pa.array(names, pa.string()), "kind": pa.array([e[1] for e in events] + ["curve"] * after, pa.string())}
+        for c, kind in [("row_idx", pa.int64()), ("ts", pa.int64()), *((c, pa.string()) for c in _TEXTS), *((c, pa.int64()) for c in _INTEGERS), *((c, pa.float64()) for c in _DOUBLES)]:
+            own = pa.array([e[2] for e in events] if c == "row_idx" else [e[3].get(c) for e in events], kind)
+            columns[c] = pa.concat_arrays([own, pa.array(of_points[c], kind) if c in of_points else pa.nulls(after, kind)])
+        self.events, self.points, self.size = [], [], 0
+        return pa.RecordBatch.from_pydict(columns)
 
 
 def events_of(events: DataFrame, kind: str) -> DataFrame:
