@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,12 @@ from tidewater.operators.sliced import running
 YEAR_SECONDS = 365.25 * 86_400.0
 #: Rows up to which a group's distinct values are ordered whole.
 SMALL_GROUP = 10_000
+#: Accuracy of the sketch that brackets a percentile; its error, one in so many, must be within the margin.
+ACCURACY = 20_000
+#: Means and deviations of returns within this are none.
+NOISE = 1e-12
+#: Times below this number steps instead of seconds.
+STEP_NUMBERS = 10_000_000
 
 
 def equity_from_ledger(ledger: DataFrame) -> DataFrame:
@@ -21,8 +30,14 @@ def equity_from_ledger(ledger: DataFrame) -> DataFrame:
 
 
 def daily_equity(curve: DataFrame) -> DataFrame:
-    """Last equity per symbol and UTC day."""
-    day = F.floor(F.col("ts") / 86_400).cast("bigint").alias("epoch_day")
+    """Last equity per symbol and UTC day: ``symbol, epoch_day, equity``.
+
+    Times are epoch numbers whose unit their magnitude tells (``timestamp_scale``); those of a symbol that are all below STEP_NUMBERS are
+    steps, of which each is a day of its own.
+    """
+    curve = curve.join(curve.groupBy("symbol").agg(F.max(F.abs("ts")).alias("largest_ts")), "symbol")
+    largest = F.col("largest_ts")
+    day = F.when(largest < STEP_NUMBERS, F.col("ts")).otherwise(F.floor(F.col("ts") / (86_400 * timestamp_scale(largest)))).cast("bigint").alias("epoch_day")
     return curve.groupBy("symbol", day).agg(F.max_by("equity", "ts").alias("equity"))
 
 
@@ -36,20 +51,24 @@ def drawdowns(curve: DataFrame, by: str = "symbol", order: str = "ts") -> DataFr
 def _ratio(mean: Column, deviation: Column) -> Column:
     """Mean over deviation a year; infinite with the mean's sign where nothing deviates, 0 without either."""
     inf = F.lit(float("inf"))
-    flat = F.when(mean > 0, inf).when(mean < 0, -inf).otherwise(0.0)
-    return F.when(deviation > 1e-15, F.try_divide(mean, deviation) * (252.0**0.5)).otherwise(flat)
+    flat = F.when(mean > NOISE, inf).when(mean < -NOISE, -inf).otherwise(0.0)
+    return F.when(deviation > NOISE, F.try_divide(mean, deviation) * (252.0**0.5)).otherwise(flat)
+
+
+def sharpe_and_sortino(ret: Column) -> tuple[Column, Column]:
+    """Both ratios as aggregations of returns a day, 0 without returns. Deviations within float noise are none."""
+    zero = F.lit(0.0)
+    mean, deviation, below = F.avg(ret), F.stddev_pop(ret), F.sqrt(F.avg(F.pow(F.least(ret, zero), F.lit(2.0))))
+    return F.coalesce(_ratio(mean, deviation), zero), F.coalesce(_ratio(mean, below), zero)
 
 
 def sharpe_sortino(daily: DataFrame, by: tuple[str, ...] = ("symbol",), order: str = "epoch_day") -> DataFrame:
     """Sharpe and Sortino ratio of the returns of a daily equity curve, 0 without returns."""
     w = Window.partitionBy(*by).orderBy(order)
     ret = F.coalesce(F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1, F.lit(0.0))
-    rows = daily.withColumn("n", F.row_number().over(w)).withColumn("ret", F.when(F.col("n") > 1, F.round(ret, 12)))
-    mean = F.avg("ret")
-    return rows.groupBy(*by).agg(
-        F.coalesce(_ratio(F.round(mean, 12), F.round(F.stddev_pop("ret"), 12)), F.lit(0.0)).alias("sharpe"),
-        F.coalesce(_ratio(F.round(mean, 12), F.round(F.sqrt(F.avg(F.pow(F.least("ret", F.lit(0.0)), F.lit(2.0)))), 12)), F.lit(0.0)).alias("sortino"),
-    )
+    rows = daily.withColumn("n", F.row_number().over(w)).withColumn("ret", F.when(F.col("n") > 1, ret))
+    sharpe, sortino = sharpe_and_sortino(F.col("ret"))
+    return rows.groupBy(*by).agg(sharpe.alias("sharpe"), sortino.alias("sortino"))
 
 
 def timestamp_scale(largest: Column) -> Column:
@@ -62,7 +81,17 @@ def years_of(first: Column, last: Column, largest: Column, rows: Column) -> Colu
     day = F.lit(1.0 / 252.0)
     steps, elapsed = (last - first) / 252.0, (last - first) / timestamp_scale(largest) / YEAR_SECONDS
     by_rows = F.when(rows > 1, (rows - 1) / 252.0).otherwise(day)
-    return F.when(last > first, F.greatest(F.when(largest < 1e7, steps).otherwise(elapsed), day)).otherwise(by_rows)
+    return F.when(last > first, F.greatest(F.when(largest < STEP_NUMBERS, steps).otherwise(elapsed), day)).otherwise(by_rows)
+
+
+def cagr(start: Column, end: Column, years: Column) -> Column:
+    """Yearly growth, 0 where either end is not positive."""
+    return F.when((start <= 0) | (end <= 0), 0.0).otherwise(F.pow(end / start, 1.0 / years) - 1.0)
+
+
+def calmar(growth: Column, drawdown: Column) -> Column:
+    """Growth over the largest drawdown; without one infinite if there is growth, else 0."""
+    return F.when(drawdown == 0, F.when(growth > 0, F.lit(float("inf"))).otherwise(0.0)).otherwise(F.try_divide(growth, drawdown))
 
 
 def summarize(curve: DataFrame, fills: DataFrame) -> DataFrame:
@@ -80,16 +109,14 @@ def summarize(curve: DataFrame, fills: DataFrame) -> DataFrame:
     )
     traded = fills.groupBy("symbol").agg(F.sum(F.abs(F.col("quantity") * F.col("price"))).alias("gross"), F.count(F.lit(1)).alias("fill_count"))
     out = stats.join(traded, "symbol", "left").join(sharpe_sortino(daily_equity(curve)), "symbol")
-    grown = F.pow(F.col("ending_equity") / F.col("start_equity"), 1.0 / F.col("years")) - 1.0
-    out = out.withColumn("cagr", F.when((F.col("start_equity") <= 0) | (F.col("ending_equity") <= 0), 0.0).otherwise(grown))
-    flat = F.when(F.col("cagr") > 0, F.lit(float("inf"))).otherwise(0.0)
+    out = out.withColumn("cagr", cagr(F.col("start_equity"), F.col("ending_equity"), F.col("years")))
     return out.select(
         "symbol",
         "sharpe",
         "sortino",
         "cagr",
         "max_drawdown",
-        F.when(F.col("max_drawdown") == 0, flat).otherwise(F.try_divide("cagr", "max_drawdown")).alias("calmar"),
+        calmar(F.col("cagr"), F.col("max_drawdown")).alias("calmar"),
         (F.coalesce(F.try_divide("gross", "mean_equity"), F.lit(0.0)) / F.col("years")).alias("turnover_per_year"),
         F.coalesce("fill_count", F.lit(0)).alias("fill_count"),
         (F.col("ending_equity") - F.col("start_equity")).alias("pnl"),
@@ -102,30 +129,37 @@ def pnl_attribution(fills: DataFrame) -> DataFrame:
     return fills.groupBy("symbol").agg(F.sum(-F.col("quantity") * F.col("price") - F.col("fee")).alias("pnl"))
 
 
-_STATE = "struct<pos:double,cost:double,won:double,lost:double,wins:bigint,losses:bigint,closed:bigint>"
-_STEP = f"""aggregate(fills, cast(struct(0D, 0D, 0D, 0D, 0L, 0L, 0L) as {_STATE}), (s, f) -> case
-  when s.pos = 0 then cast(struct(f.q, f.px, s.won, s.lost, s.wins, s.losses, s.closed) as {_STATE})
-  when sign(s.pos) = sign(f.q) then
-    cast(struct(s.pos + f.q, (abs(s.pos) * s.cost + abs(f.q) * f.px) / (abs(s.pos) + abs(f.q)), s.won, s.lost, s.wins, s.losses, s.closed) as {_STATE})
-  else cast(struct(s.pos + f.q,
-    case when s.pos + f.q = 0 then 0D when sign(s.pos + f.q) = sign(f.q) then f.px else s.cost end,
-    s.won + greatest(least(abs(s.pos), abs(f.q)) * (f.px - s.cost) * sign(s.pos) - f.fee, 0D),
-    s.lost + greatest(f.fee - least(abs(s.pos), abs(f.q)) * (f.px - s.cost) * sign(s.pos), 0D),
-    s.wins + case when least(abs(s.pos), abs(f.q)) * (f.px - s.cost) * sign(s.pos) - f.fee > 0 then 1L else 0L end,
-    s.losses + case when least(abs(s.pos), abs(f.q)) * (f.px - s.cost) * sign(s.pos) - f.fee < 0 then 1L else 0L end,
-    s.closed + 1L) as {_STATE}) end)"""
-
-
 def trade_stats(fills: DataFrame) -> DataFrame:
     """Win rate, average win and loss and profit factor per symbol, by matching fills in order at average cost.
 
-    The opening fee is not counted, the closing fee is; a flip opens at the fill's price. The fold runs in the JVM over
-    the symbol's fills in order: a symbol's trades, not its bars, are what one row holds.
+    The opening fee is not counted, the closing fee is; a flip opens at the fill's price. Fills stream through a task in order, which holds one
+    symbol's position and sums at a time.
     """
-    ordered = fills.groupBy("symbol").agg(
-        F.sort_array(F.collect_list(F.struct("parent_order_id", F.col("quantity").cast("double").alias("q"), F.col("price").alias("px"), "fee"))).alias("fills")
-    )
-    s = ordered.withColumn("s", F.expr(_STEP)).select("symbol", "s.*")
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, held, cost, sums = None, 0.0, 0.0, [0.0, 0.0, 0, 0, 0]
+        for pdf in batches:
+            done = []
+            for name, q, price, fee in zip(*(pdf[c] for c in ("symbol", "quantity", "price", "fee"))):
+                if name != symbol:
+                    if symbol is not None:
+                        done.append((symbol, *sums))
+                    symbol, held, cost, sums = name, 0.0, 0.0, [0.0, 0.0, 0, 0, 0]
+                if held * q >= 0:
+                    cost = (abs(held) * cost + abs(q) * price) / (abs(held) + abs(q))
+                else:
+                    gain = min(abs(held), abs(q)) * (price - cost) * (1 if held > 0 else -1) - fee
+                    sums = [sums[0] + max(gain, 0.0), sums[1] + max(-gain, 0.0), sums[2] + (gain > 0), sums[3] + (gain < 0), sums[4] + 1]
+                    if abs(q) > abs(held):
+                        cost = price
+                held += q
+            if done:
+                yield pd.DataFrame(done, columns=_MATCHED)
+        if symbol is not None:
+            yield pd.DataFrame([(symbol, *sums)], columns=_MATCHED)
+
+    ordered = fills.where("symbol is not null and quantity != 0").repartition("symbol").sortWithinPartitions("symbol", "order_id")
+    s = ordered.select("symbol", F.col("quantity").cast("double").alias("quantity"), "price", "fee").mapInPandas(match, "symbol string, won double, lost double, wins bigint, losses bigint, closed bigint")
     return s.select(
         "symbol",
         "closed",
@@ -136,6 +170,9 @@ def trade_stats(fills: DataFrame) -> DataFrame:
     )
 
 
+_MATCHED = ["symbol", "won", "lost", "wins", "losses", "closed"]
+
+
 def replay_ledger(ledger: DataFrame) -> DataFrame:
     """Per symbol: entries, distinct orders and parents, fills, last cash and equity of the log."""
     return ledger.groupBy("symbol").agg(
@@ -148,30 +185,37 @@ def replay_ledger(ledger: DataFrame) -> DataFrame:
     )
 
 
-def exact_percentiles(df: DataFrame, by: list[str], value: str, quantiles: tuple[float, ...], margin: float = 0.005) -> DataFrame:
+def exact_percentiles(df: DataFrame, by: list[str], value: str, quantiles: tuple[float, ...], margin: float = 2e-4) -> DataFrame:
     """Exact, linearly interpolated percentiles per group, without holding a group in one task.
 
-    A sketch brackets each percentile; one pass counts the values below the bracket, and only distinct values inside it,
-    with their counts, are ordered. Groups of at most SMALL_GROUP rows need no bracket. Null and NaN values are left out.
+    A sketch brackets each percentile to a share of ``2 * margin`` of the rows; one pass counts the values below each bracket, and only
+    distinct values inside, with their counts, are ordered. Groups of at most SMALL_GROUP rows need no bracket. Null and NaN values are left out.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*(F.col(b).alias(f"by_{i}") for i, b in enumerate(by)), F.col(value).alias("v"))
     names, by = by, [f"by_{i}" for i in range(len(by))]
     edges = [e for q in quantiles for e in (max(q - margin, 0.0), min(q + margin, 1.0))]
-    sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", edges, 2_000).alias("edges"), F.min("v").alias("least"), F.max("v").alias("most"))
+    sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", edges, ACCURACY).alias("edges"), F.min("v").alias("least"), F.max("v").alias("most"))
     small = F.col("n") <= SMALL_GROUP
-    wanted = sketch.select(
-        *by,
-        "n",
-        F.posexplode(F.array(*(F.struct(F.lit(q).alias("q"), F.when((F.lit(edges[2 * i]) <= 0) | small, F.col("least")).otherwise(F.get("edges", F.lit(2 * i))).alias("lo"), F.when((F.lit(edges[2 * i + 1]) >= 1) | small, F.col("most")).otherwise(F.get("edges", F.lit(2 * i + 1))).alias("hi")) for i, q in enumerate(quantiles)))).alias("i", "w"),
-    ).select(*by, "n", "i", "w.*")
+    ends = {}
+    for i in range(len(quantiles)):
+        ends[f"lo_{i}"] = F.when((F.lit(edges[2 * i]) <= 0) | small, F.col("least")).otherwise(F.get("edges", F.lit(2 * i)))
+        ends[f"hi_{i}"] = F.when((F.lit(edges[2 * i + 1]) >= 1) | small, F.col("most")).otherwise(F.get("edges", F.lit(2 * i + 1)))
+    wanted = sketch.select(*by, "n", *(e.alias(c) for c, e in ends.items()))
     on = F.lit(True)
     for b in by:
         on = on & F.col(f"r.{b}").eqNullSafe(F.col(f"w.{b}"))
     met = rows.alias("r").join(wanted.alias("w"), on)
-    place = F.when(F.col("v") < F.col("lo"), F.lit(None)).otherwise(F.col("v"))
-    counted = met.where(F.col("v") <= F.col("hi")).groupBy(*(F.col(f"w.{b}").alias(b) for b in by), "i", "q", "n", place.alias("x")).agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy(*by, "i").orderBy(F.col("x").asc_nulls_first())
-    counted = counted.withColumn("upto", F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.col("q") * (F.col("n") - 1))
+    keys = [F.col(f"w.{b}").alias(b) for b in by]
+    under = met.groupBy(*keys, "n").agg(*(F.count_if(F.col("v") < F.col(f"lo_{i}")).alias(f"under_{i}") for i in range(len(quantiles))))
+    under = under.select(*by, "n", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"), F.col(f"under_{i}").alias("under")) for i, q in enumerate(quantiles)))).alias("u")).select(*by, "n", "u.*")
+    inside = F.array_compact(F.array(*(F.when((F.col("v") >= F.col(f"lo_{i}")) & (F.col("v") <= F.col(f"hi_{i}")), F.lit(i)) for i in range(len(quantiles)))))
+    counted = met.where(F.size(inside) > 0).select(*keys, F.explode(inside).alias("i"), F.col("v").alias("x")).groupBy(*by, "i", "x").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy(*by, "i").orderBy("x")
+    counted = counted.withColumn("within", F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.lit(True)
+    for b in [*by]:
+        same = same & F.col(f"c.{b}").eqNullSafe(F.col(f"u.{b}"))
+    counted = counted.alias("c").join(under.alias("u"), same & (F.col("c.i") == F.col("u.i"))).select(*(F.col(f"c.{b}").alias(b) for b in by), F.col("c.i").alias("i"), "x", (F.col("within") + F.col("under")).alias("upto"), (F.col("q") * (F.col("n") - 1)).alias("rank"))
     low = F.min(F.when(F.col("x").isNotNull() & (F.col("upto") > F.floor("rank")), F.col("x")))
     high = F.min(F.when(F.col("x").isNotNull() & (F.col("upto") > F.ceil("rank")), F.col("x")))
     each = counted.groupBy(*by, "i", "rank").agg(low.alias("a"), high.alias("b"))

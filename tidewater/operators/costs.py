@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.analytics import exact_percentiles
+from tidewater.operators.engine import Config
+
 
 def calibrate(samples: DataFrame) -> DataFrame:
     """Linear impact model of all samples (``arrival_mid, fill_price, side, participation, quoted_spread_bps``):
-    ``impact_bps = fixed_bps + impact * 10,000 * participation squared``, neither below 0, and the spread."""
+    ``impact_bps = fixed_bps + impact * 10,000 * participation squared``, neither below 0, and the spread in bps: the median of the quoted spreads
+    that are numbers, or without any twice the median size of the impact."""
     rows = samples.withColumn("impact", F.col("side") * (F.col("fill_price") / F.col("arrival_mid") - 1.0) * 1e4)
     rows = rows.withColumns({"y": F.abs("impact"), "x": F.col("participation") * F.col("participation")})
     fit = rows.agg(
@@ -19,35 +24,48 @@ def calibrate(samples: DataFrame) -> DataFrame:
         F.regr_intercept("y", "x").alias("intercept"),
         F.avg("y").alias("mean_y"),
         F.avg("x").alias("mean_x"),
-        F.avg("quoted_spread_bps").alias("spread_bps"),
     )
+    both = rows.select(F.explode(F.array(F.struct(F.lit("spread").alias("what"), F.col("quoted_spread_bps").cast("double").alias("v")), F.struct(F.lit("impact").alias("what"), F.col("y").alias("v")))).alias("m")).select("m.*")
+    medians = exact_percentiles(both, ["what"], "v", (0.5,)).agg(F.max(F.when(F.col("what") == "spread", F.col("p50"))).alias("spread"), F.max(F.when(F.col("what") == "impact", F.col("p50"))).alias("half"))
+    one = F.lit(1).alias("one")  # two tables of one row
+    fit = fit.select("*", one).join(medians.select("*", one), "one")
     constant = F.col("mean_y") / (1.0 + F.col("mean_x") * F.col("mean_x"))  # the least-norm fit where x does not vary
     return fit.select(
         "samples",
         F.greatest(F.coalesce("intercept", constant), F.lit(0.0)).alias("fixed_bps"),
         F.greatest(F.coalesce("slope", F.col("mean_x") * constant) / 1e4, F.lit(0.0)).alias("impact"),
-        "spread_bps",
+        F.coalesce(F.col("spread"), 2.0 * F.col("half")).alias("spread_bps"),
     )
 
 
-def fill_costs(fills: DataFrame, arrivals: DataFrame, total_borrow: float = 0.0, impact_coefficient: float = 1.0, bucket_seconds: int = 3600) -> DataFrame:
-    """Costs of each fill: half spread, impact, financing share, shortfall against the arrival price.
+def calibrated_config(model: DataFrame, config: Config = Config()) -> Config:
+    """``config`` with the slippage of a calibrated model (the one row of ``calibrate``): its fixed cost and its impact by share of volume."""
+    row = model.first()
+    return replace(config, slippage_bps=float(row["fixed_bps"]), volume_share_impact=float(row["impact"]))
+
+
+def fill_costs(fills: DataFrame, assets: DataFrame | None = None, total_borrow: float = 0.0, impact_coefficient: float = 1.0, bucket_seconds: int = 3600) -> DataFrame:
+    """Costs of each fill: half spread, impact, financing share, shortfall against the price at which its order came in.
 
-    fills: with the ``volatility`` of their bar; arrivals: ``symbol, parent_order_id, arrival_price``.
+    fills: ``Simulation.fills`` with the ``volatility`` of their bars; ``assets`` gives a symbol's ``asset`` (null without). Financing is a
+    symbol's share of ``total_borrow`` by traded value.
     """
     size = F.abs("quantity").cast("double")
     side = F.signum(F.col("quantity").cast("double"))
-    rows = fills.join(arrivals, ["symbol", "parent_order_id"], "left")
+    rows = fills.withColumn("asset", F.lit(None).cast("bigint")) if assets is None else fills.join(assets.select("symbol", "asset"), "symbol", "left")
     rows = rows.withColumn("arrival_price", F.coalesce("arrival_price", "close")).withColumn("spread", F.greatest(F.col("ask") - F.col("bid"), F.lit(0.0)))
     rows = rows.withColumn("participation", F.least(size / F.greatest("volume", F.lit(1.0)), F.lit(1.0)))
     out = rows.select(
         "symbol",
+        "asset",
         "ts",
         "parent_order_id",
         "order_id",
         F.when(F.col("quantity") >= 0, "buy").otherwise("sell").alias("direction"),
         "quantity",
         size.alias("abs_quantity"),
+        "bid",
+        "ask",
         "arrival_price",
         F.col("price").alias("fill_price"),
         ((F.col("bid") + F.col("ask")) * 0.5).alias("mid_price"),

@@ -475,6 +475,7 @@ class Step:
                 "ts": self.ts, "order_id": order_id, "parent_order_id": order.parent_id, "asset": asset, "price": price, "quantity": sign * part, "remaining_quantity": rest,
                 "fee": cost, "venue_id": venue.venue_id, "gross_price": base, "maker_fee_bps": venue.maker_fee_bps, "taker_fee_bps": venue.taker_fee_bps,
                 "net_price": price + cost / max(1, part * c.lot_size), "order_type": order.order_type, "arrival_ts": order.arrival_ts, "arrival_price": order.arrival_price,
+                "close": float(self.r.close[asset]), "bid": float(self.r.bid[asset]), "ask": float(self.r.ask[asset]), "volume": float(self.r.volume[asset]),
             })
             self.note("FILL_APPLIED", price, asset, order.parent_id, order_id)
             self.enter("FILL_APPLIED", cost, asset, order.parent_id, order_id, sign * part, rest, price)
@@ -560,13 +561,13 @@ def finish(state: State) -> list[dict]:
 
 # ---- Spark adapter
 
-_INTEGERS = ("asset", "sequence", "order_id", "parent_order_id", "quantity", "remaining_quantity", "venue_id", "arrival_ts")
-_DOUBLES = ("price", "fee", "gross_price", "maker_fee_bps", "taker_fee_bps", "net_price", "cash_after", "equity_after", "value", "arrival_price")
+_INTEGERS = ("asset", "sequence", "order_id", "parent_order_id", "quantity", "remaining_quantity", "venue_id", "arrival_ts", "trade", "row_fills")
+_DOUBLES = ("price", "fee", "gross_price", "maker_fee_bps", "taker_fee_bps", "net_price", "cash_after", "equity_after", "value", "arrival_price", "close", "drawdown", "traded", "bid", "ask", "volume", "extra")
 _TEXTS = ("type", "order_type")
 EVENT_SCHEMA = "run_id string, kind string, row_idx bigint, ts bigint, " + ", ".join([*(f"{c} string" for c in _TEXTS), *(f"{c} bigint" for c in _INTEGERS), *(f"{c} double" for c in _DOUBLES)])
 FILL_COLUMNS = (
     "ts", "order_id", "parent_order_id", "asset", "price", "quantity", "remaining_quantity", "fee", "venue_id", "gross_price", "maker_fee_bps", "taker_fee_bps", "net_price", "order_type",
-    "arrival_ts", "arrival_price",
+    "arrival_ts", "arrival_price", "close", "bid", "ask", "volume", "extra",
 )
 AUDIT_COLUMNS = ("ts", "order_id", "parent_order_id", "asset", "type", "value")
 LEDGER_COLUMNS = ("sequence", "ts", "order_id", "parent_order_id", "asset", "type", "quantity", "remaining_quantity", "price", "cash_after", "equity_after", "value")
@@ -577,10 +578,11 @@ _SHORT, _LONG = 32, 65_536
 
 def run_rows(
     panel: DataFrame, run: Column, order: str = "ts", *, asset: Column | None = None, target: str = "target", order_type: Column | None = None, limit_price: Column | None = None,
-    actions: Column | None = None, tradable: Column | None = None,
+    actions: Column | None = None, tradable: Column | None = None, extra: Column | None = None,
 ) -> DataFrame:
     """Panel rows as ``backtest`` takes them, one row an asset and time. ``asset`` numbers the assets of a run from 0; without it every run
-    has one. ``order`` (a column, such as the time) orders the rows of a run; assets of one time are stepped together."""
+    has one. ``order`` (a column, such as the time) orders the rows of a run; assets of one time are stepped together. Fills of runs of one
+    asset carry ``extra``, a number of their row, along."""
     return panel.select(
         run.cast("string").alias("run_id"),
         F.col(order).alias("ord"),
@@ -592,6 +594,7 @@ def run_rows(
         F.coalesce((F.lit(MARKET) if order_type is None else order_type) == LIMIT, F.lit(False)).alias("limited"),
         F.coalesce((F.lit(None) if limit_price is None else limit_price).cast("double"), F.lit(float("nan"))).alias("limit_price"),
         (F.lit(None) if actions is None else F.when(F.size(actions) > 0, actions)).cast("array<struct<kind:string,amount:double>>").alias("actions"),
+        (F.lit(None) if extra is None else extra).cast("double").alias("extra"),
     )
 
 
@@ -601,7 +604,7 @@ def backtest(rows: DataFrame, config: Config = Config(), keep: tuple[str, ...] =
     Runs are hashed over the tasks and sorted; a task takes its rows in Arrow batches and holds one state. A run is as
     sequential as its cash; parallelism comes from the runs. With ``shared`` the assets of a run share cash and rules: rows of one time are
     stepped together, and an asset without a bar is carried at its last close, without trading, and is nothing before its first. A
-    curve point's ``quantity`` is the sum of the positions. An empty table gives no rows; rows without run or time are ignored, a price
+    curve point's ``quantity`` is the sum of the positions, ``trade`` its change in the row; ``close`` is known for runs of one asset. An empty table gives no rows; rows without run or time are ignored, a price
     that is not finite raises.
     """
 
@@ -629,7 +632,7 @@ class _Fold:
         self.size = 0
 
     def take(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("ts", "asset", "tradable", *_MARKET, "target", "limited", "limit_price")}
+        data = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("ts", "asset", "tradable", *_MARKET, "target", "limited", "limit_price", "extra")}
         data["actions"] = np.empty(batch.num_rows, dtype=object)
         due = batch.column("actions")
         if due.null_count < batch.num_rows:
@@ -700,7 +703,8 @@ class _Fold:
                 width = min(width * 2, _LONG) if calm == end - t else _SHORT
                 if calm:
                     if "curve" in self.keep:
-                        self.points.append((self.run, np.arange(s.next_row, s.next_row + calm), d["ts"][t : t + calm], cash[:calm], equity[:calm], np.full(calm, position)))
+                        at = slice(t, t + calm)
+                        self.points.append((self.run, np.arange(s.next_row, s.next_row + calm), d["ts"][at], cash[:calm], equity[:calm], np.full(calm, position), np.zeros(calm), d["close"][at], fallen[:calm], np.zeros(calm), np.zeros(calm)))
                         self.size += calm
                     s.cash, s.equity, s.peak_equity = float(cash[calm - 1]), float(equity[calm - 1]), float(peak[calm - 1])
                     s.max_drawdown = max(s.max_drawdown, float(fallen[:calm].max()))
@@ -712,7 +716,7 @@ class _Fold:
                     continue
             one = slice(t, t + 1)
             actions = tuple((0, kind, amount) for kind, amount in d["actions"][t] or ())
-            self._step(Row(int(d["ts"][t]), bool(d["tradable"][t]), *(d[f][one] for f in _MARKET), d["target"][one], d["limited"][one], d["limit_price"][one], actions))
+            self._step(Row(int(d["ts"][t]), bool(d["tradable"][t]), *(d[f][one] for f in _MARKET), d["target"][one], d["limited"][one], d["limit_price"][one], actions), d["extra"][t])
             t += 1
 
     # -- runs whose assets share cash
@@ -735,19 +739,46 @@ class _Fold:
                 last[f] = np.append(v, np.zeros(most - len(v), dtype=v.dtype))
         for f in last:
             last[f][asset] = d[f]
+        s, rules, c = self.state, self.rules, self.config
         actions = tuple((int(i), kind, amount) for i, due in zip(asset, d["actions"]) for kind, amount in due or ())
+        wanted = np.clip(last["target"], rules.least, rules.most)
+        still = (wanted[asset] == s.positions[asset]) & (wanted[asset] == d["target"])
+        if not (s.pending or actions or rules.borrow or rules.earn or len(rules.dated) or c.margin_limit > 0) and still.all():
+            equity = s.cash + (float(s.positions @ last["close"]) * c.lot_size if c.mark_to_market else 0.0)
+            peak = max(s.peak_equity, equity)
+            fallen = (peak - equity) / peak if peak > 0 else 0.0
+            if s.halted or (fallen <= c.max_drawdown_pct and float(np.abs(wanted) @ last["close"]) * c.lot_size <= c.max_gross_leverage * max(1.0, s.cash)):
+                self._carried(int(d["ts"][0]), equity, peak, fallen)
+                return
         self._step(Row(int(d["ts"][0]), bool(d["tradable"].all()), *(last[f] for f in _MARKET), last["target"], last["limited"], last["limit_price"], actions, np.unique(asset)))
 
+    def _carried(self, ts: int, equity: float, peak: float, fallen: float) -> None:
+        """A time at which nothing can happen but marking."""
+        s = self.state
+        if "curve" in self.keep:
+            self.points.append((self.run, *(np.array([x]) for x in (s.next_row, ts, s.cash, equity, int(s.positions.sum()), 0, np.nan, fallen, 0.0, 0))))
+            self.size += 1
+        s.equity, s.peak_equity, s.max_drawdown = equity, peak, max(s.max_drawdown, fallen)
+        s.next_row += 1
+        if s.last_entry is not None:
+            s.last_entry["equity_after"] = equity
+
     # -- events
 
-    def _step(self, row: Row) -> None:
-        at = self.state.next_row
-        events, point = Step(self.state, self.rules, row).run()
+    def _step(self, row: Row, extra: float | None = None) -> None:
+        at, before = self.state.next_row, int(self.state.positions.sum())
+        step = Step(self.state, self.rules, row)
+        events, point = step.run()
+        for f in events.fills:
+            f["extra"] = None if extra is None or extra != extra else float(extra)
         self._emit("fill", events.fills, at)
         self._emit("audit", events.audit, at)
         self._emit("ledger", events.ledger, at)
         if "curve" in self.keep:
-            self.points.append((self.run, np.array([at]), np.array([row.ts]), np.array([point["cash"]]), np.array([point["equity"]]), np.array([sum(point["positions"])])))
+            now = sum(point["positions"])
+            close = np.nan if self.shared else float(row.close[0])
+            traded = sum(abs(f["quantity"]) * f["price"] for f in events.fills)
+            self.points.append((self.run, *(np.array([x]) for x in (at, row.ts, point["cash"], point["equity"], now, now - before, close, step.fallen, traded, len(events.fills)))))
             self.size += 1
 
     def _emit(self, kind: str, records: list[dict], row: int) -> None:
@@ -761,7 +792,7 @@ class _Fold:
         after = sum(sizes)
         names = [e[0] for e in events] + [p[0] for p, n in zip(points, sizes) for _ in range(n)]
         joined = lambda i, kind: np.concatenate([p[i] for p in points]).astype(kind) if points else np.zeros(0, dtype=kind)
-        of_points = {"row_idx": joined(1, "int64"), "ts": joined(2, "int64"), "cash_after": joined(3, "float64"), "equity_after": joined(4, "float64"), "quantity": joined(5, "int64")}
+        of_points = {"row_idx": joined(1, "int64"), "ts": joined(2, "int64"), "cash_after": joined(3, "float64"), "equity_after": joined(4, "float64"), "quantity": joined(5, "int64"), "trade": joined(6, "int64"), "close": joined(7, "float64"), "drawdown": joined(8, "float64"), "traded": joined(9, "float64"), "row_fills": joined(10, "int64")}
         columns = {"run_id": pa.array(names, pa.string()), "kind": pa.array([e[1] for e in events] + ["curve"] * after, pa.string())}
         for c, kind in [("row_idx", pa.int64()), ("ts", pa.int64()), *((c, pa.string()) for c in _TEXTS), *((c, pa.int64()) for c in _INTEGERS), *((c, pa.float64()) for c in _DOUBLES)]:
             own = pa.array([e[2] for e in events] if c == "row_idx" else [e[3].get(c) for e in events], kind)
@@ -775,5 +806,5 @@ def events_of(events: DataFrame, kind: str) -> DataFrame:
     columns = {"fill": FILL_COLUMNS, "audit": AUDIT_COLUMNS, "ledger": LEDGER_COLUMNS}.get(kind)
     rows = events.where(F.col("kind") == kind)
     if columns is None:
-        return rows.select("run_id", "row_idx", "ts", F.col("equity_after").alias("equity"), F.col("cash_after").alias("cash"), F.col("quantity").alias("position"))
+        return rows.select("run_id", "row_idx", "ts", F.col("equity_after").alias("equity"), F.col("cash_after").alias("cash"), F.col("quantity").alias("position"), "trade", "close", "drawdown", "traded", "row_fills")
     return rows.select("run_id", "row_idx", *columns)

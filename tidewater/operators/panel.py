@@ -105,10 +105,20 @@ def dense_asset_ids(symbols: DataFrame) -> DataFrame:
     return distinct.withColumn("asset", (F.row_number().over(Window.orderBy("symbol")) - 1).cast("bigint"))
 
 
+#: Time buckets by which ticks are hashed.
+TICK_BUCKET_NS = 3_600 * 10**9
+
+
 def load_ticks(ticks: DataFrame) -> DataFrame:
-    """Ticks with a symbol, dense asset ids and sides in ``BID``, ``ASK``, ``TRADE`` (anything else reads as TRADE)."""
+    """Ticks with a symbol and a time, dense asset ids and sides in ``BID``, ``ASK``, ``TRADE`` (anything else reads as TRADE).
+
+    A tick sent twice counts once, as first received. Rows are hashed by symbol and ``hour``, so that a hot symbol is spread over its hours.
+    """
     side = F.upper(F.trim("side"))
-    rows = ticks.where("symbol is not null").select("src_order", "timestamp_ns", "symbol", "price", "size", F.when(side.isin("BID", "ASK"), side).otherwise("TRADE").alias("side"))
+    hour = F.floor(F.col("timestamp_ns") / F.lit(TICK_BUCKET_NS)).cast("bigint").alias("hour")
+    tick = F.struct("src_order", "price", "size", F.when(side.isin("BID", "ASK"), side).otherwise("TRADE").alias("side")).alias("t")
+    rows = ticks.where("symbol is not null and timestamp_ns is not null").select("symbol", hour, "timestamp_ns", tick).repartition("symbol", "hour")
+    rows = rows.groupBy("symbol", "hour", "timestamp_ns").agg(F.min("t").alias("t")).select("symbol", "hour", "timestamp_ns", "t.*")
     return rows.join(dense_asset_ids(ticks), "symbol")
 
 

@@ -154,6 +154,15 @@ FIELD_NAMES = ("close", "volume", "price")
 STATE_NAMES = ("normal", "spike", "stuck", "out_of_range")
 
 
+def close_series(bars: DataFrame) -> DataFrame:
+    """The close series with its hard bounds."""
+    close = F.col("close")
+    outside = F.coalesce((close < F.col("low")) & ~F.isnan("low"), F.lit(False)) | F.coalesce(
+        (close > F.col("high")) & ~F.isnan("high"), F.lit(False)
+    )
+    return series_of(bars, CLOSE, "symbol", "ts", "close", (close <= 0) | (close == F.lit(float("inf"))) | outside, "src_order")
+
+
 def market_series(bars: DataFrame, ticks: DataFrame) -> DataFrame:
     """The close, volume and tick price series with their hard bounds.
 
@@ -161,12 +170,9 @@ def market_series(bars: DataFrame, ticks: DataFrame) -> DataFrame:
     a volume finite and not negative.
     """
     inf = F.lit(float("inf"))
-    close, volume, price = F.col("close"), F.col("volume"), F.col("price")
-    outside = F.coalesce((close < F.col("low")) & ~F.isnan("low"), F.lit(False)) | F.coalesce(
-        (close > F.col("high")) & ~F.isnan("high"), F.lit(False)
-    )
+    volume, price = F.col("volume"), F.col("price")
     return (
-        series_of(bars, CLOSE, "symbol", "ts", "close", (close <= 0) | (close == inf) | outside, "src_order")
+        close_series(bars)
         .unionByName(series_of(bars, VOLUME, "symbol", "ts", "volume", (volume < 0) | (volume == inf), "src_order"))
         .unionByName(series_of(ticks, PRICE, "symbol", "timestamp_ns", "price", (price <= 0) | (price == inf), "src_order"))
     )
@@ -186,3 +192,8 @@ def bad_market_readings(bars: DataFrame, ticks: DataFrame) -> DataFrame:
         verdict.alias("verdict"),
         "p_bad",
     )
+
+
+def bad_closes(bars: DataFrame) -> DataFrame:
+    """``symbol, ts`` of the closes that cannot be true."""
+    return flag_readings(close_series(bars)).select("symbol", "ts")

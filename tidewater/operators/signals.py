@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.asknown import as_known_join
-from tidewater.operators.panel import simple_return, sliced_returns
+from tidewater.operators.panel import TICK_BUCKET_NS, simple_return, sliced_returns
 from tidewater.operators.sliced import SLICE_ROWS, by_slice, own_rows, running, with_halo
 
 #: Differences of averages below this are ties; sums of many doubles carry such noise.
@@ -19,7 +19,7 @@ def _volatility(sliced: DataFrame, window: int, grown: bool = True) -> DataFrame
     vol = F.stddev_pop("ret").over(by_slice().rowsBetween(-(window - 1), 0))
     if grown:
         vol = F.when(F.col("row_idx") >= window, vol).otherwise(0.0)
-    return sliced_returns(sliced).withColumn("volatility", F.round(vol, 12))
+    return sliced_returns(sliced).withColumn("volatility", vol)
 
 
 def _momentum(sliced: DataFrame, lookback: int, max_position: int) -> DataFrame:
@@ -27,6 +27,18 @@ def _momentum(sliced: DataFrame, lookback: int, max_position: int) -> DataFrame:
     return sliced.withColumn("target", (F.signum(F.coalesce(change, F.lit(0.0))) * max_position).cast("bigint"))
 
 
+def crossover_in_slices(sliced: DataFrame, fast: int, slow: int, max_position: int = 1, series: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """``moving_average_crossover`` on a panel in slices; ``slow`` rows before a slice make the target right from the row before it on."""
+    w = by_slice(*series)
+    gap = crossover_target(F.avg("close").over(w.rowsBetween(1 - fast, 0)), F.avg("close").over(w.rowsBetween(1 - slow, 0)), max_position)
+    return sliced.withColumn("target", F.when(F.col("row_idx") >= slow - 1, gap).otherwise(0))
+
+
+def volatility_in_slices(sliced: DataFrame, window: int) -> DataFrame:
+    """``expanding_volatility`` on a panel in slices."""
+    return _volatility(sliced, max(2, window), grown=False)
+
+
 def rolling_volatility(panel: DataFrame, window: int) -> DataFrame:
     """Adds ``ret`` and ``volatility``: population deviation of the last ``window`` returns, 0 before row ``window``."""
     return own_rows(_volatility(with_halo(panel, window), window))
@@ -34,7 +46,7 @@ def rolling_volatility(panel: DataFrame, window: int) -> DataFrame:
 
 def expanding_volatility(panel: DataFrame, window: int) -> DataFrame:
     """Adds ``volatility`` as cost analysis takes it: the frame grows to ``max(2, window)`` rows, first return included."""
-    return own_rows(_volatility(with_halo(panel, max(2, window)), max(2, window), grown=False))
+    return own_rows(volatility_in_slices(with_halo(panel, max(2, window)), window))
 
 
 def momentum(panel: DataFrame, lookback: int, max_position: int = 1) -> DataFrame:
@@ -56,9 +68,7 @@ def moving_average_crossover(panel: DataFrame, fast: int, slow: int, max_positio
     """Adds ``target``: the sign of fast average minus slow average from row ``slow - 1`` on. Both share one sort."""
     if not 0 < fast < slow:
         raise ValueError("fast must be positive and less than slow")
-    w = by_slice()
-    gap = crossover_target(F.avg("close").over(w.rowsBetween(1 - fast, 0)), F.avg("close").over(w.rowsBetween(1 - slow, 0)), max_position)
-    return own_rows(with_halo(panel, slow - 1).withColumn("target", F.when(F.col("row_idx") >= slow - 1, gap).otherwise(0)))
+    return own_rows(crossover_in_slices(with_halo(panel, slow - 1), fast, slow, max_position))
 
 
 def volatility_filtered_momentum(panel: DataFrame, lookback: int, window: int, ceiling: float, max_position: int = 1) -> DataFrame:
@@ -102,10 +112,6 @@ def fill_forward_intents(rows: DataFrame, intent: str = "intent") -> DataFrame:
     return running(sliced, ("symbol",), "slice", ("row_idx",), {"held": ("last", F.col(intent))}).drop("slice")
 
 
-#: Time buckets by which ticks are hashed.
-TICK_BUCKET_NS = 3_600 * 10**9
-
-
 def carried_quotes(ticks: DataFrame) -> DataFrame:
     """Adds ``best_bid`` and ``best_ask``: the symbol's latest quotes, this tick's price before the first one."""
     sliced = ticks.withColumn("slice", F.floor(F.col("timestamp_ns") / F.lit(TICK_BUCKET_NS)).cast("bigint"))
@@ -128,6 +134,26 @@ def adjustment_factors(panel: DataFrame, splits: DataFrame) -> DataFrame:
     return panel.join(known, ["symbol", "ts"], "left").withColumn("adjustment", F.exp(F.coalesce("log_factor", F.lit(0.0)))).drop("log_factor")
 
 
+def target_in_slices(sliced: DataFrame, name: str, series: tuple[str, ...] = ("symbol",), **params) -> tuple[Column, int]:
+    """The target of a policy that looks at one series only, as a column of a panel in slices with returns, and how many rows back it looks."""
+    most, w, row = params.get("max_position", 1), by_slice(*series), F.col("row_idx")
+    if name == "moving_average_crossover":
+        fast, slow = params["fast"], params["slow"]
+        gap = crossover_target(F.avg("close").over(w.rowsBetween(1 - fast, 0)), F.avg("close").over(w.rowsBetween(1 - slow, 0)), most)
+        return F.when(row >= slow - 1, gap).otherwise(F.lit(0)).cast("bigint"), slow
+    lookback = params["lookback"]
+    moved = F.coalesce(F.col("close") - F.lag("close", lookback).over(w), F.lit(0.0))
+    target = (F.signum(moved) * (-most if name == "mean_reversion" else most)).cast("bigint")
+    if name == "volatility_filtered_momentum":
+        window = params["window"]
+        calm = F.when(row >= window, F.stddev_pop("ret").over(w.rowsBetween(1 - window, 0))).otherwise(0.0) <= params["ceiling"]
+        return F.when(calm, target).otherwise(F.lit(0)).cast("bigint"), max(lookback, window + 1)
+    return target, lookback
+
+
+#: Policies that look at one series only.
+OF_ONE_SERIES = ("momentum", "mean_reversion", "moving_average_crossover", "volatility_filtered_momentum")
+
 POLICIES: dict[str, Callable[..., DataFrame]] = {
     "momentum": momentum,
     "mean_reversion": mean_reversion,

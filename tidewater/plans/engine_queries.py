@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import engine, panel, runs, signals
+from tidewater.operators.asknown import usable_splits
 from tidewater.operators.engine import Config, Venue
+from tidewater.operators.readings import bad_closes
 from tidewater.operators.sliced import by_slice, numbered, own_rows, with_halo
-from tidewater.plans.reference_queries import FAST, MOST, SLOW
+from tidewater.plans.fold_sql import fold_sql
+from tidewater.plans.reference_queries import FAST, MOST, SLOW, sql
+from tidewater.runtime import shared_folder
 from tidewater.sources.tables import table
 from tidewater.streaming import paper
 
@@ -32,31 +36,97 @@ REALISTIC = Config(
 )
 
 
+#: Symbols of a portfolio.
+ASSETS = 8
+#: Settings under which the rules fire.
+RULES = {
+    "slow": Config(
+        starting_cash=100_000.0, commission_bps=1.0, slippage_model="fixed", slippage_bps=2.0, max_participation_rate=0.01, max_position=4, latency_steps=1, child_order_size=2, child_slice_delay_steps=1,
+        annual_borrow_bps=300.0, use_bid_ask_execution=True,
+    ),
+    "poor": Config(starting_cash=400.0, commission_bps=1.0, slippage_model="none", max_position=MOST, max_gross_leverage=2.5),
+    "stopped": Config(starting_cash=3_000.0, commission_bps=5.0, slippage_model="fixed", slippage_bps=5.0, max_position=MOST, max_drawdown_pct=0.02),
+    "margin": Config(starting_cash=10_000.0, slippage_model="none", max_position=MOST, margin_limit=500.0),
+}
+#: Limits that portfolios of symbols run into.
+TIGHT = Config(starting_cash=1_500.0, commission_bps=1.0, slippage_model="fixed", slippage_bps=2.0, max_position=MOST, max_gross_leverage=3.0, max_drawdown_pct=0.3)
+
+
 def _bars(spark: SparkSession, root: str) -> DataFrame:
     return panel.usable_panel(table(spark, root, "bars"))
 
 
+def _crossovers(spark: SparkSession, root: str) -> DataFrame:
+    return signals.moving_average_crossover(_bars(spark, root), FAST, SLOW, MOST)
+
+
 def backtest_full(spark: SparkSession, root: str) -> DataFrame:
     """Fills and ledger of a crossover run of every symbol with latency, child orders, two venues, costs and borrow."""
-    targets = signals.moving_average_crossover(_bars(spark, root), FAST, SLOW, MOST)
-    return engine.backtest(engine.run_rows(targets, engine.market_cells(), F.col("symbol")), REALISTIC, keep=("fill", "ledger"))
+    return engine.backtest(engine.run_rows(_crossovers(spark, root), F.col("symbol")), REALISTIC, keep=("fill", "ledger"))
 
 
-def backtest_ticks(spark: SparkSession, root: str) -> DataFrame:
-    """Fills of a momentum run over every symbol's ticks: quotes carried forward, limit orders that only a trade can price."""
-    ticks = panel.load_ticks(table(spark, root, "ticks")).where((F.col("price") > 0) & (F.col("price") < float("inf")))
-    hours = ticks.withColumn("hour", F.floor(F.col("timestamp_ns") / F.lit(signals.TICK_BUCKET_NS)).cast("bigint")).repartition("symbol", "hour")
-    placed = with_halo(numbered(hours, "symbol", "hour", "timestamp_ns", "src_order"), 10)
+def _in_portfolios(rows: DataFrame) -> DataFrame:
+    """Rows with ``portfolio`` and ``place``: the symbols in order, so many a portfolio; as there are more symbols there are more portfolios."""
+    ids = panel.dense_asset_ids(rows).select("symbol", F.floor(F.col("asset") / ASSETS).cast("int").alias("portfolio"), (F.col("asset") % ASSETS).cast("int").alias("place"))
+    return rows.join(ids, "symbol")
+
+
+def backtest_portfolio(spark: SparkSession, root: str) -> DataFrame:
+    """The same settings with portfolios of symbols that share cash and limits; a symbol without a bar is carried at its last close."""
+    rows = _in_portfolios(_crossovers(spark, root))
+    return engine.backtest(engine.run_rows(rows, F.col("portfolio"), asset=F.col("place")), REALISTIC, keep=("fill", "ledger", "curve"), shared=True)
+
+
+def portfolio_rules(spark: SparkSession, root: str) -> DataFrame:
+    """Curves of portfolios under tight limits: shared cash runs short, leverage over all assets is refused, the kill switch stops a run within a bar."""
+    rows = engine.run_rows(_in_portfolios(_crossovers(spark, root)), F.col("portfolio"), asset=F.col("place"))
+    curve = engine.events_of(engine.backtest(rows, TIGHT, keep=("curve",), shared=True), "curve")
+    return curve.select(F.col("run_id").cast("int").alias("portfolio"), "row_idx", "ts", "position", "trade", "row_fills", *(F.round(c, 4).alias(c) for c in ("cash", "equity")), F.round("drawdown", 9).alias("drawdown"))
+
+
+def _under_rules(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    rows = engine.run_rows(_crossovers(spark, root), F.col("symbol"), "row_idx")
+    parts = [engine.events_of(engine.backtest(rows, config, keep=(kind,)), kind).withColumn("rules", F.lit(name)) for name, config in RULES.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def engine_rules(spark: SparkSession, root: str) -> DataFrame:
+    """Curves of every symbol's run under settings that make the rules fire: capacity, delays, cash, leverage, drawdown, margin, borrow cost."""
+    rows = _under_rules(spark, root, "curve")
+    return rows.select("rules", F.col("run_id").alias("symbol"), "row_idx", "position", *(F.round(c, 4).alias(c) for c in ("cash", "equity")), F.round("drawdown", 9).alias("drawdown"))
+
+
+def engine_rules_log(spark: SparkSession, root: str) -> DataFrame:
+    """The ledgers of those runs."""
+    rows = _under_rules(spark, root, "ledger")
+    money = (F.round(c, 4).alias(c) for c in ("price", "cash_after", "equity_after"))
+    return rows.select("rules", F.col("run_id").alias("symbol"), "sequence", "ts", "type", "order_id", "parent_order_id", "quantity", *money)
+
+
+def _tick_targets(spark: SparkSession, root: str) -> DataFrame:
+    """Every symbol's usable ticks with quotes carried forward and a momentum target."""
+    ticks = panel.load_ticks(table(spark, root, "ticks")).where((F.col("price") > 0) & (F.col("price") < float("inf"))).drop("asset")
+    placed = with_halo(numbered(ticks, "symbol", "hour", "timestamp_ns", "src_order"), 10)
     moved = own_rows(placed.withColumn("change", F.col("price") - F.lag("price", 10).over(by_slice())))
     quoted, change = signals.carried_quotes(moved), F.col("change")
-    rows = quoted.select(
-        "symbol", "src_order", F.col("timestamp_ns").alias("ts"), "side", F.col("price").alias("close"), F.col("price").alias("high"), F.col("price").alias("low"),
+    return quoted.select(
+        "symbol", F.col("timestamp_ns").alias("ts"), "side", F.col("price").alias("close"), F.col("price").alias("high"), F.col("price").alias("low"),
         F.greatest(F.coalesce("size", F.lit(0.0)), F.lit(0.0)).alias("volume"), F.col("best_bid").alias("bid"), F.col("best_ask").alias("ask"),
         F.signum(F.coalesce(change, F.lit(0.0))).cast("bigint").alias("target"),
-    ).withColumn("ord", F.struct("ts", "src_order"))
+    )
+
+
+def backtest_ticks(spark: SparkSession, root: str) -> DataFrame:
+    """Fills of a momentum run over every symbol's ticks: limit orders that only a trade can price."""
     limit = F.when(F.col("side") == "TRADE", F.col("close"))
-    cells = engine.market_cells(order_type=F.lit(engine.LIMIT), limit_price=limit)
-    return engine.backtest(engine.run_rows(rows, cells, F.col("symbol"), order="ord"), Config(max_position=1), keep=("fill",))
+    rows = engine.run_rows(_tick_targets(spark, root), F.col("symbol"), order_type=F.lit(engine.LIMIT), limit_price=limit)
+    return engine.backtest(rows, Config(max_position=1), keep=("fill",))
+
+
+def backtest_ticks_portfolio(spark: SparkSession, root: str) -> DataFrame:
+    """Fills of portfolios of symbols over their ticks, which share cash: at each time the assets that tick can trade."""
+    rows = engine.run_rows(_in_portfolios(_tick_targets(spark, root)), F.col("portfolio"), asset=F.col("place"))
+    return engine.backtest(rows, Config(max_position=1, slippage_model="none"), keep=("fill",), shared=True)
 
 
 def corp_actions_apply(spark: SparkSession, root: str) -> DataFrame:
@@ -68,22 +138,34 @@ def corp_actions_apply(spark: SparkSession, root: str) -> DataFrame:
     kinds = F.sort_array(F.collect_list(F.struct("action_id", F.col("action_type").alias("kind"), F.col("ratio_or_amount").alias("amount"))))
     due = placed.groupBy("symbol", F.col("row_ts").alias("ts")).agg(kinds.alias("due"))
     rows = bars.withColumn("target", F.lit(1)).join(due, ["symbol", "ts"], "left")
-    cells = engine.market_cells(actions=F.transform("due", lambda a: F.struct(a["kind"].alias("kind"), a["amount"].alias("amount"))))
-    events = engine.backtest(engine.run_rows(rows, cells, F.col("symbol")), Config(max_position=1, slippage_model="none", dividend_reinvestment=True), keep=("curve", "audit"))
+    due = F.transform("due", lambda a: F.struct(a["kind"].alias("kind"), a["amount"].alias("amount")))
+    events = engine.backtest(engine.run_rows(rows, F.col("symbol"), actions=due), Config(max_position=1, slippage_model="none", dividend_reinvestment=True), keep=("curve", "audit"))
     return events.select("run_id", "kind", "row_idx", "ts", "type", "quantity", "cash_after", "equity_after", "value")
 
 
 def mc_bootstrap(spark: SparkSession, root: str) -> DataFrame:
-    """Block-bootstrapped paths of the market's mean daily return (one number per UTC day reaches the driver)."""
-    rows = panel.with_returns(_bars(spark, root)).where(F.abs("ret") < 0.3)
-    daily = rows.groupBy(F.floor(F.col("ts") / 86_400).alias("day")).agg(F.avg("ret").alias("ret")).orderBy("day")
-    return runs.monte_carlo(spark, daily.toPandas()["ret"].to_numpy(), n_sims=500, block=10, seed=7)
+    """Block-bootstrapped paths of the market's mean daily return (one number per UTC day reaches the driver).
+
+    Returns are those of closes adjusted for splits; closes that cannot be true (``readings``) are left out, lasting jumps stay.
+    """
+    bars = _bars(spark, root)
+    bad = bad_closes(table(spark, root, "bars"))
+    adjusted = signals.adjustment_factors(bars.join(bad, ["symbol", "ts"], "left_anti"), usable_splits(table(spark, root, "corporate_actions")))
+    rows = own_rows(panel.sliced_returns(with_halo(adjusted.withColumn("close", F.col("close") / F.col("adjustment")), 64)))
+    daily = rows.groupBy(F.floor(F.col("ts") / 86_400).alias("day")).agg(F.avg("ret").alias("ret")).orderBy("day").toPandas()
+    years = max((daily["day"].iloc[-1] - daily["day"].iloc[0]) / 365.25, 1 / 252) if len(daily) else None
+    return runs.monte_carlo(spark, daily["ret"].to_numpy(), n_sims=500, block=10, seed=7, years=years)
+
+
+def mc_report(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles of the resampled paths' figures."""
+    out = runs.simulation_report(mc_bootstrap(spark, root), 1.0)
+    return out.select(F.explode(F.array(*(F.struct(F.lit(c).alias("figure"), F.col(c).alias("percentiles")) for c in ("sharpe", "max_drawdown", "cagr")))).alias("r"), "p_proxy").select("r.*", "p_proxy")
 
 
 def streaming_positions(spark: SparkSession, root: str) -> DataFrame:
     """Paper trading over all ticks as a stream that ends with its input; the last row of every symbol."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-stream-")
-    place = f"{shared.rstrip('/')}/paper-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark).rstrip('/')}/paper-{uuid.uuid4().hex}"
     ticks = stream_table(spark, root, "ticks")
     query = (
         paper.paper_positions(ticks)
@@ -111,9 +193,32 @@ def stream_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 QUERIES = {
     "backtest_full": backtest_full,
+    "backtest_portfolio": backtest_portfolio,
+    "portfolio_rules": portfolio_rules,
+    "engine_rules": engine_rules,
+    "engine_rules_log": engine_rules_log,
     "backtest_ticks": backtest_ticks,
+    "backtest_ticks_portfolio": backtest_ticks_portfolio,
     "corp_actions_apply": corp_actions_apply,
     "mc_bootstrap": mc_bootstrap,
+    "mc_report": mc_report,
     "streaming_positions": streaming_positions,
 }
-ORACLES: dict[str, str] = {}
+
+
+def _rules_sql(select: str) -> str:
+    """``select`` for every setting, with ``{folded}`` and ``{logged}`` for its tables."""
+    parts = []
+    for name, config in RULES.items():
+        own = fold_sql("ma", "symbol", config)
+        parts += [f"folded_{name} AS ({own['folded'].replace('FROM folded s', f'FROM folded_{name} s')})", f"logged_{name} AS ({own['logged'].replace('FROM folded)', f'FROM folded_{name})').replace('JOIN folded q', f'JOIN folded_{name} q')})"]
+    each = [select.format(rules=name, folded=f"folded_{name}", logged=f"logged_{name}") for name in RULES]
+    return sql("ma", " UNION ALL ".join(each), *parts)
+
+
+ORACLES: dict[str, str] = {
+    "engine_rules": _rules_sql("SELECT '{rules}' AS rules, symbol, row_idx, held AS position, round(cash, 4) AS cash, round(equity, 4) AS equity, round(drawdown, 9) AS drawdown FROM {folded} WHERE row_idx >= 0"),
+    "engine_rules_log": _rules_sql(
+        "SELECT '{rules}' AS rules, symbol, sequence, ts, type, order_id, parent_order_id, quantity, round(price, 4) AS price, round(cash_after, 4) AS cash_after, round(equity_after, 4) AS equity_after FROM {logged}"
+    ),
+}

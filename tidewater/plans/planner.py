@@ -1,58 +1,14 @@
-"""The choice between the closed form and the fold, and the one call that runs a policy."""
+"""The one call that runs a policy by name."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidewater.operators import backtest, engine, signals
-from tidewater.operators.engine import Config, Venue
+from tidewater.operators import signals
+from tidewater.operators.engine import Config
+from tidewater.operators.simulation import Simulation
 
 
-def closed_form_fits(config: Config) -> bool:
-    """Whether nothing in the configuration defers, splits or revalues orders; the guard then decides on the data."""
-    plain_venue = config.venues in ((), (Venue(),)) or (
-        len(config.venues) == 1 and config.venues[0].taker_fee_bps == config.venues[0].maker_fee_bps == 0 and set(config.venues[0].fill_probability_curve) <= {1.0}
-    )
-    return (
-        plain_venue
-        and config.latency_steps == config.child_order_size == 0
-        and config.slippage_model in ("none", "fixed")
-        and not config.use_bid_ask_execution
-        and config.mark_to_market
-        and config.allow_short
-        and config.lot_size == 1
-        and config.queue_ahead_fraction == 0
-        and config.venue_volume_share_cap >= 1
-        and config.annual_borrow_bps == config.annual_cash_yield_bps == config.margin_limit == 0
-        and config.signal_to_order_latency_us + config.order_to_fill_latency_us <= 0
-        and config.adverse_selection_penalty_bps == 0
-        and not (config.instruments or config.rolls or config.asset_max_positions or config.asset_notional_limits)
-    )
-
-
-def costs_of(config: Config) -> backtest.Costs:
-    return backtest.Costs(
-        config.starting_cash,
-        config.commission_bps,
-        0.0 if config.slippage_model == "none" else config.slippage_bps,
-        config.max_participation_rate,
-        config.max_gross_leverage,
-        config.max_drawdown_pct,
-    )
-
-
-def run_policy(panel: DataFrame, policy: str, config: Config = Config(), **params) -> tuple[DataFrame, str]:
-    """Equity curve ``run_id, row_idx, ts, equity, cash, position`` of a policy over every symbol, and the plan taken.
-
-    ``closed_form`` is taken if the configuration allows it and the guard holds in every row (a cheap aggregate decides),
-    else ``fold``. Both give the same curve where both apply. Targets beyond the position limit need the fold.
-    """
-    targets = signals.apply_policy(panel, policy, **params)
-    if closed_form_fits(config):
-        path = backtest.guard(backtest.closed_form(targets, costs_of(config)), costs_of(config))
-        fine = F.col("holds") & (F.abs("target") <= config.max_position)
-        if path.where(~F.coalesce(fine, F.lit(False))).isEmpty():
-            return path.select(F.col("symbol").alias("run_id"), "row_idx", "ts", "equity", "cash", "position"), "closed_form"
-    events = engine.backtest(engine.run_rows(targets, engine.market_cells(), F.col("symbol")), config, keep=("curve",))
-    return engine.events_of(events, "curve").select("run_id", "row_idx", "ts", "equity", "cash", "position"), "fold"
+def run_policy(panel: DataFrame, policy: str, config: Config = Config(), hot: DataFrame | None = None, **params) -> DataFrame:
+    """The path of a policy over every symbol; see ``Simulation``."""
+    return Simulation(signals.apply_policy(panel, policy, **params), config, hot=hot).path

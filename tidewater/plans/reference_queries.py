@@ -6,13 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import execution as ex
-from tidewater.operators import analytics, backtest, costs, panel, runs, signals
+from tidewater.operators import analytics, costs, panel, runs, signals
 from tidewater.operators.asknown import usable_splits
+from tidewater.operators.engine import Config
+from tidewater.operators.simulation import Simulation, hot_symbols
+from tidewater.operators.sliced import with_halo
+from tidewater.plans.fold_sql import fold_sql
 from tidewater.runtime import cut_lineage
 from tidewater.sources.tables import table
 
 FAST, SLOW, MOST = 8, 32, 5
-COMBOS = [(0, 4, 16), (1, 4, 32), (2, 8, 16), (3, 8, 32)]
+#: The run that most queries here look at: market orders of a crossover with costs, under the engine's default limits.
+BASE = Config(slippage_model="fixed", slippage_bps=0.2, commission_bps=0.1, max_position=MOST)
+COMBOS = [
+    *((i, "moving_average_crossover", {"fast": f, "slow": s, "max_position": MOST}) for i, (f, s) in enumerate([(4, 16), (4, 32), (8, 16), (8, 32)])),
+    (4, "momentum", {"lookback": 5, "max_position": MOST}),
+    (5, "mean_reversion", {"lookback": 10, "max_position": MOST}),
+]
 HOLIDAYS = [18_993, 19_358, 19_723]
 
 QUERIES: dict = {}
@@ -32,48 +42,37 @@ _SQL = {
   FROM valid WHERE close > 0 AND isfinite(close)""",
     "rets": """SELECT *, coalesce((close - lag(close) OVER w) / nullif(lag(close) OVER w, 0), 0) AS ret
   FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY ts)""",
-    "vols": """SELECT *, round(CASE WHEN row_idx >= 20 THEN stddev_pop(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
-  ELSE 0 END, 12) AS volatility FROM rets""",
-    "tvols": """SELECT *, round(stddev_pop(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 12) AS volatility FROM rets""",
+    "vols": """SELECT *, CASE WHEN row_idx >= 20 THEN stddev_pop(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+  ELSE 0 END AS volatility FROM rets""",
+    "tvols": """SELECT *, stddev_pop(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS volatility FROM rets""",
     "ma": f"""SELECT *, CASE WHEN row_idx >= {SLOW - 1} THEN
   CAST(sign(round(avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {FAST - 1} PRECEDING AND CURRENT ROW)
    - avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {SLOW - 1} PRECEDING AND CURRENT ROW), 9)) * {MOST} AS BIGINT) ELSE 0 END AS target FROM panel""",
-    "trades": "SELECT *, target AS position, target - lag(target, 1, 0) OVER (PARTITION BY symbol ORDER BY row_idx) AS trade FROM ma",
-    "priced": "SELECT *, CASE WHEN trade = 0 THEN close ELSE close * (1.0 + sign(trade) * 0.2 * 1e-4) END AS price FROM trades",
-    "cashed": """SELECT *, abs(trade) * price * 0.1 * 1e-4 AS fee_paid, round(1000000.0 - sum(trade * price + abs(trade) * price * 0.1 * 1e-4)
-  OVER (PARTITION BY symbol ORDER BY row_idx ROWS UNBOUNDED PRECEDING), 6) AS cash FROM priced""",
-    "marked": "SELECT *, round(cash + position * close, 6) AS equity FROM cashed",
-    "path": """SELECT *, (peak - equity) / peak AS drawdown FROM (SELECT *, greatest(max(equity) OVER (PARTITION BY symbol ORDER BY row_idx
-  ROWS UNBOUNDED PRECEDING), 1000000.0) AS peak FROM marked)""",
-    "fills": """SELECT symbol, ts, row_idx, row_number() OVER (PARTITION BY symbol ORDER BY row_idx) AS parent_order_id,
-  row_number() OVER (PARTITION BY symbol ORDER BY row_idx) + 999999 AS order_id, trade AS quantity, price, fee_paid AS fee, close, bid, ask, volume
-  FROM path WHERE trade <> 0""",
-    "runs_": """SELECT *, (sum(CASE WHEN trade <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY row_idx ROWS UNBOUNDED PRECEDING))::BIGINT AS nth,
-  lag(cash) OVER (PARTITION BY symbol ORDER BY row_idx) AS cash_before FROM path""",
-    "held": """SELECT symbol, nth, min(ts) AS ts, arg_min(trade, row_idx) AS trade, arg_min(price, row_idx) AS price,
-  arg_min_null(cash_before, row_idx) AS cash_before, arg_max(equity, row_idx) AS held FROM runs_ WHERE nth > 0 GROUP BY symbol, nth""",
-    "ledger": """SELECT symbol, nth * 2 - 1 AS sequence, ts, 0 AS order_id, nth AS parent_order_id, 'ORDER_SUBMITTED' AS type, trade AS quantity, 0.0 AS price,
-  coalesce(cash_before, 1000000.0) AS cash_after, 0.0 AS equity_after FROM held
-  UNION ALL SELECT symbol, nth * 2, ts, nth + 999999, nth, 'FILL_APPLIED', trade, price, coalesce(cash_before, 1000000.0), held FROM held""",
+    **fold_sql("ma", "symbol", BASE),
+    "path": """SELECT symbol, row_idx, ts, close, held AS position, trade, cash, equity, drawdown, abs(fillq) * price AS traded, (fillq <> 0)::BIGINT AS row_fills FROM folded WHERE row_idx >= 0""",
+    "fills": """SELECT f.symbol, f.ts, f.row_idx, f.filled_parent AS parent_order_id, row_number() OVER (PARTITION BY f.symbol ORDER BY f.row_idx) + 999999 AS order_id, f.fillq AS quantity, f.price, f.fee,
+  m.close, m.bid, m.ask, m.volume, a.ts AS arrival_ts, c.close AS arrival_price FROM folded f JOIN ma m ON f.symbol = m.symbol AND f.row_idx = m.row_idx
+  JOIN logged a ON a.symbol = f.symbol AND a.parent_order_id = f.filled_parent AND a.type = 'ORDER_SUBMITTED' JOIN ma c ON c.symbol = f.symbol AND c.ts = a.ts WHERE f.fillq <> 0""",
+    "ledger": "SELECT * FROM logged",
     "curve": "SELECT symbol, ts, arg_max(equity_after, sequence) AS equity FROM ledger GROUP BY symbol, ts",
     "daily": "SELECT symbol, ts // 86400 AS epoch_day, arg_max(equity, ts) AS equity FROM curve GROUP BY ALL",
-    "dret": """SELECT *, CASE WHEN row_number() OVER w > 1 THEN round(coalesce(equity / lag(equity) OVER w - 1, 0), 12) END AS ret FROM daily
+    "dret": """SELECT *, CASE WHEN row_number() OVER w > 1 THEN coalesce(equity / lag(equity) OVER w - 1, 0) END AS ret FROM daily
   WINDOW w AS (PARTITION BY symbol ORDER BY epoch_day)""",
-    "tca": """SELECT f.symbol, f.ts, f.parent_order_id, f.order_id, CASE WHEN quantity >= 0 THEN 'buy' ELSE 'sell' END AS direction, quantity,
-  abs(quantity)::DOUBLE AS abs_quantity, f.close AS arrival_price, f.price AS fill_price, (f.bid + f.ask) * 0.5 AS mid_price,
+    "tca": """SELECT f.symbol, s.asset, f.ts, f.parent_order_id, f.order_id, CASE WHEN quantity >= 0 THEN 'buy' ELSE 'sell' END AS direction, quantity, f.bid, f.ask,
+  abs(quantity)::DOUBLE AS abs_quantity, f.arrival_price, f.price AS fill_price, (f.bid + f.ask) * 0.5 AS mid_price,
   greatest(f.ask - f.bid, 0) AS spread, greatest(f.ask - f.bid, 0) * abs(quantity) * 0.5 AS spread_cost,
   least(abs(quantity) / greatest(f.volume, 1.0), 1.0) AS participation, v.volatility,
   greatest(abs(quantity) * f.price * v.volatility * sqrt(least(abs(quantity) / greatest(f.volume, 1.0), 1.0)), 0.0) AS impact_cost,
-  greatest(sign(quantity) * (f.price - f.close) * abs(quantity), 0.0) AS implementation_shortfall,
-  sign(quantity) * (f.price - f.close) <= 0 AS at_or_better_arrival, ((f.ts % 86400) // 3600) * 3600 AS time_bucket, 0.0 AS financing_cost
-  FROM fills f JOIN tvols v ON f.symbol = v.symbol AND f.ts = v.ts""",
+  greatest(sign(quantity) * (f.price - f.arrival_price) * abs(quantity), 0.0) AS implementation_shortfall,
+  sign(quantity) * (f.price - f.arrival_price) <= 0 AS at_or_better_arrival, ((f.ts % 86400) // 3600) * 3600 AS time_bucket, 0.0 AS financing_cost
+  FROM fills f JOIN tvols v ON f.symbol = v.symbol AND f.ts = v.ts LEFT JOIN assets s ON s.symbol = f.symbol""",
     "tcat": "SELECT *, spread_cost + impact_cost + financing_cost AS total_cost FROM tca",
 }
 _NEEDS = {
-    "panel": ["valid"], "rets": ["panel"], "vols": ["rets"], "tvols": ["rets"], "ma": ["panel"], "trades": ["ma"], "priced": ["trades"],
-    "cashed": ["priced"], "marked": ["cashed"], "path": ["marked"], "fills": ["path"], "runs_": ["path"], "held": ["runs_"], "ledger": ["held"],
-    "curve": ["ledger"], "daily": ["curve"], "dret": ["daily"], "tca": ["fills", "tvols"], "tcat": ["tca"],
+    "panel": ["valid"], "rets": ["panel"], "vols": ["rets"], "tvols": ["rets"], "ma": ["panel"], "folded": ["ma"], "logged": ["folded"], "path": ["folded"], "fills": ["folded", "logged"],
+    "ledger": ["logged"], "curve": ["ledger"], "daily": ["curve"], "dret": ["daily"], "tca": ["fills", "tvols"], "tcat": ["tca"],
 }
+_KEPT = {"ma", "folded", "tg"}  # read in every step of a recursion, or more than once
 
 
 def sql(needs: str, select: str, *more: str) -> str:
@@ -88,8 +87,8 @@ def sql(needs: str, select: str, *more: str) -> str:
 
     for n in needs.split():
         visit(n)
-    parts = [f"{n} AS ({_SQL[n]})" for n in order] + list(more)
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + select
+    parts = [f"{n} AS {'MATERIALIZED ' if n in _KEPT and n != 'folded' else ''}({_SQL[n]})" for n in order] + list(more)
+    return (("WITH RECURSIVE " if any(x.startswith(("folded", "steps")) for x in parts) else "WITH ") + ",\n".join(parts) + "\n" if parts else "") + select
 
 
 def query(name: str, oracle: str | None = None):
@@ -106,22 +105,37 @@ def _panel(spark: SparkSession, root: str) -> DataFrame:
     return panel.usable_panel(table(spark, root, "bars"))
 
 
+def _simulation(spark: SparkSession, root: str) -> Simulation:
+    """The base run of every symbol; targets and the volatility of cost analysis share one sort of the bars."""
+    sliced = signals.crossover_in_slices(with_halo(_panel(spark, root), SLOW), FAST, SLOW, MOST)
+    return Simulation(signals.volatility_in_slices(sliced, 20), BASE, sliced=True, hot=_hot(spark, root), extra="volatility")
+
+
+def _hot(spark: SparkSession, root: str) -> DataFrame | None:
+    return hot_symbols(table(spark, root, "bars"))
+
+
 def _path(spark: SparkSession, root: str) -> DataFrame:
-    return backtest.closed_form(signals.moving_average_crossover(_panel(spark, root), FAST, SLOW, MOST))
+    return _simulation(spark, root).path
 
 
 def _fills(spark: SparkSession, root: str) -> DataFrame:
-    return backtest.fills_of(_path(spark, root))
+    return _simulation(spark, root).fills
 
 
 def _ledger(spark: SparkSession, root: str) -> DataFrame:
-    return backtest.ledger_of(_path(spark, root))
+    """The run's log, written once, as most queries read it several times: a few rows a trade."""
+    return cut_lineage(_simulation(spark, root).ledger)
 
 
 def _curve(spark: SparkSession, root: str) -> DataFrame:
     return analytics.equity_from_ledger(_ledger(spark, root)).select("symbol", "ts", "equity")
 
 
+def _ratios(*names: str) -> list:
+    return [F.when(F.abs(n) > 100, F.round(n, 0)).otherwise(F.round(n, 4)).alias(n) for n in names]
+
+
 def _r(*names: str, digits: int = 6) -> list:
     return [F.round(n, digits).alias(n) for n in names]
 
@@ -150,11 +164,11 @@ def bars_densify(spark, root):
 @query(
     "tick_load",
     """WITH ids AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS asset FROM (SELECT DISTINCT symbol FROM ticks WHERE symbol IS NOT NULL))
-SELECT src_order, timestamp_ns, ticks.symbol, price, size, CASE WHEN upper(trim(side)) IN ('BID', 'ASK') THEN upper(trim(side)) ELSE 'TRADE' END AS side, asset
-FROM ticks JOIN ids ON ticks.symbol = ids.symbol""",
+SELECT src_order, timestamp_ns, t.symbol, price, size, CASE WHEN upper(trim(side)) IN ('BID', 'ASK') THEN upper(trim(side)) ELSE 'TRADE' END AS side, asset
+FROM (SELECT * FROM ticks WHERE timestamp_ns IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, timestamp_ns ORDER BY src_order) = 1) t JOIN ids ON t.symbol = ids.symbol""",
 )
 def tick_load(spark, root):
-    return panel.load_ticks(table(spark, root, "ticks"))
+    return panel.load_ticks(table(spark, root, "ticks")).drop("hour")
 
 
 @query(
@@ -317,7 +331,7 @@ def intent_ffill(spark, root):
 
 
 _TICKS = """tk AS (SELECT symbol, timestamp_ns, src_order, price, CASE WHEN upper(trim(side)) IN ('BID', 'ASK') THEN upper(trim(side)) ELSE 'TRADE' END AS side
- FROM ticks WHERE symbol IS NOT NULL AND price > 0 AND isfinite(price))"""
+ FROM (SELECT * FROM ticks WHERE symbol IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, timestamp_ns ORDER BY src_order) = 1) WHERE price > 0 AND isfinite(price))"""
 
 
 @query(
@@ -501,9 +515,9 @@ def option_expiry(spark, root):
 # ---- closed-form execution, analytics and reports
 
 
-@query("frictionless_backtest", sql("path", "SELECT symbol, row_idx, ts, position, trade, round(price, 6) AS price, round(cash, 3) AS cash, round(equity, 3) AS equity FROM path"))
+@query("frictionless_backtest", sql("path", "SELECT symbol, row_idx, ts, position, trade, round(cash, 3) AS cash, round(equity, 3) AS equity FROM path"))
 def frictionless_backtest(spark, root):
-    return _path(spark, root).select("symbol", "row_idx", "ts", "position", "trade", F.round("price", 6).alias("price"), *_r("cash", "equity", digits=3))
+    return _path(spark, root).select("symbol", "row_idx", "ts", "position", "trade", *_r("cash", "equity", digits=3))
 
 
 @query(
@@ -515,7 +529,7 @@ def frictionless_backtest(spark, root):
     ),
 )
 def equity_frame(spark, root):
-    rows = _path(spark, root).select("symbol", "ts", "equity", "cash")
+    rows = cut_lineage(_path(spark, root).select("symbol", "ts", "equity", "cash"))  # read for the start, the peaks and itself
     start = rows.groupBy("symbol").agg(F.min_by("equity", "ts").alias("start"))
     rows = analytics.drawdowns(rows).join(start, "symbol").withColumn("pnl", F.col("equity") - F.col("start"))
     return rows.select("symbol", "ts", *_r("equity", "cash", "pnl", digits=3), *_r("drawdown", digits=9))
@@ -536,22 +550,30 @@ def daily_equity(spark, root):
     return analytics.daily_equity(_curve(spark, root)).select("symbol", "epoch_day", *_r("equity", digits=3))
 
 
-_RATIO = """SELECT symbol, coalesce(CASE WHEN sd > 1e-15 THEN m / sd * sqrt(252.0) WHEN m > 0 THEN 'infinity'::DOUBLE WHEN m < 0 THEN '-infinity'::DOUBLE ELSE 0 END, 0) AS sharpe,
- coalesce(CASE WHEN dd > 1e-15 THEN m / dd * sqrt(252.0) WHEN m > 0 THEN 'infinity'::DOUBLE WHEN m < 0 THEN '-infinity'::DOUBLE ELSE 0 END, 0) AS sortino
- FROM (SELECT symbol, round(avg(ret), 12) AS m, round(stddev_pop(ret), 12) AS sd, round(sqrt(avg(pow(least(ret, 0), 2))), 12) AS dd FROM dret GROUP BY symbol)"""
+def _rr(x: str) -> str:
+    """A ratio rounded; large ones, which divide by next to nothing, to whole numbers."""
+    return f"CASE WHEN abs({x}) > 100 THEN round({x}, 0) ELSE round({x}, 4) END"
+
+
+def _ratio_sql(deviation: str) -> str:
+    return f"coalesce(CASE WHEN {deviation} > 1e-12 THEN m / {deviation} * sqrt(252.0) WHEN m > 1e-12 THEN 'infinity'::DOUBLE WHEN m < -1e-12 THEN '-infinity'::DOUBLE ELSE 0 END, 0)"
+
 
+_RETURNS = "avg(ret) AS m, stddev_pop(ret) AS sd, sqrt(avg(pow(least(ret, 0), 2))) AS dd"
+_RATIO = f"SELECT symbol, {_ratio_sql('sd')} AS sharpe, {_ratio_sql('dd')} AS sortino FROM (SELECT symbol, {_RETURNS} FROM dret GROUP BY symbol)"
 
-@query("sharpe_sortino", sql("dret", "SELECT symbol, round(sharpe, 4) AS sharpe, round(sortino, 4) AS sortino FROM rt", f"rt AS ({_RATIO})"))
+
+@query("sharpe_sortino", sql("dret", f"SELECT symbol, {_rr('sharpe')} AS sharpe, {_rr('sortino')} AS sortino FROM rt", f"rt AS ({_RATIO})"))
 def sharpe_sortino(spark, root):
-    return analytics.sharpe_sortino(analytics.daily_equity(_curve(spark, root))).select("symbol", *_r("sharpe", "sortino", digits=4))
+    return analytics.sharpe_sortino(analytics.daily_equity(_curve(spark, root))).select("symbol", *_ratios("sharpe", "sortino"))
 
 
 @query(
     "summary_metrics",
     sql(
         "dret fills",
-        """SELECT s.symbol, round(sharpe, 4) AS sharpe, round(sortino, 4) AS sortino, round(cagr, 9) AS cagr, round(mdd, 9) AS max_drawdown,
- round(CASE WHEN mdd = 0 THEN CASE WHEN cagr > 0 THEN 'infinity'::DOUBLE ELSE 0 END ELSE cagr / mdd END, 4) AS calmar,
+        f"""SELECT s.symbol, {_rr("sharpe")} AS sharpe, {_rr("sortino")} AS sortino, round(cagr, 9) AS cagr, round(mdd, 9) AS max_drawdown,
+ {_rr("CASE WHEN mdd = 0 THEN CASE WHEN cagr > 0 THEN 'infinity'::DOUBLE ELSE 0 END ELSE cagr / mdd END")} AS calmar,
  round(gross / mean_eq / years, 6) AS turnover_per_year, fill_count, round(b - a, 3) AS pnl, round(b, 3) AS ending_equity
  FROM (SELECT *, CASE WHEN a <= 0 OR b <= 0 THEN 0 ELSE pow(b / a, 1.0 / years) - 1.0 END AS cagr FROM st) s JOIN rt ON s.symbol = rt.symbol JOIN fs ON s.symbol = fs.symbol""",
         f"rt AS ({_RATIO})",
@@ -562,11 +584,11 @@ def sharpe_sortino(spark, root):
     ),
 )
 def summary_metrics(spark, root):
-    ledger = cut_lineage(_ledger(spark, root))  # two rows a trade; three aggregations read it
+    ledger = _ledger(spark, root)
     curve = analytics.equity_from_ledger(ledger).select("symbol", "ts", "equity")
     out = analytics.summarize(curve, ledger.where("type = 'FILL_APPLIED'"))
     return out.select(
-        "symbol", *_r("sharpe", "sortino", "calmar", digits=4), *_r("cagr", "max_drawdown", digits=9), *_r("turnover_per_year", digits=6), "fill_count", *_r("pnl", "ending_equity", digits=3)
+        "symbol", *_ratios("sharpe", "sortino", "calmar"), *_r("cagr", "max_drawdown", digits=9), *_r("turnover_per_year", digits=6), "fill_count", *_r("pnl", "ending_equity", digits=3)
     )
 
 
@@ -583,14 +605,14 @@ def pnl_attribution(spark, root):
  round(coalesce(avg(pnl) FILTER (WHERE pnl > 0), 0), 4) AS avg_win, round(coalesce(avg(pnl) FILTER (WHERE pnl < 0), 0), 4) AS avg_loss,
  round(CASE WHEN sum(pnl) FILTER (WHERE pnl < 0) < 0 THEN coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) / -sum(pnl) FILTER (WHERE pnl < 0)
   WHEN sum(pnl) FILTER (WHERE pnl > 0) > 0 THEN 'infinity'::DOUBLE ELSE 0 END, 6) AS profit_factor FROM steps GROUP BY symbol""",
-        """f AS MATERIALIZED (SELECT symbol, parent_order_id AS n, quantity::DOUBLE AS q, price AS px, fee FROM fills)""",
+        """f AS MATERIALIZED (SELECT symbol, order_id - 999999 AS n, quantity::DOUBLE AS q, price AS px, fee FROM fills)""",
         """steps AS (SELECT symbol, n, q::DOUBLE AS pos, px AS cost, NULL::DOUBLE AS pnl FROM f WHERE n = 1
  UNION ALL SELECT f.symbol, f.n, s.pos + f.q,
   CASE WHEN s.pos = 0 THEN f.px WHEN sign(s.pos) = sign(f.q) THEN (abs(s.pos) * s.cost + abs(f.q) * f.px) / (abs(s.pos) + abs(f.q))
    WHEN s.pos + f.q = 0 THEN 0 WHEN sign(s.pos + f.q) = sign(f.q) THEN f.px ELSE s.cost END,
   CASE WHEN s.pos <> 0 AND sign(s.pos) <> sign(f.q) THEN least(abs(s.pos), abs(f.q)) * (f.px - s.cost) * sign(s.pos) - f.fee END
  FROM steps s JOIN f ON f.symbol = s.symbol AND f.n = s.n + 1)""",
-    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    ),
 )
 def trade_stats(spark, root):
     out = analytics.trade_stats(_fills(spark, root))
@@ -619,7 +641,7 @@ def ledger_replay(spark, root):
     ),
 )
 def curve_stats(spark, root):
-    out = analytics.curve_stats(_path(spark, root).select("symbol", "equity"))
+    out = analytics.curve_stats(cut_lineage(_path(spark, root).select("symbol", "equity")))  # read by every pass of the percentiles
     return out.select("symbol", "n", *_r("mean", "std", "least", "greatest", "p50", "p95", "p99", digits=3))
 
 
@@ -657,12 +679,7 @@ def margin_check(spark, root):
 
 
 def _tca(spark, root):
-    path = _path(spark, root)
-    fills = backtest.fills_of(signals.expanding_volatility(path, 20), "volatility")
-    submitted = costs.arrival_times(backtest.ledger_of(path)).alias("a")
-    rows = path.where("trade != 0").select("symbol", "ts", "close").alias("p")  # orders are submitted in rows that trade
-    arrivals = submitted.join(rows, (F.col("a.symbol") == F.col("p.symbol")) & (F.col("a.arrival_ts") == F.col("p.ts")))
-    return costs.fill_costs(fills, arrivals.select("a.symbol", "a.parent_order_id", F.col("p.close").alias("arrival_price")))
+    return costs.fill_costs(_simulation(spark, root).fills, table(spark, root, "assets"))
 
 
 _TCA_MONEY = ("spread_cost", "impact_cost", "financing_cost", "implementation_shortfall", "total_cost")
@@ -672,13 +689,13 @@ _TCA_MONEY = ("spread_cost", "impact_cost", "financing_cost", "implementation_sh
     "tca_fills",
     sql(
         "tcat",
-        "SELECT symbol, ts, parent_order_id, order_id, direction, quantity, abs_quantity, arrival_price, at_or_better_arrival, time_bucket, "
+        "SELECT symbol, asset, ts, parent_order_id, order_id, direction, quantity, abs_quantity, bid, ask, arrival_price, at_or_better_arrival, time_bucket, "
         + ", ".join(f"round({c}, 6) AS {c}" for c in ("fill_price", "mid_price", "spread", "participation", "volatility", *_TCA_MONEY))
         + " FROM tcat",
     ),
 )
 def tca_fills(spark, root):
-    keep = ("symbol", "ts", "parent_order_id", "order_id", "direction", "quantity", "abs_quantity", "arrival_price", "at_or_better_arrival", "time_bucket")
+    keep = ("symbol", "asset", "ts", "parent_order_id", "order_id", "direction", "quantity", "abs_quantity", "bid", "ask", "arrival_price", "at_or_better_arrival", "time_bucket")
     return _tca(spark, root).select(*keep, *_r("fill_price", "mid_price", "spread", "participation", "volatility", *_TCA_MONEY))
 
 
@@ -709,7 +726,7 @@ def arrival_ts(spark, root):
     "cost_calibration",
     sql(
         "fills",
-        """SELECT count(*) AS samples, round(greatest(regr_intercept(y, x), 0), 6) AS fixed_bps, round(greatest(regr_slope(y, x) / 1e4, 0), 9) AS impact, round(avg(sp), 6) AS spread_bps FROM
+        """SELECT count(*) AS samples, round(greatest(regr_intercept(y, x), 0), 6) AS fixed_bps, round(greatest(regr_slope(y, x) / 1e4, 0), 9) AS impact, round(median(sp), 6) AS spread_bps FROM
 (SELECT abs(sign(quantity) * (price * (1 + sign(quantity) * part * part) / close - 1.0) * 1e4) AS y, part * part AS x, (ask - bid) / close * 1e4 AS sp FROM
  (SELECT *, least(abs(quantity) / greatest(volume, 1.0), 1.0) AS part FROM fills))""",
     ),
@@ -717,7 +734,7 @@ def arrival_ts(spark, root):
 def cost_calibration(spark, root):
     part = F.least(F.abs("quantity") / F.greatest("volume", F.lit(1.0)), F.lit(1.0))
     side = F.signum(F.col("quantity").cast("double"))
-    samples = _fills(spark, root).select(
+    samples = cut_lineage(_fills(spark, root)).select(
         F.col("close").alias("arrival_mid"),
         (F.col("price") * (1 + side * part * part)).alias("fill_price"),
         side.alias("side"),
@@ -751,35 +768,55 @@ def param_grid(spark, root):
     return runs.param_grid(spark, {"fast": [4, 8, 12], "slow": [16, 32]})
 
 
-def _sweep_sql(select: str) -> str:
-    targets = " UNION ALL ".join(
-        f"""SELECT {i} AS combo_idx, symbol, ts, row_idx, close, CASE WHEN row_idx >= {s - 1} THEN CAST(sign(round(ma_{f} - ma_{s}, 9)) * {MOST} AS BIGINT) ELSE 0 END AS target FROM avgs""" for i, f, s in COMBOS
-    )
-    lengths = sorted({n for _, f, s in COMBOS for n in (f, s)})
+def _sweep_sql(select: str, *more: str, source: str = "panel", keys: str = "symbol", before: tuple[str, ...] = ()) -> str:
+    """``select`` from ``res``, the rated runs of all combinations over ``source``, whose series are told apart by ``keys``."""
+    w = f"OVER (PARTITION BY {keys} ORDER BY row_idx"
+    lengths = sorted({params[k] for _, _, params in COMBOS for k in ("fast", "slow") if k in params})
+    lags = sorted({params["lookback"] for _, _, params in COMBOS if "lookback" in params})
+    averages = [f"avg(close) {w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS ma_{n}" for n in lengths] + [f"coalesce(close - lag(close, {n}) {w}), 0) AS moved_{n}" for n in lags]
+
+    def target(name: str, p: dict) -> str:
+        if name == "moving_average_crossover":
+            return f"CASE WHEN row_idx >= {p['slow'] - 1} THEN CAST(sign(round(ma_{p['fast']} - ma_{p['slow']}, 9)) * {MOST} AS BIGINT) ELSE 0 END"
+        return f"(sign(moved_{p['lookback']}) * {MOST if name == 'momentum' else -MOST})::BIGINT"
+
+    targets = " UNION ALL ".join(f"SELECT {i} AS combo_idx, {keys}, ts, row_idx, close, volume, bid, ask, {target(name, p)} AS target FROM avgs" for i, name, p in COMBOS)
+    runs_ = f"combo_idx, {keys}"
+    folded = fold_sql("tg", runs_, BASE)
+    day = f"PARTITION BY {runs_} ORDER BY epoch_day"
     return sql(
         "panel",
         select,
-        "avgs AS (SELECT *, " + ", ".join(f"avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS ma_{n}" for n in lengths) + " FROM panel)",
-        f"tg AS ({targets})",
-        "td AS (SELECT *, target - lag(target, 1, 0) OVER (PARTITION BY combo_idx, symbol ORDER BY row_idx) AS trade FROM tg)",
-        "pr AS (SELECT *, CASE WHEN trade = 0 THEN close ELSE close * (1.0 + sign(trade) * 0.2 * 1e-4) END AS price FROM td)",
-        """cs AS (SELECT *, round(1000000.0 - sum(trade * price + abs(trade) * price * 0.1 * 1e-4) OVER (PARTITION BY combo_idx, symbol ORDER BY row_idx ROWS UNBOUNDED PRECEDING), 6) AS cash FROM pr)""",
-        "eq AS (SELECT *, round(cash + target * close, 6) AS equity FROM cs)",
-        """ddn AS (SELECT *, (peak - equity) / peak AS drawdown FROM (SELECT *, greatest(max(equity) OVER (PARTITION BY combo_idx, symbol ORDER BY row_idx ROWS UNBOUNDED PRECEDING), 1000000.0) AS peak FROM eq))""",
-        "dy AS (SELECT combo_idx, symbol, ts // 86400 AS epoch_day, arg_max(equity, row_idx) AS equity, max(drawdown) AS drawdown, count(*) FILTER (WHERE trade <> 0) AS trades FROM ddn GROUP BY ALL)",
-        """dr AS (SELECT *, CASE WHEN row_number() OVER w > 1 THEN round(coalesce(equity / lag(equity) OVER w - 1, 0), 12) END AS ret FROM dy WINDOW w AS (PARTITION BY combo_idx, symbol ORDER BY epoch_day))""",
-        """res AS (SELECT combo_idx, symbol, round(coalesce(CASE WHEN sd > 1e-15 THEN m / sd * sqrt(252.0) WHEN m > 0 THEN 'infinity'::DOUBLE WHEN m < 0 THEN '-infinity'::DOUBLE ELSE 0 END, 0), 4) AS sharpe,
- round(mdd, 9) AS max_drawdown, trades, round(pnl, 3) AS pnl FROM (SELECT combo_idx, symbol, round(avg(ret), 12) AS m, round(stddev_pop(ret), 12) AS sd, max(drawdown) AS mdd, sum(trades)::BIGINT AS trades,
- arg_max(equity, epoch_day) - 1000000.0 AS pnl FROM dr GROUP BY ALL))""",
+        *before,
+        f"avgs AS (SELECT *, {', '.join(averages)} FROM {source})",
+        f"tg AS MATERIALIZED ({targets})",
+        f"folded AS ({folded['folded']})",
+        f"path AS (SELECT {runs_}, row_idx, ts, held AS position, equity, drawdown, abs(fillq) * price AS traded, fillq <> 0 AS hit FROM folded WHERE row_idx >= 0)",
+        f"dy AS (SELECT {runs_}, ts // 86400 AS epoch_day, arg_max(equity, row_idx) AS equity FROM path GROUP BY ALL)",
+        f"dr AS (SELECT *, CASE WHEN row_number() OVER ({day}) > 1 THEN coalesce(equity / lag(equity) OVER ({day}) - 1, 0) END AS ret FROM dy)",
+        f"rt AS (SELECT {runs_}, {_ratio_sql('sd')} AS sharpe, {_ratio_sql('dd')} AS sortino FROM (SELECT {runs_}, {_RETURNS} FROM dr GROUP BY ALL))",
+        f"""fg AS (SELECT {runs_}, max(drawdown) AS mdd, sum(hit::BIGINT)::BIGINT AS fill_count, sum(traded) AS gross, avg(abs(equity)) AS mean_eq, arg_min(equity, row_idx) AS a, arg_max(equity, row_idx) AS b,
+ CASE WHEN max(ts) > min(ts) THEN greatest((max(ts) - min(ts)) / (365.25 * 86400.0), 1.0 / 252.0) WHEN count(*) > 1 THEN (count(*) - 1) / 252.0 ELSE 1.0 / 252.0 END AS years FROM path GROUP BY ALL)""",
+        f"""res AS (SELECT {runs_}, {_rr("sharpe")} AS sharpe, {_rr("sortino")} AS sortino, round(cagr, 9) AS cagr, round(mdd, 9) AS max_drawdown,
+ {_rr("CASE WHEN mdd = 0 THEN CASE WHEN cagr > 0 THEN 'infinity'::DOUBLE ELSE 0 END ELSE cagr / mdd END")} AS calmar, round(coalesce(gross / nullif(mean_eq, 0), 0) / years, 6) AS turnover_per_year, fill_count, round(b - {BASE.starting_cash!r}, 3) AS pnl
+ FROM (SELECT *, CASE WHEN a <= 0 OR b <= 0 THEN 0 ELSE pow(b / a, 1.0 / years) - 1.0 END AS cagr FROM fg) JOIN rt USING ({runs_}))""",
+        *more,
     )
 
 
+_FIGURES = ("sharpe", "sortino", "cagr", "max_drawdown", "calmar", "turnover_per_year", "fill_count", "pnl")
+_DIGITS = {"cagr": 9, "max_drawdown": 9, "turnover_per_year": 6, "pnl": 3}
+
+
+def _rounded(df: DataFrame, *keys: str, more: tuple = ()) -> DataFrame:
+    return df.select(*keys, *_ratios("sharpe", "sortino", "calmar"), *(F.round(c, n).alias(c) for c, n in _DIGITS.items()), "fill_count", *more)
+
+
 def _sweep(spark, root):
-    out = runs.sweep(_panel(spark, root), COMBOS, MOST)
-    return out.select("combo_idx", "symbol", *_r("sharpe", digits=4), *_r("max_drawdown", digits=9), "trades", *_r("pnl", digits=3))
+    return _rounded(runs.sweep(_panel(spark, root), COMBOS, BASE, _hot(spark, root)), "combo_idx", "symbol")
 
 
-@query("param_sweep", _sweep_sql("SELECT combo_idx, symbol, sharpe, max_drawdown, trades, pnl FROM res"))
+@query("param_sweep", _sweep_sql(f"SELECT combo_idx, symbol, {', '.join(_FIGURES)} FROM res"))
 def param_sweep(spark, root):
     return _sweep(spark, root)
 
@@ -793,14 +830,14 @@ def sweep_topk(spark, root):
     "sweep_heatmap",
     _sweep_sql(
         """SELECT CASE WHEN combo_idx < 2 THEN 4 ELSE 8 END AS fast, round(avg(sharpe) FILTER (WHERE combo_idx % 2 = 0 AND isfinite(sharpe)), 4) AS slow_16,
- round(avg(sharpe) FILTER (WHERE combo_idx % 2 = 1 AND isfinite(sharpe)), 4) AS slow_32 FROM res GROUP BY ALL"""
+ round(avg(sharpe) FILTER (WHERE combo_idx % 2 = 1 AND isfinite(sharpe)), 4) AS slow_32 FROM res WHERE combo_idx < 4 GROUP BY ALL"""
     ),
 )
 def sweep_heatmap(spark, root):
-    params = {i: (f, s) for i, f, s in COMBOS}
-    rows = _sweep(spark, root).where(~F.isnan("sharpe") & (F.abs("sharpe") != float("inf")))
-    pick = lambda k: F.element_at(F.create_map(*(F.lit(x) for i, p in params.items() for x in (i, p[k]))), F.col("combo_idx"))
-    out = runs.heatmap(rows.withColumn("fast", pick(0)).withColumn("slow", pick(1)), "fast", "slow", [16, 32])
+    crossovers = {i: p for i, name, p in COMBOS if name == "moving_average_crossover"}
+    rows = _sweep(spark, root).where(F.col("combo_idx").isin(*crossovers) & ~F.isnan("sharpe") & (F.abs("sharpe") != float("inf")))
+    pick = lambda k: F.element_at(F.create_map(*(F.lit(x) for i, p in crossovers.items() for x in (i, p[k]))), F.col("combo_idx"))
+    out = runs.heatmap(rows.withColumn("fast", pick("fast")).withColumn("slow", pick("slow")), "fast", "slow", [16, 32])
     return out.select("fast", F.round("16", 4).alias("slow_16"), F.round("32", 4).alias("slow_32"))
 
 
@@ -814,34 +851,56 @@ def wfo_windows(spark, root):
     return runs.fold_spans(_panel(spark, root).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows")), 3)
 
 
+_PARTS = """parts AS (SELECT p.symbol, fold, part, ts, row_idx - a AS row_idx, close, volume, bid, ask FROM panel p JOIN
+ (SELECT symbol, fold, 'is' AS part, train_start AS a, train_end AS b FROM spans UNION ALL SELECT symbol, fold, 'oos', train_end, test_end FROM spans) s ON p.symbol = s.symbol AND p.row_idx >= s.a AND p.row_idx < s.b)"""
+_WIDE = """wd AS (SELECT symbol, fold, combo_idx, max(sharpe) FILTER (WHERE part = 'is') AS is_sharpe, max(sharpe) FILTER (WHERE part = 'oos') AS oos_sharpe,
+ max(max_drawdown) FILTER (WHERE part = 'is') AS is_max_drawdown, max(max_drawdown) FILTER (WHERE part = 'oos') AS oos_max_drawdown FROM res GROUP BY ALL)"""
+_BEST = "best AS (SELECT * FROM wd QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY is_sharpe DESC NULLS LAST, combo_idx) = 1)"
+_EFFICIENCY = """ef AS (SELECT symbol, CASE WHEN i <> 0 THEN round(o / i, 6) ELSE 0 END AS efficiency FROM (SELECT symbol, coalesce(avg(is_sharpe) FILTER (WHERE isfinite(is_sharpe)), 0) AS i,
+ coalesce(avg(oos_sharpe) FILTER (WHERE isfinite(oos_sharpe)), 0) AS o FROM best GROUP BY symbol))"""
+
+
+def _folds_sql(select: str, *more: str) -> str:
+    return _sweep_sql(select, _WIDE, _BEST, *more, source="parts", keys="symbol, fold, part", before=(_SPANS, _PARTS)).replace(f"{_rr('sharpe')} AS sharpe", "sharpe", 1)
+
+
+_OVERFIT = "coalesce(oos_sharpe > 0 AND is_sharpe > 2 * oos_sharpe, false) AS overfit_warning"
+
+
 @query(
     "walk_forward",
-    _sweep_sql("SELECT symbol, fold, combo_idx, is_sharpe, oos_sharpe, coalesce(oos_sharpe > 0 AND is_sharpe > 2 * oos_sharpe, false) AS overfit_warning FROM best WHERE place = 1")
-    .replace(
-        "\nSELECT symbol, fold",
-        ",\n"
-        + _SPANS
-        + """,
-rr AS (SELECT combo_idx, symbol, row_idx, round(coalesce(equity / lag(equity) OVER (PARTITION BY combo_idx, symbol ORDER BY row_idx) - 1, 0), 12) AS ret FROM eq),
-pt AS (SELECT r.combo_idx, r.symbol, fold, CASE WHEN row_idx < train_end THEN 'is' ELSE 'oos' END AS part, row_idx, ret, train_start, train_end FROM rr r JOIN spans s
- ON r.symbol = s.symbol AND row_idx >= train_start AND row_idx < test_end),
-sh AS (SELECT symbol, fold, combo_idx, part, round(coalesce(CASE WHEN round(stddev_pop(ret), 12) > 0 THEN round(avg(ret), 12) / round(stddev_pop(ret), 12) * sqrt(252.0) END, 0), 6) AS sharpe
- FROM pt WHERE row_idx > CASE WHEN part = 'is' THEN train_start ELSE train_end END GROUP BY ALL),
-wd AS (SELECT symbol, fold, combo_idx, max(sharpe) FILTER (WHERE part = 'is') AS is_sharpe, max(sharpe) FILTER (WHERE part = 'oos') AS oos_sharpe FROM sh GROUP BY ALL),
-best AS (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY is_sharpe DESC NULLS LAST, combo_idx) AS place FROM wd)
-SELECT symbol, fold""",
-        1,
+    _folds_sql(
+        f"""SELECT best.symbol, fold, combo_idx, {_rr("is_sharpe")} AS is_sharpe, {_rr("oos_sharpe")} AS oos_sharpe, is_max_drawdown, oos_max_drawdown, {_OVERFIT}, efficiency, train_start, train_end, test_end
+FROM best JOIN ef USING (symbol) JOIN spans USING (symbol, fold)""",
+        _EFFICIENCY,
     ),
 )
 def walk_forward(spark, root):
-    return runs.walk_forward(_panel(spark, root), COMBOS, 3, 0.7, MOST)
+    folds, _ = runs.walk_forward_folds(_panel(spark, root), COMBOS, BASE, 3, 0.7, hot=_hot(spark, root))
+    return folds.select(
+        "symbol", "fold", "combo_idx", *_ratios("is_sharpe", "oos_sharpe"), *_r("is_max_drawdown", "oos_max_drawdown", digits=9), "overfit_warning", *_r("efficiency"), "train_start", "train_end", "test_end"
+    )
 
 
-@query("walk_forward_folds")
-def walk_forward_folds(spark, root):
-    return runs.walk_forward_folds(_panel(spark, root), COMBOS, 3, 0.7, MOST)[0]
+@query(
+    "walk_forward_curve",
+    _folds_sql("SELECT p.symbol, p.fold, p.combo_idx, p.ts, p.row_idx, round(p.equity, 3) AS equity FROM path p JOIN best b ON p.symbol = b.symbol AND p.fold = b.fold AND p.combo_idx = b.combo_idx WHERE p.part = 'oos'"),
+)
+def walk_forward_curve(spark, root):
+    _, curve = runs.walk_forward_folds(_panel(spark, root), COMBOS, BASE, 3, 0.7, hot=_hot(spark, root))
+    return curve.select("symbol", "fold", "combo_idx", "ts", "row_idx", *_r("equity", digits=3))
 
 
-@query("walk_forward_curve")
-def walk_forward_curve(spark, root):
-    return runs.walk_forward_folds(_panel(spark, root), COMBOS, 3, 0.7, MOST)[1]
+@query(
+    "sweep_oos",
+    _sweep_sql(
+        f"SELECT combo_idx, symbol, {', '.join(_FIGURES)}, oos_sharpe, oos_max_drawdown, {_OVERFIT.replace('is_sharpe', 'sharpe')} FROM res JOIN (SELECT combo_idx, symbol, sharpe AS oos_sharpe, max_drawdown AS oos_max_drawdown FROM res WHERE part = 'oos') o USING (combo_idx, symbol) WHERE part = 'is'",
+        source="parts",
+        keys="symbol, fold, part",
+        before=(_SPANS.replace("/ 3 +", "/ 1 +").replace("(0), (1), (2)", "(0)"), _PARTS),
+    ),
+)
+def sweep_oos(spark, root):
+    out = runs.sweep_out_of_sample(_panel(spark, root), COMBOS, BASE, 0.7, _hot(spark, root))
+    warned = runs.overfit(*_ratios("sharpe", "oos_sharpe")).alias("overfit_warning")
+    return _rounded(out, "combo_idx", "symbol", more=(*_ratios("oos_sharpe"), *_r("oos_max_drawdown", digits=9), warned))

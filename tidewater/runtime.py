@@ -1,4 +1,4 @@
-"""Session helpers: a local session for tests, and cutting of lineage through the shared folder."""
+"""Session helpers: a local session for tests, the shared folder, and cutting of lineage through it."""
 
 from __future__ import annotations
 
@@ -49,22 +49,23 @@ def ship_package(spark: SparkSession) -> None:
     context._tidewater_shipped = True
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files.
-
-    The folder is the one named in ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a
-    temporary folder of this machine is set. The written copy survives the loss of any executor.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named in ``spark.checkpoint.dir``. Only a local session may go without: it gets a temporary folder of
+    its machine; on a cluster the setting must be there."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewater-checkpoint-"))
-    return df.checkpoint(eager=True)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not getattr(context, "_tidewater_folder", None):
+        context._tidewater_folder = tempfile.mkdtemp(prefix="tidewater-")
+    return context._tidewater_folder
 
 
-def size_checked_broadcast(df: DataFrame, rows: int, most_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are few; otherwise unhinted, for a shuffled join."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if rows <= most_rows else df
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from the files. The written copy survives the loss of any executor."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

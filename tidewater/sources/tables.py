@@ -17,12 +17,6 @@ def is_number(column: Column | str) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def is_finite(column: Column | str) -> Column:
-    """True where a double is neither null, NaN nor infinite."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), F.lit(False))
-
-
 def latest_rows(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """One row per ``keys``: the values of the row with the largest ``order``.
 
