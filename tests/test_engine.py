@@ -6,8 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import backtest as closed
-from tidewater.operators import engine, signals
+from tidewater.operators import engine
 from tidewater.operators.engine import Cell, Config, Instrument, Roll, Row, Rules, State, Step, Venue, fold, load_snapshot
 
 
@@ -144,28 +143,6 @@ def test_cash_is_conserved():
     assert math.isclose(state.cash, 1e6 - paid, rel_tol=1e-12)
 
 
-def test_closed_form_equals_fold(spark):
-    rng = np.random.default_rng(7)
-    rows = []
-    for symbol in ("AAA", "BBB"):
-        close = 50 * np.exp(np.cumsum(rng.normal(0, 0.01, 120)))
-        rows += [(symbol, i, i * 86_400, float(p), float(p), float(p), 1e6, float(p), float(p)) for i, p in enumerate(close)]
-    panel = spark.createDataFrame(rows, "symbol string, row_idx bigint, ts bigint, close double, high double, low double, volume double, bid double, ask double")
-    targets = signals.moving_average_crossover(panel, 3, 9, 5)
-    path = closed.guard(closed.closed_form(targets))
-    assert path.where("not holds").count() == 0
-    config = Config(max_position=5, commission_bps=0.1, slippage_model="fixed", slippage_bps=0.2)
-    events = engine.backtest(engine.run_rows(targets, F.col("symbol")), config).cache()
-    a = path.select("symbol", "row_idx", "position", "cash", "equity").orderBy("symbol", "row_idx").toPandas()
-    b = engine.events_of(events, "curve").orderBy("run_id", "row_idx").toPandas()
-    assert (a["position"].to_numpy() == b["position"].to_numpy()).all()
-    assert np.abs(a["equity"].to_numpy() - b["equity"].to_numpy()).max() < 1e-5
-    la = closed.ledger_of(path).orderBy("symbol", "sequence").toPandas()
-    lb = engine.events_of(events, "ledger").orderBy("run_id", "sequence").toPandas()
-    assert la["type"].tolist() == lb["type"].tolist() and np.abs(la["equity_after"] - lb["equity_after"]).max() < 1e-5
-    assert np.abs(la["cash_after"] - lb["cash_after"]).max() < 1e-5
-
-
 def test_rows_must_cover_all_assets():
     with pytest.raises(ValueError, match="every asset"):
         Step(State.start(2, Config()), Rules(Config(), 2), Row.of(1, True, [cell(1.0)]))

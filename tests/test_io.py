@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import execution as ex
 from tidewater.functions.strategy import OrderIntent, Strategy, load_strategy, strategy_targets
 from tidewater.operators import analytics, costs, engine, panel, runs, signals
+from tidewater.operators.engine import Config
 from tidewater.operators.panel import PanelError
 from tidewater.sources import files, sinks
 
@@ -55,16 +56,22 @@ def test_ledger_snapshot_and_report_round_trips(spark, tmp_path):
     state = engine.State.start(2, engine.Config())
     state.pending[1] = engine.Order(1, 2, 2, None, "market", 3)
     sinks.save_snapshot(state, str(tmp_path / "s.json"))
-    assert sinks.load_snapshot(str(tmp_path / "s.json")) == state
+    assert sinks.load_snapshot(str(tmp_path / "s.json")).to_json() == state.to_json()
     content = {"summary": [{"symbol": "A", "pnl": 1.5}], "assets": [], "events": {"FILL_APPLIED": 2}}
     sinks.write_report_json(content, str(tmp_path / "r.json"))
     sinks.write_report_markdown(content, str(tmp_path / "r.md"))
     assert json.loads((tmp_path / "r.json").read_text())["events"]["FILL_APPLIED"] == 2 and "| A | 1.5 |" in (tmp_path / "r.md").read_text()
-    log = sinks.LatencyLog("test", 1)
-    with log.timing("load", rows=3):
+    samples = []
+    with sinks.timed(samples, "load", rows=3):
         pass
-    log.write_jsonl(spark, str(tmp_path / "log"))
-    assert analytics.latency_summary(log.frame(spark)).first()["n"] == 1
+    with pytest.raises(KeyError), sinks.timed(samples, "fail"):
+        raise KeyError
+    log = sinks.latency_samples(spark, samples, "test", 1)
+    sinks.write_jsonl(log, str(tmp_path / "log"))
+    assert {r["stage"]: r["n"] for r in analytics.latency_summary(log).collect()} == {"load": 1, "fail": 1}
+
+
+CROSS = [(0, "moving_average_crossover", {"fast": 2, "slow": 3})]
 
 
 class Alternate(Strategy):
@@ -105,7 +112,7 @@ def test_exact_small_cases(spark):
     assert analytics.sharpe_sortino(flat).first()["sharpe"] == 0.0
     up = spark.createDataFrame([("A", i, 1.01**i) for i in range(9)], "symbol string, epoch_day bigint, equity double")
     assert analytics.sharpe_sortino(up).first()["sharpe"] > 1e6
-    fills = spark.createDataFrame([("A", i, q, p, f) for i, (q, p, f) in enumerate([(2, 10.0, 1.0), (-1, 12.0, 0.5), (-3, 9.0, 0.5), (2, 8.0, 0.25)])], "symbol string, parent_order_id bigint, quantity bigint, price double, fee double")
+    fills = spark.createDataFrame([("A", i, q, p, f) for i, (q, p, f) in enumerate([(2, 10.0, 1.0), (-1, 12.0, 0.5), (-3, 9.0, 0.5), (2, 8.0, 0.25)])], "symbol string, order_id bigint, quantity bigint, price double, fee double")
     s = analytics.trade_stats(fills).first()
     assert (s["closed"], s["win_rate"], s["avg_loss"]) == (3, 2 / 3, -1.5) and s["profit_factor"] == (1.5 + 1.75) / 1.5
     engine_side = spark.createDataFrame([("AAA", 1)], "symbol string, position bigint")
@@ -123,9 +130,9 @@ def test_validation_and_empty_tables(spark):
         panel.require_finite(spark.createDataFrame([(1, "A", float("nan"), 1.0, 1.0, 1.0, 1.0, 1.0)], "ts bigint, symbol string, close double, high double, low double, volume double, bid double, ask double"))
     none = bars(spark, [10.0]).limit(0)
     rows = panel.usable_panel(none)
-    for out in (panel.densify_days(none), signals.rolling_volatility(rows, 3), runs.sweep(rows, [(0, 2, 3)]), runs.walk_forward(rows, [(0, 2, 3)])):
+    for out in (panel.densify_days(none), signals.rolling_volatility(rows, 3), runs.sweep(rows, CROSS, Config()), *runs.walk_forward_folds(rows, CROSS, Config())):
         assert out.count() == 0
-    assert engine.backtest(engine.run_rows(rows.withColumn("target", F.lit(1)), engine.market_cells(), F.col("symbol"))).count() == 0
+    assert engine.backtest(engine.run_rows(rows.withColumn("target", F.lit(1)), F.col("symbol"))).count() == 0
     odd = spark.createDataFrame([(1, 5, "A", 3.0, None, float("nan"), -1.0, None, None), (2, 5, "A", None, None, None, None, None, None), (3, None, "A", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), (4, 6, None, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), (5, 9, "A", 4.0, None, float("nan"), -1.0, None, None)], BARS)
     r = panel.usable_panel(odd).collect()
     assert [(x["ts"], x["high"], x["low"], x["volume"], x["bid"]) for x in r] == [(9, 4.0, 4.0, 0.0, 4.0)]
@@ -145,12 +152,36 @@ def test_resampling(spark):
     sims = runs.monte_carlo(spark, x, 50, seed=1)
     assert sims.count() == 50 and sims.toPandas().equals(runs.monte_carlo(spark, x, 50, seed=1, parts=3).toPandas())
     shuffled = runs.monte_carlo(spark, x, 20, "shuffle").toPandas()
-    assert shuffled["growth"].std() < 1e-9 and shuffled["max_drawdown"].std() > 0  # order alone changes drawdown only
+    assert shuffled["cagr"].std() < 1e-9 and shuffled["max_drawdown"].std() > 0  # order alone changes drawdown only
     assert 0 <= runs.simulation_report(sims, 1.0).first()["p_proxy"] <= 1
     with pytest.raises(ValueError):
         runs.monte_carlo(spark, x, 5, "magic")
 
 
-def test_windows():
-    assert runs.walk_forward_windows(100, 3) == [(0, 0, 23, 23, 33), (1, 33, 56, 56, 66), (2, 66, 89, 89, 100)]
-    assert runs.walk_forward_windows(5, 3) == [] or all(w[4] - w[1] >= 3 for w in runs.walk_forward_windows(5, 3))
+def test_windows(spark):
+    sizes = spark.createDataFrame([("A", 100), ("B", 5), ("C", 0)], "symbol string, rows bigint")
+    spans = [tuple(r) for r in runs.fold_spans(sizes, 3).orderBy("symbol", "fold").collect()]
+    assert spans == [("A", 0, 0, 23, 23, 33), ("A", 1, 33, 56, 56, 66), ("A", 2, 66, 89, 89, 100)]
+    assert {r["train_start"] for r in runs.fold_spans(sizes, 3, anchored=True).collect()} == {0}
+
+
+def test_cost_model(spark):
+    samples = "arrival_mid double, fill_price double, side int, participation double, quoted_spread_bps double"
+    rows = [(100.0, 100.0 * (1 + s * (2 + 1e4 * 0.05 * p * p) * 1e-4), s, p, q) for s, p, q in ((1, 0.1, 1.0), (-1, 0.2, 5.0), (1, 0.3, 9.0), (1, 0.4, 40.0))]
+    model = costs.calibrate(spark.createDataFrame(rows, samples))
+    r = model.first()
+    assert abs(r["fixed_bps"] - 2) < 1e-6 and abs(r["impact"] - 0.05) < 1e-8 and r["spread_bps"] == 7.0 and r["samples"] == 4
+    config = costs.calibrated_config(model, Config(commission_bps=3.0))
+    assert (config.slippage_bps, config.volume_share_impact, config.commission_bps) == (r["fixed_bps"], r["impact"], 3.0)
+    bare = costs.calibrate(spark.createDataFrame([(*x[:4], None) for x in rows], samples)).first()
+    assert abs(bare["spread_bps"] - ((2 + 500 * 0.04) + (2 + 500 * 0.09))) < 1e-6  # twice the median size of the impact
+    assert costs.calibrate(spark.createDataFrame([], samples)).first()["samples"] == 0
+
+
+def test_daily_equity_tells_steps_from_times(spark):
+    curve = "symbol string, ts bigint, equity double"
+    steps = [("STEP", i, float(i)) for i in range(3)]
+    seconds = [("SEC", 86_400 * 19_000 + s, float(i)) for i, s in enumerate((0, 80_000, 90_000))]
+    nanos = [("NANO", t * 10**9, e) for _, t, e in seconds]
+    got = [tuple(r) for r in analytics.daily_equity(spark.createDataFrame(steps + seconds + nanos, curve)).orderBy("symbol", "epoch_day").collect()]
+    assert got == [("NANO", 19_000, 1.0), ("NANO", 19_001, 2.0), ("SEC", 19_000, 1.0), ("SEC", 19_001, 2.0), ("STEP", 0, 0.0), ("STEP", 1, 1.0), ("STEP", 2, 2.0)]

@@ -42,6 +42,22 @@ def test_paper_stream_equals_one_session(spark, tmp_path):
         assert last.loc[symbol, "cash"] == session.state.cash and last.loc[symbol, "fills"] == session.state.filled_orders > 0
 
 
+def test_symbols_of_a_portfolio_share_cash(spark, tmp_path):
+    rows = ticks()
+    spark.createDataFrame([*rows, (950, 10**9, "BBB", 102.0, 500.0, "ASK"), (951, 7, "ZZZ", 5.0, 1.0, "bid")], TICKS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(TICKS).parquet(str(tmp_path / "in"))
+    both = spark.createDataFrame([("AAA", "P"), ("BBB", "P")], "symbol string, portfolio string")
+    out = drained(paper.paper_positions(source, Config(), portfolios=both), tmp_path, "update").toPandas().set_index("symbol")
+    session = paper.PaperSession(Config(), paper.follow_trend, members=frozenset(("AAA", "BBB")))
+    for _, ts, s, price, size, side in rows[:60]:
+        session.on_tick(s, ts, price, size, {"bid": "BID", "ASK": "ASK"}.get(side, "TRADE"))
+    assert session.on_tick("ZZZ", 99, 5.0, 1.0, "BID") == [] and session.on_tick("BBB", 59 * 10**9, 1.0, 1.0, "BID") == []  # unknown, and sent twice
+    assert out.position.to_dict() == dict(zip(session.symbols, session.state.positions.tolist())) and (out.cash == session.state.cash).all() and (out.rows == 60).all()
+    sent = []
+    found = session.reconcile({"AAA": int(session.state.positions[0]), "BBB": int(session.state.positions[1]) + 3, "CCC": 2}, lambda s, d: sent.append((s, d)))
+    assert sent == [("BBB", 3.0), ("CCC", 2.0)] and {x["action"] for x in found} == {"submit_order"}
+
+
 def test_bars_from_a_stream(spark, tmp_path):
     spark.createDataFrame(ticks(400), TICKS).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(TICKS).parquet(str(tmp_path / "in"))

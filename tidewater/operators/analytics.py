@@ -174,7 +174,7 @@ _MATCHED = ["symbol", "won", "lost", "wins", "losses", "closed"]
 
 
 def replay_ledger(ledger: DataFrame) -> DataFrame:
-    """Per symbol: entries, distinct orders and parents, fills, last cash and equity of the log."""
+    """Per symbol: entries, distinct orders and parents, fills, last cash and equity of the log. The ids themselves: ``replayed_ids``."""
     return ledger.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("entries"),
         F.countDistinct(F.when(F.col("order_id") != 0, F.col("order_id"))).alias("orders"),
@@ -185,6 +185,12 @@ def replay_ledger(ledger: DataFrame) -> DataFrame:
     )
 
 
+def replayed_ids(ledger: DataFrame) -> DataFrame:
+    """The order and parent ids of each symbol's log, a row an id, with the entry at which each is seen first: ``symbol, kind, id, first_seen``."""
+    ids = F.explode(F.array(F.struct(F.lit("order").alias("kind"), F.col("order_id").alias("id")), F.struct(F.lit("parent").alias("kind"), F.col("parent_order_id").alias("id"))))
+    return ledger.select("symbol", "sequence", ids.alias("i")).where("i.id != 0").groupBy("symbol", "i.kind", "i.id").agg(F.min("sequence").alias("first_seen"))
+
+
 def exact_percentiles(df: DataFrame, by: list[str], value: str, quantiles: tuple[float, ...], margin: float = 2e-4) -> DataFrame:
     """Exact, linearly interpolated percentiles per group, without holding a group in one task.
 
@@ -236,6 +242,28 @@ def curve_stats(curve: DataFrame, by: str = "symbol") -> DataFrame:
     return basic.join(exact_percentiles(curve, [by], "equity", (0.5, 0.95, 0.99)), by)
 
 
+def performance(path: DataFrame, ledger: DataFrame, starting_cash: float) -> DataFrame:
+    """Per symbol: starting and ending equity, gain and return, peak and largest drawdown of the path, and from the log turnover, entries, orders
+    submitted, filled and rejected, fills on record and the fill rate (fills that counted over orders submitted, 0 without orders)."""
+    curve = path.groupBy("symbol").agg(F.max_by("equity", "row_idx").alias("ending_equity"), F.greatest(F.max("equity"), F.lit(starting_cash)).alias("peak_equity"), F.max("drawdown").alias("max_drawdown"))
+    of = lambda kind: F.count_if(F.col("type").startswith(kind))
+    value = F.abs(F.col("quantity") * F.col("price"))
+    log = ledger.groupBy("symbol").agg(
+        F.sum(F.when(F.col("type") == "FILL_APPLIED", value).when(F.col("type") == "ORDER_REJECTED_CASH", -value).otherwise(0.0)).alias("turnover"),
+        F.count(F.lit(1)).alias("entries"),
+        of("ORDER_SUBMITTED").alias("submitted_orders"),
+        (of("FILL_APPLIED") - of("ORDER_REJECTED_CASH")).alias("filled_orders"),
+        of("ORDER_REJECTED").alias("rejected_orders"),
+        of("FILL_APPLIED").alias("fill_count"),
+    )
+    out = curve.join(log, "symbol", "left").fillna(0, ["turnover", "entries", "submitted_orders", "filled_orders", "rejected_orders", "fill_count"])
+    gain = F.col("ending_equity") - starting_cash
+    return out.select(
+        "symbol", F.lit(starting_cash).alias("starting_equity"), "ending_equity", gain.alias("pnl"), (gain / starting_cash).alias("return_pct"), "peak_equity", "max_drawdown", "turnover", "entries",
+        "submitted_orders", "filled_orders", "rejected_orders", "fill_count", F.coalesce(F.try_divide("filled_orders", "submitted_orders"), F.lit(0.0)).alias("fill_rate"),
+    )
+
+
 def audit_counts(ledger: DataFrame) -> DataFrame:
     """Entries of the log by type."""
     return ledger.groupBy("type").agg(F.count(F.lit(1)).alias("events"))

@@ -41,15 +41,15 @@ ASSETS = 8
 #: Settings under which the rules fire.
 RULES = {
     "slow": Config(
-        starting_cash=100_000.0, commission_bps=1.0, slippage_model="fixed", slippage_bps=2.0, max_participation_rate=0.01, max_position=4, latency_steps=1, child_order_size=2, child_slice_delay_steps=1,
+        starting_cash=100_000.0, commission_bps=1.0371, slippage_model="fixed", slippage_bps=2.0133, max_participation_rate=0.01, max_position=4, latency_steps=1, child_order_size=2, child_slice_delay_steps=1,
         annual_borrow_bps=300.0, use_bid_ask_execution=True,
     ),
-    "poor": Config(starting_cash=400.0, commission_bps=1.0, slippage_model="none", max_position=MOST, max_gross_leverage=2.5),
-    "stopped": Config(starting_cash=3_000.0, commission_bps=5.0, slippage_model="fixed", slippage_bps=5.0, max_position=MOST, max_drawdown_pct=0.02),
-    "margin": Config(starting_cash=10_000.0, slippage_model="none", max_position=MOST, margin_limit=500.0),
+    "poor": Config(starting_cash=400.0, commission_bps=1.0371, slippage_model="fixed", slippage_bps=0.7133, max_position=MOST, max_gross_leverage=2.5),
+    "stopped": Config(starting_cash=3_000.0, commission_bps=5.0371, slippage_model="fixed", slippage_bps=5.0133, max_position=MOST, max_drawdown_pct=0.02),
+    "margin": Config(starting_cash=10_000.0, commission_bps=0.5371, slippage_model="fixed", slippage_bps=0.7133, max_position=MOST, margin_limit=500.0),
 }
 #: Limits that portfolios of symbols run into.
-TIGHT = Config(starting_cash=1_500.0, commission_bps=1.0, slippage_model="fixed", slippage_bps=2.0, max_position=MOST, max_gross_leverage=3.0, max_drawdown_pct=0.3)
+TIGHT = Config(starting_cash=1_500.0, commission_bps=1.0371, slippage_model="fixed", slippage_bps=2.0133, max_position=MOST, max_gross_leverage=3.0, max_drawdown_pct=0.3)
 
 
 def _bars(spark: SparkSession, root: str) -> DataFrame:

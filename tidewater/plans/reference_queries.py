@@ -632,6 +632,37 @@ def ledger_replay(spark, root):
     return out.select("symbol", "entries", "orders", "parents", "fills", *_r("final_cash", "final_equity", digits=3))
 
 
+@query(
+    "replayed_ids",
+    sql(
+        "ledger",
+        """SELECT symbol, 'order' AS kind, order_id AS id, min(sequence) AS first_seen FROM ledger WHERE order_id <> 0 GROUP BY ALL
+UNION ALL SELECT symbol, 'parent', parent_order_id, min(sequence) FROM ledger WHERE parent_order_id <> 0 GROUP BY ALL""",
+    ),
+)
+def replayed_ids(spark, root):
+    return analytics.replayed_ids(_ledger(spark, root))
+
+
+@query(
+    "performance_report",
+    sql(
+        "path ledger",
+        f"""SELECT p.symbol, {BASE.starting_cash!r} AS starting_equity, round(b, 3) AS ending_equity, round(b - {BASE.starting_cash!r}, 3) AS pnl, round((b - {BASE.starting_cash!r}) / {BASE.starting_cash!r}, 9) AS return_pct, round(peak, 3) AS peak_equity, round(mdd, 9) AS max_drawdown,
+ round(coalesce(turnover, 0), 3) AS turnover, coalesce(entries, 0) AS entries, coalesce(submitted, 0) AS submitted_orders, coalesce(filled, 0) AS filled_orders, coalesce(rejected, 0) AS rejected_orders, coalesce(filled, 0) AS fill_count,
+ round(coalesce(filled / nullif(submitted, 0), 0), 9) AS fill_rate FROM pa p LEFT JOIN la l ON p.symbol = l.symbol""",
+        f"pa AS (SELECT symbol, arg_max(equity, row_idx) AS b, greatest(max(equity), {BASE.starting_cash!r}) AS peak, max(drawdown) AS mdd FROM path GROUP BY symbol)",
+        """la AS (SELECT symbol, count(*) AS entries, sum(abs(quantity * price)) FILTER (WHERE type = 'FILL_APPLIED') AS turnover, count(*) FILTER (WHERE type = 'ORDER_SUBMITTED') AS submitted,
+ count(*) FILTER (WHERE type = 'FILL_APPLIED') AS filled, count(*) FILTER (WHERE type LIKE 'ORDER_REJECTED%') AS rejected FROM ledger GROUP BY symbol)""",
+    ),
+)
+def performance_report(spark, root):
+    run = _simulation(spark, root)
+    out = analytics.performance(run.path, cut_lineage(run.ledger), BASE.starting_cash)
+    money = {"ending_equity": 3, "pnl": 3, "return_pct": 9, "peak_equity": 3, "max_drawdown": 9, "turnover": 3, "fill_rate": 9}
+    return out.withColumns({c: F.round(c, n) for c, n in money.items()})
+
+
 @query(
     "curve_stats",
     sql(
