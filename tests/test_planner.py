@@ -57,10 +57,10 @@ def test_policies_run_by_name(spark):
 
 def test_a_sweep_takes_any_policy(spark):
     bars, combos = panel(spark), [*COMBOS, (3, "cross_sectional_momentum", {"lookback": 3, "winners": 1, "losers": 1}), (4, "volatility_filtered_momentum", {"lookback": 3, "window": 4, "ceiling": 0.02})]
-    got = runs.sweep(bars, combos, PLAIN).toPandas().set_index(["combo_idx", "symbol"])
+    got = runs.sweep(bars, combos, PLAIN).toPandas().set_index(["combo_idx", "symbol"]).sort_index()
     assert len(got) == 15 and set(got.columns) >= {"sharpe", "sortino", "cagr", "max_drawdown", "calmar", "turnover_per_year", "fill_count", "pnl"}
     for i, name, params in combos:
-        alone = run_policy(bars, name, PLAIN, **params).groupBy("symbol").agg(F.sum("row_fills").alias("n"), F.max_by("equity", "row_idx").alias("e")).toPandas().set_index("symbol")
+        alone = run_policy(bars, name, PLAIN, **params).groupBy("symbol").agg(F.sum("row_fills").alias("n"), F.max_by("equity", "row_idx").alias("e")).toPandas().set_index("symbol").sort_index()
         assert (got.loc[i].fill_count == alone.n).all() and np.allclose(got.loc[i].pnl, alone.e - 1e6, atol=1e-6)
     assert runs.top_k(runs.sweep(bars, COMBOS, PLAIN), 2).count() == 6
 
