@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import execution as ex
-from tidewater.functions.strategy import OrderIntent, Strategy, load_strategy, strategy_targets
+from tidewater.functions.strategy import OrderIntent, Strategy, load_strategy, run_strategy, strategy_targets
 from tidewater.operators import analytics, costs, engine, panel, runs, signals
 from tidewater.operators.engine import Config
 from tidewater.operators.panel import PanelError
@@ -100,6 +100,23 @@ def test_strategies(spark):
     assert signals.apply_policy(rows, "minimum_variance", window=2, gross_target=7).first()["target"] == 7
 
 
+class Pair(Strategy):
+    """Speaks for both symbols whenever AAA has a bar."""
+
+    def on_event(self, event):
+        return [OrderIntent(1), OrderIntent(-1, symbol="BBB")] if event.symbol == "AAA" else []
+
+
+def test_a_strategy_may_see_a_portfolio(spark):
+    rows = panel.usable_panel(bars(spark, [10.0, 11.0]).unionByName(bars(spark, [20.0, 19.0], "BBB"))).withColumns({"book": F.lit("P"), "place": (F.col("symbol") == "BBB").cast("int")})
+    got = {(r["symbol"], r["ts"]): r["target"] for r in strategy_targets(rows, Pair, "book").collect()}
+    assert got == {("AAA", 0): 1, ("AAA", 1): 1, ("BBB", 0): -1, ("BBB", 1): -1}
+    events = run_strategy(rows, Pair, Config(slippage_model="none"), "book", "place")
+    assert [(r["asset"], r["quantity"]) for r in engine.events_of(events, "fill").orderBy("order_id").collect()] == [(0, 1), (1, -1)]
+    alone = engine.events_of(run_strategy(rows, Alternate, Config(slippage_model="none", max_position=9)), "curve").where("run_id = 'AAA'").orderBy("row_idx").collect()
+    assert [r["position"] for r in alone] == [0, 2]
+
+
 def test_exact_small_cases(spark):
     times = spark.createDataFrame([(t,) for t in (34_140, 34_200, 34_260, 34_320)], "ts bigint")
     mask = times.select("ts", panel.session_mask(F.col("ts"), 570, 571, range(7)).alias("m")).orderBy("ts").collect()

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators import engine
+from tidewater.operators.engine import Config
+
 
 @dataclass(frozen=True)
 class MarketEvent:
@@ -31,13 +34,14 @@ class OrderIntent:
     target: int
     order_type: str = "market"
     limit_price: float | None = None
+    symbol: str | None = None  # the event's own unless given
 
 
 class Strategy:
-    """Base class; ``on_event`` returns the intents of a bar, the last of which holds until the next one."""
+    """Base class; ``on_event`` returns the intents of a bar, the last of which for a symbol holds until the next one."""
 
-    def on_start(self, symbol: str) -> None:
-        """Called before a symbol's first bar."""
+    def on_start(self, name: str) -> None:
+        """Called before the first bar, with the symbol or the portfolio whose bars follow."""
 
     def on_event(self, event: MarketEvent) -> Iterable[OrderIntent]:
         raise NotImplementedError
@@ -56,29 +60,45 @@ def load_strategy(name: str, allowed: tuple[str, ...]) -> type[Strategy]:
     return found
 
 
-_OUT = "symbol string, row_idx bigint, ts bigint, target bigint, order_type string, limit_price double"
+_OUT = "portfolio string, symbol string, row_idx bigint, ts bigint, target bigint, order_type string, limit_price double"
 
 
-def strategy_targets(panel: DataFrame, strategy: type[Strategy], **params) -> DataFrame:
-    """The strategy's standing intent at every bar of every symbol: ``symbol, row_idx, ts, target, order_type, limit_price``.
+def strategy_targets(panel: DataFrame, strategy: type[Strategy], portfolio: str | None = None, **params) -> DataFrame:
+    """The strategy's standing intent at every bar: ``symbol, row_idx, ts, target, order_type, limit_price``, and ``portfolio`` if given.
 
-    Bars pass each symbol's own instance in order, in Arrow batches; before its first intent the target is 0. Strategies see
-    market data only, so signals don't depend on execution.
+    Bars pass an instance in order of time, in Arrow batches: one instance a symbol, or with ``portfolio`` (a column) one a portfolio, which
+    sees the bars of all its symbols and may speak for any of them. Before its first intent a symbol's target is 0; an intent for another
+    symbol holds from that symbol's next bar. Strategies see market data only, so signals don't depend on execution.
     """
+    of = portfolio or "symbol"
 
     def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, mind, held = None, None, OrderIntent(0)
+        name, mind, held = None, None, {}
         for pdf in batches:
             out = []
-            for event in (MarketEvent(*r) for r in pdf.itertuples(index=False, name=None)):
-                if event.symbol != symbol:
-                    symbol, mind, held = event.symbol, strategy(**params), OrderIntent(0)
-                    mind.on_start(symbol)
+            for whose, *bar in pdf.itertuples(index=False, name=None):
+                event = MarketEvent(*bar)
+                if whose != name:
+                    name, mind, held = whose, strategy(**params), {}
+                    mind.on_start(name)
                 for intent in mind.on_event(event) or ():
-                    held = intent
-                out.append((event.symbol, event.row_idx, event.ts, held.target, held.order_type, held.limit_price))
-            yield pd.DataFrame(out, columns=["symbol", "row_idx", "ts", "target", "order_type", "limit_price"]).astype({"limit_price": "float64"})
-
-    bars = panel.where(F.col("symbol").isNotNull()).repartition("symbol").sortWithinPartitions("symbol", "row_idx")
-    out = bars.select("row_idx", "ts", "symbol", "close", "high", "low", "volume", "bid", "ask").mapInPandas(play, _OUT)
-    return out.withColumn("limit_price", F.when(~F.isnan("limit_price"), F.col("limit_price")))
+                    held[intent.symbol or event.symbol] = intent
+                now = held.get(event.symbol, OrderIntent(0))
+                out.append((whose, event.symbol, event.row_idx, event.ts, now.target, now.order_type, now.limit_price))
+            yield pd.DataFrame(out, columns=["portfolio", "symbol", "row_idx", "ts", "target", "order_type", "limit_price"]).astype({"limit_price": "float64"})
+
+    bars = panel.where(F.col("symbol").isNotNull()).repartition(of).sortWithinPartitions(of, "ts", "symbol")
+    out = bars.select(F.col(of).cast("string").alias("portfolio"), "row_idx", "ts", "symbol", "close", "high", "low", "volume", "bid", "ask").mapInPandas(play, _OUT)
+    out = out.withColumn("limit_price", F.when(~F.isnan("limit_price"), F.col("limit_price")))
+    return out if portfolio else out.drop("portfolio")
+
+
+def run_strategy(panel: DataFrame, strategy: type[Strategy], config: Config = Config(), portfolio: str | None = None, asset: str | None = None, **params) -> DataFrame:
+    """The engine's events (see ``engine.backtest``) of a strategy's intents over the panel: a run a symbol, or with ``portfolio`` and ``asset`` (columns;
+    the place of a symbol in its portfolio) runs of portfolios that share cash."""
+    intents = strategy_targets(panel, strategy, portfolio, **params).drop("portfolio", "ts")
+    rows = panel.join(intents, ["symbol", "row_idx"])
+    laid = engine.run_rows(
+        rows, F.col(portfolio or "symbol"), "ts" if portfolio else "row_idx", asset=F.col(asset) if portfolio else None, order_type=F.col("order_type"), limit_price=F.col("limit_price")
+    )
+    return engine.backtest(laid, config, shared=bool(portfolio))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidewater.sources.tables import is_number
 
 SECONDS_A_DAY = 86_400
+#: Days that one step of the calendar holds at once, so that a span of any length (one absurd time makes a long one) is never one array.
+CHUNK_DAYS = 4_096
 
 
 def daily_totals(df: DataFrame, entity: str, ts: str, value: str, order: str | None = None) -> DataFrame:
@@ -58,7 +60,8 @@ def rolling_totals(
     calendar = (
         days.groupBy("entity")
         .agg(F.min("epoch_day").alias("first_day"), F.max("epoch_day").alias("last_day"))
-        .select("entity", F.explode(F.sequence("first_day", "last_day")).alias("date"))
+        .select("entity", "first_day", "last_day", F.explode(F.sequence(F.floor(F.col("first_day") / CHUNK_DAYS), F.floor(F.col("last_day") / CHUNK_DAYS))).alias("chunk"))
+        .select("entity", F.explode(F.sequence(F.greatest("first_day", F.col("chunk") * CHUNK_DAYS), F.least("last_day", F.col("chunk") * CHUNK_DAYS + (CHUNK_DAYS - 1)))).alias("date"))
         .withColumn("own", F.floor(F.col("date") / longest).cast("bigint"))
         .select("entity", "date", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("bucket"))
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -27,8 +27,8 @@ def param_grid(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-#: One run of a grid: its number, the policy's name and its parameters.
-Combo = tuple[int, str, dict]
+#: One run of a grid: its number, the policy's name (or a function from a panel to one with ``target``) and its parameters.
+Combo = tuple[int, str | Callable[..., DataFrame], dict]
 _BAR = ("ts", "row_idx", "close", "high", "low", "volume", "bid", "ask")
 
 
@@ -36,7 +36,7 @@ def policy_paths(panel: DataFrame, combos: list[Combo], config: Config, series:
     """The path of every combination over every series: ``combo_idx``, ``series`` and what ``Simulation.path`` has.
 
     Targets of policies that look at one series are windows over one sort of its bars; each bar is then exploded into its combinations,
-    whose number the grid fixes. Policies across symbols rank every bar time by themselves. ``row_idx`` starts from 0 in each series.
+    whose number the grid fixes. Policies across symbols, and functions, make their targets by themselves. ``row_idx`` starts from 0 in each series.
     """
     paths, one = [], [c for c in combos if c[1] in signals.OF_ONE_SERIES]
     if one:
@@ -49,7 +49,8 @@ def policy_paths(panel: DataFrame, combos: list[Combo], config: Config, series:
         paths.append(Simulation(targets, config, ("combo_idx", *series), sliced=True, hot=hot).path)
     for i, name, params in combos:
         if name not in signals.OF_ONE_SERIES:
-            targets = signals.apply_policy(panel, name, **params).select(F.lit(i).alias("combo_idx"), *series, *_BAR, "target")
+            made = name(panel, **params) if callable(name) else signals.apply_policy(panel, name, **params)
+            targets = made.select(F.lit(i).alias("combo_idx"), *series, *_BAR, "target")
             paths.append(Simulation(targets, config, ("combo_idx", *series), hot=hot).path)
     return reduce(DataFrame.unionByName, paths)
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.strategy import MarketEvent, OrderIntent, Strategy, run_strategy
 from tidewater.operators import engine, panel, runs, signals
 from tidewater.operators.asknown import usable_splits
 from tidewater.operators.engine import Config, Venue
@@ -103,6 +105,35 @@ def engine_rules_log(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("rules", F.col("run_id").alias("symbol"), "sequence", "ts", "type", "order_id", "parent_order_id", "quantity", *money)
 
 
+class Chase(Strategy):
+    """Long what has risen over ``lookback`` bars, short what has fallen; speaks only when its mind changes."""
+
+    def __init__(self, lookback: int = 5, size: int = 3) -> None:
+        self.lookback, self.size, self.past, self.said = lookback, size, {}, {}
+
+    def on_event(self, event: MarketEvent) -> list[OrderIntent]:
+        past = self.past.setdefault(event.symbol, deque(maxlen=self.lookback + 1))
+        past.append(event.close)
+        moved = event.close - past[0] if len(past) > self.lookback else 0.0
+        target = self.size * ((moved > 0) - (moved < 0))
+        if target == self.said.get(event.symbol, 0):
+            return []
+        self.said[event.symbol] = target
+        return [OrderIntent(target)]
+
+
+def strategy_run(spark: SparkSession, root: str) -> DataFrame:
+    """Curves of a strategy written as a Python class, one run a symbol."""
+    curve = engine.events_of(run_strategy(_bars(spark, root), Chase, RULES["slow"]), "curve")
+    return curve.select(F.col("run_id").alias("symbol"), "row_idx", "position", *(F.round(c, 4).alias(c) for c in ("cash", "equity")))
+
+
+def strategy_portfolios(spark: SparkSession, root: str) -> DataFrame:
+    """Fills of the strategy over portfolios of symbols that share cash, an instance seeing all bars of its portfolio."""
+    rows = _in_portfolios(_bars(spark, root))
+    return engine.events_of(run_strategy(rows, Chase, REALISTIC, "portfolio", "place"), "fill")
+
+
 def _tick_targets(spark: SparkSession, root: str) -> DataFrame:
     """Every symbol's usable ticks with quotes carried forward and a momentum target."""
     ticks = panel.load_ticks(table(spark, root, "ticks")).where((F.col("price") > 0) & (F.col("price") < float("inf"))).drop("asset")
@@ -197,6 +228,8 @@ QUERIES = {
     "portfolio_rules": portfolio_rules,
     "engine_rules": engine_rules,
     "engine_rules_log": engine_rules_log,
+    "strategy_run": strategy_run,
+    "strategy_portfolios": strategy_portfolios,
     "backtest_ticks": backtest_ticks,
     "backtest_ticks_portfolio": backtest_ticks_portfolio,
     "corp_actions_apply": corp_actions_apply,
@@ -217,6 +250,12 @@ def _rules_sql(select: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "strategy_run": sql(
+        "panel",
+        "SELECT symbol, row_idx, held AS position, round(cash, 4) AS cash, round(equity, 4) AS equity FROM folded WHERE row_idx >= 0",
+        "wished AS MATERIALIZED (SELECT *, (sign(coalesce(close - lag(close, 5) OVER (PARTITION BY symbol ORDER BY row_idx), 0)) * 3)::BIGINT AS target FROM panel)",
+        f"folded AS ({fold_sql('wished', 'symbol', RULES['slow'])['folded']})",
+    ),
     "engine_rules": _rules_sql("SELECT '{rules}' AS rules, symbol, row_idx, held AS position, round(cash, 4) AS cash, round(equity, 4) AS equity, round(drawdown, 9) AS drawdown FROM {folded} WHERE row_idx >= 0"),
     "engine_rules_log": _rules_sql(
         "SELECT '{rules}' AS rules, symbol, sequence, ts, type, order_id, parent_order_id, quantity, round(price, 4) AS price, round(cash_after, 4) AS cash_after, round(equity_after, 4) AS equity_after FROM {logged}"

@@ -25,7 +25,7 @@ def _densified(rows: DataFrame) -> DataFrame:
     last = rows.withColumn("n", F.row_number().over(Window.partitionBy("ts", "symbol").orderBy(F.desc("src_order")))).where("n = 1").drop("n", "src_order")
     times = last.groupBy("ts").agg(F.lit(1).alias("one"))
     everyone = last.select("symbol").distinct().agg(F.sort_array(F.collect_list("symbol")).alias("symbols")).withColumn("one", F.lit(1))
-    grid = times.join(F.broadcast(everyone), "one").select("ts", F.explode("symbols").alias("symbol"))
+    grid = times.join(everyone, "one").select("ts", F.explode("symbols").alias("symbol"))
     full = grid.join(last, ["ts", "symbol"], "left").withColumn("volume", F.coalesce("volume", F.lit(0.0)))
     return full.withColumns({s: F.coalesce(s, "close") for s in ("bid", "ask")})
 
