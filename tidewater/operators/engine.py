@@ -564,13 +564,16 @@ def finish(state: State) -> list[dict]:
 _INTEGERS = ("asset", "sequence", "order_id", "parent_order_id", "quantity", "remaining_quantity", "venue_id", "arrival_ts", "trade", "row_fills")
 _DOUBLES = ("price", "fee", "gross_price", "maker_fee_bps", "taker_fee_bps", "net_price", "cash_after", "equity_after", "value", "arrival_price", "close", "drawdown", "traded", "bid", "ask", "volume", "extra")
 _TEXTS = ("type", "order_type")
-EVENT_SCHEMA = "run_id string, kind string, row_idx bigint, ts bigint, " + ", ".join([*(f"{c} string" for c in _TEXTS), *(f"{c} bigint" for c in _INTEGERS), *(f"{c} double" for c in _DOUBLES)])
 FILL_COLUMNS = (
     "ts", "order_id", "parent_order_id", "asset", "price", "quantity", "remaining_quantity", "fee", "venue_id", "gross_price", "maker_fee_bps", "taker_fee_bps", "net_price", "order_type",
     "arrival_ts", "arrival_price", "close", "bid", "ask", "volume", "extra",
 )
 AUDIT_COLUMNS = ("ts", "order_id", "parent_order_id", "asset", "type", "value")
 LEDGER_COLUMNS = ("sequence", "ts", "order_id", "parent_order_id", "asset", "type", "quantity", "remaining_quantity", "price", "cash_after", "equity_after", "value")
+_CURVE = ("cash_after", "equity_after", "quantity", "trade", "close", "drawdown", "traded", "row_fills")
+_OF_KIND = {"fill": FILL_COLUMNS, "audit": AUDIT_COLUMNS, "ledger": LEDGER_COLUMNS, "curve": _CURVE}
+_KINDS = dict.fromkeys(_TEXTS, "string") | dict.fromkeys(_INTEGERS, "bigint") | dict.fromkeys(_DOUBLES, "double")
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
 _MARKET = ("close", "high", "low", "volume", "bid", "ask")
 #: Rows that the first look for a stretch without events takes, and the most.
 _SHORT, _LONG = 32, 65_536
@@ -599,7 +602,7 @@ def run_rows(
 
 
 def backtest(rows: DataFrame, config: Config = Config(), keep: tuple[str, ...] = ("fill", "audit", "ledger", "curve"), shared: bool = False) -> DataFrame:
-    """Fold every run of ``rows`` (see ``run_rows``); one wide table of events, told apart by ``kind``.
+    """Fold every run of ``rows`` (see ``run_rows``); one table of events, told apart by ``kind``, with the columns that the kinds to ``keep`` have.
 
     Runs are hashed over the tasks and sorted; a task takes its rows in Arrow batches and holds one state. A run is as
     sequential as its cash; parallelism comes from the runs. With ``shared`` the assets of a run share cash and rules: rows of one time are
@@ -617,7 +620,12 @@ def backtest(rows: DataFrame, config: Config = Config(), keep: tuple[str, ...] =
 
     laid = rows.where("run_id is not null and ts is not null").repartition("run_id")
     laid = laid.sortWithinPartitions("run_id", "ord", "asset").drop("ord")
-    return laid.mapInArrow(walk, EVENT_SCHEMA)
+    return laid.mapInArrow(walk, "run_id string, kind string, row_idx bigint, ts bigint, " + ", ".join(f"{c} {_KINDS[c]}" for c in _columns_of(keep)))
+
+
+def _columns_of(keep: tuple[str, ...]) -> list[str]:
+    """The columns that events of some kinds have, besides run, kind, row and time."""
+    return [c for c in _KINDS if any(c in _OF_KIND[kind] for kind in keep)]
 
 
 class _Fold:
@@ -788,15 +796,21 @@ class _Fold:
 
     def _flush(self) -> pa.RecordBatch:
         events, points = self.events, self.points
-        sizes = [len(p[1]) for p in points]
-        after = sum(sizes)
-        names = [e[0] for e in events] + [p[0] for p, n in zip(points, sizes) for _ in range(n)]
+        sizes = np.array([len(p[1]) for p in points], dtype=int)
+        after = int(sizes.sum())
         joined = lambda i, kind: np.concatenate([p[i] for p in points]).astype(kind) if points else np.zeros(0, dtype=kind)
-        of_points = {"row_idx": joined(1, "int64"), "ts": joined(2, "int64"), "cash_after": joined(3, "float64"), "equity_after": joined(4, "float64"), "quantity": joined(5, "int64"), "trade": joined(6, "int64"), "close": joined(7, "float64"), "drawdown": joined(8, "float64"), "traded": joined(9, "float64"), "row_fills": joined(10, "int64")}
-        columns = {"run_id": pa.array(names, pa.string()), "kind": pa.array([e[1] for e in events] + ["curve"] * after, pa.string())}
-        for c, kind in [("row_idx", pa.int64()), ("ts", pa.int64()), *((c, pa.string()) for c in _TEXTS), *((c, pa.int64()) for c in _INTEGERS), *((c, pa.float64()) for c in _DOUBLES)]:
-            own = pa.array([e[2] for e in events] if c == "row_idx" else [e[3].get(c) for e in events], kind)
-            columns[c] = pa.concat_arrays([own, pa.array(of_points[c], kind) if c in of_points else pa.nulls(after, kind)])
+        whose = np.repeat(np.array([p[0] for p in points], dtype=object), sizes)
+        columns = {
+            "run_id": pa.concat_arrays([pa.array([e[0] for e in events], pa.string()), pa.array(whose, pa.string())]),
+            "kind": pa.concat_arrays([pa.array([e[1] for e in events], pa.string()), pa.repeat(pa.scalar("curve"), after)]),
+            "row_idx": pa.array(np.append(np.array([e[2] for e in events], dtype="int64"), joined(1, "int64"))),
+            "ts": pa.array(np.append(np.array([e[3]["ts"] for e in events], dtype="int64"), joined(2, "int64"))),
+        }
+        for c in _columns_of(self.keep):
+            kind = _ARROW[_KINDS[c]]
+            own = pa.array([e[3].get(c) for e in events], kind)
+            of_points = pa.array(joined(3 + _CURVE.index(c), "int64" if _KINDS[c] == "bigint" else "float64"), kind) if c in _CURVE else pa.nulls(after, kind)
+            columns[c] = pa.concat_arrays([own, of_points])
         self.events, self.points, self.size = [], [], 0
         return pa.RecordBatch.from_pydict(columns)
 

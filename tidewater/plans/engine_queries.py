@@ -15,7 +15,7 @@ from tidewater.operators.asknown import usable_splits
 from tidewater.operators.engine import Config, Venue
 from tidewater.operators.readings import bad_closes
 from tidewater.operators.sliced import by_slice, numbered, own_rows, with_halo
-from tidewater.plans.fold_sql import fold_sql
+from tidewater.plans.fold_sql import fold_sql, portfolio_sql
 from tidewater.plans.reference_queries import FAST, MOST, SLOW, sql
 from tidewater.runtime import shared_folder
 from tidewater.sources.tables import table
@@ -250,6 +250,12 @@ def _rules_sql(select: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "portfolio_rules": sql(
+        "ma",
+        """SELECT portfolio, r AS row_idx, ts, list_sum(pos)::BIGINT AS position, (list_sum(pos) - pos0)::BIGINT AS trade, fills AS row_fills, round(cash, 4) AS cash, round(equity, 4) AS equity, round(drawdown, 9) AS drawdown
+FROM folded_shared WHERE last""",
+        *portfolio_sql("ma", ASSETS, TIGHT),
+    ),
     "strategy_run": sql(
         "panel",
         "SELECT symbol, row_idx, held AS position, round(cash, 4) AS cash, round(equity, 4) AS equity FROM folded WHERE row_idx >= 0",

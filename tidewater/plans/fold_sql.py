@@ -67,3 +67,49 @@ SELECT {keys}, row_idx, ts, close, CASE WHEN liquidated THEN cash + position * c
    (SELECT *, max(row_idx) OVER (PARTITION BY {keys}) AS last_row FROM folded) WHERE len(entries) > 0) p
  JOIN folded q ON {" AND ".join(f"p.{k} IS NOT DISTINCT FROM q.{k}" for k in keys.split(", "))} AND q.row_idx = p.until)"""
     return {"folded": folded, "logged": logged}
+
+
+def portfolio_sql(rows: str, assets: int, config: Config) -> list[str]:
+    """Common table expressions that fold ``rows`` (``symbol, ts, close, volume, target``) as portfolios of ``assets`` symbols that share cash: ``folded_shared``
+    has a row for every bar, in order of time and symbol, and what the portfolio is after it; ``last`` tells the last of a time. Settings beyond
+    costs, capacity and the limits on position, leverage, cash and drawdown must be at their defaults."""
+    c = config
+    each = lambda what, over="range(1, len(cl) + 1)": f"list_transform({over}, lambda i: {what})"
+    worth = lambda position: f"coalesce(list_sum({each(f'{position} * cl[i]')}), 0)"
+    put = lambda name, value: each(f"CASE WHEN i = k THEN {value} ELSE {name}[i] END")
+    wished = "wanted[i] <> pos[i]"
+    after = "(held - abs(pos[i]) * cl[i] + abs(wanted[i]) * cl[i]) / base"
+    fresh = f"here[i] AND NOT coalesce(pt[i] = wanted[i], false) AND {wished} AND {after} <= {c.max_gross_leverage!r}"
+    kept = f"NOT here[i] OR coalesce(pt[i] = wanted[i], false) OR ({wished} AND {after} > {c.max_gross_leverage!r})"
+    return [
+        f"dn AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS a FROM (SELECT DISTINCT symbol FROM {rows}))",
+        f"cells AS (SELECT (a // {assets})::INT AS portfolio, (a % {assets} + 1)::INT AS k, ts, close, volume, target FROM {rows} JOIN dn USING (symbol))",
+        "times AS (SELECT portfolio, ts, row_number() OVER (PARTITION BY portfolio ORDER BY ts) - 1 AS r FROM (SELECT DISTINCT portfolio, ts FROM cells))",
+        """dense AS (SELECT t.portfolio, t.r, s.k, c.close IS NOT NULL AS here, coalesce(last_value(c.close IGNORE NULLS) OVER w, 0) AS close, coalesce(last_value(c.target IGNORE NULLS) OVER w, 0) AS target
+ FROM times t JOIN (SELECT DISTINCT portfolio, k FROM cells) s ON s.portfolio = t.portfolio LEFT JOIN cells c ON c.portfolio = t.portfolio AND c.ts = t.ts AND c.k = s.k
+ WINDOW w AS (PARTITION BY t.portfolio, s.k ORDER BY t.r ROWS UNBOUNDED PRECEDING))""",
+        "wide AS (SELECT portfolio, r, list(close ORDER BY k) AS cl, list(target ORDER BY k) AS tg, list(here ORDER BY k) AS here FROM dense GROUP BY ALL)",
+        """parts AS MATERIALIZED (SELECT c.portfolio, t.r, c.ts, c.k, c.close, c.volume, w.cl, w.tg, w.here, row_number() OVER (PARTITION BY c.portfolio ORDER BY t.r, c.k) AS n,
+ c.k = min(c.k) OVER (PARTITION BY c.portfolio, t.r) AS first, c.k = max(c.k) OVER (PARTITION BY c.portfolio, t.r) AS last
+ FROM cells c JOIN times t ON t.portfolio = c.portfolio AND t.ts = c.ts JOIN wide w ON w.portfolio = t.portfolio AND w.r = t.r)""",
+        f"""folded_shared AS (SELECT portfolio, 0::BIGINT AS n, -1::BIGINT AS r, 0::BIGINT AS ts, false AS last, {c.starting_cash!r}::DOUBLE AS cash, 0.0::DOUBLE AS base, list_transform(range(len(cl)), lambda i: 0::BIGINT) AS pos,
+ list_transform(range(len(cl)), lambda i: NULL::BIGINT) AS pt, list_transform(range(len(cl)), lambda i: 0::BIGINT) AS pr, {c.starting_cash!r}::DOUBLE AS peak, false AS halted, 0.0::DOUBLE AS equity, 0.0::DOUBLE AS drawdown, 0::BIGINT AS fills, 0::BIGINT AS pos0 FROM wide WHERE r = 0
+UNION ALL
+SELECT portfolio, n, r, ts, last, cash1, base, pos1, CASE WHEN halted2 THEN {each("NULL::BIGINT")} ELSE pt2 END, pr2, peak2, halted2, equity, fallen, fills1, pos0 FROM (
+ SELECT *, halted1 OR (last AND fallen > {c.max_drawdown_pct!r}) AS halted2 FROM (
+ SELECT *, CASE WHEN peak2 > 0 THEN (peak2 - equity) / peak2 ELSE 0 END AS fallen FROM (
+ SELECT *, CASE WHEN applied OR last THEN greatest(peak, equity) ELSE peak END AS peak2, halted OR (applied AND (greatest(peak, equity) - equity) / greatest(peak, equity) > {c.max_drawdown_pct!r}) AS halted1,
+  {put("pt1", "CASE WHEN cashrej OR (applied AND (pr1[k] = fillq OR pos1[k] = pt1[k])) THEN NULL ELSE pt1[k] END")} AS pt2, {put("pr1", "CASE WHEN applied THEN pr1[k] - fillq ELSE pr1[k] END")} AS pr2 FROM (
+ SELECT *, cash1 + {worth("pos1[i]")} AS equity FROM (
+ SELECT *, CASE WHEN applied THEN cash_try ELSE cash END AS cash1, {put("pos", "pos[k] + CASE WHEN applied THEN fillq ELSE 0 END")} AS pos1, CASE WHEN first THEN 0 ELSE fills END + (fillq <> 0)::INT AS fills1 FROM (
+ SELECT *, fillq <> 0 AND NOT cashrej AS applied FROM (
+ SELECT *, fillq > 0 AND cash_try < 0 AND pos[k] >= 0 AS cashrej FROM (
+ SELECT *, cash - fillq * price - abs(fillq) * price * {c.commission_bps!r} * 1e-4 AS cash_try FROM (
+ SELECT *, close * (1.0 + sign(fillq) * {c.slippage_bps!r} * 1e-4) AS price FROM (
+ SELECT *, CASE WHEN NOT halted AND pt1[k] IS NOT NULL AND volume >= 1 THEN sign(pr1[k])::BIGINT * least(abs(pr1[k]), floor(least(volume * {c.max_participation_rate!r}, volume))::BIGINT) ELSE 0 END AS fillq FROM (
+ SELECT *, CASE WHEN places THEN {each(f"CASE WHEN {fresh} THEN wanted[i] WHEN {kept} THEN pt[i] END")} ELSE pt END AS pt1, CASE WHEN places THEN {each(f"CASE WHEN {fresh} THEN wanted[i] - pos[i] ELSE pr[i] END")} ELSE pr END AS pr1 FROM (
+ SELECT *, first AND NOT halted AND {worth("abs(wanted[i])")} / base <= {c.max_gross_leverage!r} AS places, {worth("abs(pos[i])")} AS held FROM (
+ SELECT p.*, s.cash, CASE WHEN p.first THEN greatest(1.0, s.cash) ELSE s.base END AS base, s.pos, s.pt, s.pr, s.peak, s.halted, s.fills, CASE WHEN p.first THEN list_sum(s.pos)::BIGINT ELSE s.pos0 END AS pos0,
+  list_transform(p.tg, lambda t: least(greatest(t, {-c.max_position}), {c.max_position})) AS wanted FROM folded_shared s JOIN parts p ON p.portfolio = s.portfolio AND p.n = s.n + 1
+ ))))))))))))))""",
+    ]
