@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import engine
 from tidewater.operators.engine import Config
+from tidewater.runtime import python_tasks
 
 
 @dataclass(frozen=True)
@@ -87,7 +88,7 @@ def strategy_targets(panel: DataFrame, strategy: type[Strategy], portfolio: str
                 out.append((whose, event.symbol, event.row_idx, event.ts, now.target, now.order_type, now.limit_price))
             yield pd.DataFrame(out, columns=["portfolio", "symbol", "row_idx", "ts", "target", "order_type", "limit_price"]).astype({"limit_price": "float64"})
 
-    bars = panel.where(F.col("symbol").isNotNull()).repartition(of).sortWithinPartitions(of, "ts", "symbol")
+    bars = panel.where(F.col("symbol").isNotNull()).repartition(python_tasks(panel), of).sortWithinPartitions(of, "ts", "symbol")
     out = bars.select(F.col(of).cast("string").alias("portfolio"), "row_idx", "ts", "symbol", "close", "high", "low", "volume", "bid", "ask").mapInPandas(play, _OUT)
     out = out.withColumn("limit_price", F.when(~F.isnan("limit_price"), F.col("limit_price")))
     return out if portfolio else out.drop("portfolio")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.runtime import python_tasks
+
 MARKET, LIMIT = "market", "limit"
 FIRST_CHILD_ID = 1_000_000
 
@@ -618,7 +620,7 @@ def backtest(rows: DataFrame, config: Config = Config(), keep: tuple[str, ...] =
                 yield from fold.take(batch)
         yield from fold.end()
 
-    laid = rows.where("run_id is not null and ts is not null").repartition("run_id")
+    laid = rows.where("run_id is not null and ts is not null").repartition(python_tasks(rows), "run_id")
     laid = laid.sortWithinPartitions("run_id", "ord", "asset").drop("ord")
     return laid.mapInArrow(walk, "run_id string, kind string, row_idx bigint, ts bigint, " + ", ".join(f"{c} {_KINDS[c]}" for c in _columns_of(keep)))
 

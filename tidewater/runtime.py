@@ -49,6 +49,13 @@ def ship_package(spark: SparkSession) -> None:
     context._tidewater_shipped = True
 
 
+def python_tasks(df: DataFrame) -> int:
+    """Tasks of a stage that works in Python: as many as shuffles have. Left to itself the engine would merge partitions by their bytes, and
+    little data can be much work."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, named in ``spark.checkpoint.dir``. Only a local session may go without: it gets a temporary folder of
     its machine; on a cluster the setting must be there."""
